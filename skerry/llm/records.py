@@ -2,8 +2,8 @@
 
 File format: for each sequence an unsigned 64-bit length, the masked CRC-32C of those
 eight bytes, the record, and the masked CRC-32C of the record (all little-endian). A
-record is doc_id (int64), a flag for a present doc_id (uint32), the number of ids
-(uint32) and the ids (uint32 each). Beside each data file lies its index: one uint64
+record is doc_id (int64), a flag for a present doc_id (uint16), the bytes of an id
+(uint16: 2 if the vocabulary allows it, else 4), the number of ids (uint32) and the ids. Beside each data file lies its index: one uint64
 offset for each record.
 
 Rows: a null text is an empty one; a null doc_id is kept, sorts first and is read back as
@@ -30,10 +30,13 @@ MANIFEST = "data string, index string, records long, ids long, bytes long, first
 
 
 def _write(folder: str, content: str, end_id: int, limit: int):
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(content).encode, None
+        own, out = encoder(content), None
+        width = 2 if max(own.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+        def body(key: int | None, ids: bytes) -> bytes:
+            all_ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+            return struct.pack("<qHHI", key or 0, key is not None, width, len(all_ids)) + all_ids.astype(f"<u{width}").tobytes()
 
         def close():
             out["file"].close()
@@ -45,7 +48,7 @@ def _write(folder: str, content: str, end_id: int, limit: int):
         for batch in batches:
             for part in slices(batch):
                 keys, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                bodies = [struct.pack("<qII", k or 0, k is not None, len(ids) // 4 + 1) + ids + end for k, ids in zip(keys, encode(texts), strict=True)]
+                bodies = [body(k, ids) for k, ids in zip(keys, own.encode(texts), strict=True)]
                 heads = [struct.pack("<Q", len(b)) for b in bodies]
                 head_crc, body_crc = masked(crc32c(heads)).astype("<u4"), masked(crc32c(bodies)).astype("<u4")
                 if out is not None and out["at"] >= limit and keys[0] != out["last"]:  # rows of one doc_id stay in one file
@@ -59,7 +62,7 @@ def _write(folder: str, content: str, end_id: int, limit: int):
                 out["offsets"].append(out["at"] + np.cumsum(size) - size)
                 out["at"] += int(size.sum())
                 out["records"] += len(bodies)
-                out["ids"] += int((size - 32).sum()) // 4
+                out["ids"] += int((size - 32).sum()) // width
                 out["last"] = keys[-1]
         if out is not None:
             yield close()
@@ -81,7 +84,7 @@ def write_records(docs: DataFrame, folder: str | None = None, tokenizer: str | N
 
 
 def read_file(data: str, block: int = 8 << 20) -> Iterator[list[tuple[int | None, bytes]]]:
-    """(doc_id, ids) of a data file in its order, checksums verified, some megabytes at a time."""
+    """(doc_id, ids as uint32 bytes) of a data file in its order, checksums verified, some megabytes at a time."""
     store, path = open_fs(data)
     with store.open_input_stream(path) as f:
         rest = b""
@@ -103,10 +106,10 @@ def read_file(data: str, block: int = 8 << 20) -> Iterator[list[tuple[int | None
                     raise ValueError(f"{data}: a checksum does not match")
                 out = []
                 for b in bodies:
-                    key, there, n = struct.unpack_from("<qII", b)
-                    if len(b) != 16 + 4 * n:
+                    key, there, width, n = struct.unpack_from("<qHHI", b)
+                    if len(b) != 16 + width * n:
                         raise ValueError(f"{data}: a record has another length than it says")
-                    out.append((key if there else None, b[16:]))
+                    out.append((key if there else None, np.frombuffer(b, f"<u{width}", offset=16).astype("<u4").tobytes()))
                 yield out
             rest = rest[at:]
             if not got:
@@ -126,8 +129,8 @@ def read_shuffled(data: str, index: str, seed: int) -> Iterator[tuple[int | None
             body, crc = f.read_at(n, at + 12), f.read_at(4, at + 12 + n)
             if masked(crc32c([body]))[0] != struct.unpack("<I", crc)[0]:
                 raise ValueError(f"{data}: a checksum does not match")
-            key, there, _ = struct.unpack_from("<qII", body)
-            yield (key if there else None), np.frombuffer(body, "<u4", offset=16)
+            key, there, width, _ = struct.unpack_from("<qHHI", body)
+            yield (key if there else None), np.frombuffer(body, f"<u{width}", offset=16)
 
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
