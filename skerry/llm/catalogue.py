@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, records, toxicity, warc
+from . import packing, quality, records, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,13 +32,18 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_read(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in all documents."""
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the toxicity of all documents."""
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_packing, op5_quality, op6_records, op9_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op3_packing, op5_quality, op6_records, op7_secrets, op9_toxicity)}
 
 
 ORACLE = {
