@@ -3,9 +3,9 @@
 Documents become token ids with an end id. Longer ones than a sequence are cut into whole
 sequences, the first piece taking what is left over. Pieces are dealt by a hash into
 shards of about ``shard_items`` pieces; each shard is packed best-fit decreasing, then
-local search moves pieces out of the emptiest bin and exchanges one-for-one, two-for-one
-or one-for-two with other underfull bins. Every step raises the sum of squared fills, so
-the search ends; a bin that becomes empty goes away. What stays underfull in any shard is
+local search moves pieces out of the emptiest bin and exchanges one-for-one or two-for-one
+with other underfull bins. Every step raises the sum of squared fills, so the search ends;
+a bin that becomes empty goes away. What stays underfull in any shard is
 packed again in shards of ``merge`` times the size, so that loss does not add up.
 
 Rows: null text counts as empty (its one piece is the end id alone); null and repeated
@@ -79,32 +79,24 @@ def _better(lens, fills, items, a: int, capacity: int):
         at = int(gain.argmax())
         if gain[at] > best:
             best, found = int(gain[at]), (own, int(owner[at]), (int(pool[at]),))
-    for n, own in out:  # one-for-two
-        for b in others:
-            if len(items[b]) < 2 or len(items[b]) > 64 or best >= 2 * (capacity - int(fills[b])) * (int(fills[b]) - int(fills[a]) + capacity - int(fills[b])):
-                continue
-            mine = np.array(items[b])
-            sums = n - (lens[mine][:, None] + lens[mine][None, :])
-            sums[np.diag_indices(len(mine))] = 0
-            gain = np.where((sums > 0) & (sums <= capacity - fills[b]), 2 * sums * (fills[b] - fills[a] + sums), 0)
-            at = int(gain.argmax())
-            if gain.flat[at] > best:
-                best, found = int(gain.flat[at]), (own, b, (int(mine[at // len(mine)]), int(mine[at % len(mine)])))
     return found
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, patience: int = 16) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
     The emptiest bin gives until it is empty or no exchange helps; then the next one.
-    Stops at the least number of bins that the total length allows.
+    Stops at the least number of bins that the total length allows, at a bin that holds
+    more than the others have room for, or after ``patience`` bins that could not be emptied.
     """
     fills = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
     least = -(-int(lengths.sum()) // capacity)
     items = {b: list(bins[b]) for b in range(len(bins)) if fills[b] < capacity}
     count, settled = len(bins), set()
-    while count > least and len(settled) < len(items):
+    while count > least and len(settled) < min(len(items), patience):
         a = min((b for b in items if b not in settled), key=lambda b: (fills[b], b))
+        if fills[a] > sum(capacity - int(fills[b]) for b in items if b != a):
+            break
         step = _better(lengths, fills, items, a, capacity)
         if step is None:
             settled.add(a)
