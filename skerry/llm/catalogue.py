@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, records, secrets, toxicity, warc
+from . import audio, packing, quality, records, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all documents' bytes as sound and compute its features."""
+    return audio.audio_features(audio.media_table(_read(spark, sf_dir, "documents"))).drop("tensor_file", "tensors")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
@@ -43,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_packing, op5_quality, op6_records, op7_secrets, op9_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op5_quality, op6_records, op7_secrets, op9_toxicity)}
 
 
 ORACLE = {
