@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, packing, quality, records, secrets, toxicity, warc
+from . import audio, near_dup, packing, quality, records, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group all documents by three-word shingles at a similarity of 0.85."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, threshold="0.85")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the quality of all documents."""
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -48,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op5_quality, op6_records, op7_secrets, op9_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op4_near_dup, op5_quality, op6_records, op7_secrets, op9_toxicity)}
 
 
 ORACLE = {
