@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, near_dup, packing, quality, records, secrets, toxicity, warc
+from . import audio, near_dup, packing, quality, records, secrets, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,11 +52,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products among all embeddings for every hundredth one."""
+    return topk.exact_top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op4_near_dup, op5_quality, op6_records, op7_secrets, op9_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op4_near_dup, op5_quality, op6_records, op7_secrets, op9_toxicity, op10_topk)}
 
 
 ORACLE = {
+    "op10_topk": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""",
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
 w AS (SELECT html, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY html)
