@@ -285,3 +285,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str =
     alone = features.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return linked.unionByName(alone).withColumn("kept", kept)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
+    """The document of each component with the smallest doc_id, with all columns; rows without doc_id stay."""
+    kept = near_duplicates(docs, width, threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.unionByName(docs.where("doc_id IS NULL"))

@@ -142,6 +142,18 @@ def _score(machine):
     return run
 
 
+def _accept(machine, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, int] = {}
+        least = float(np.log(threshold / (1 - threshold)))
+        for batch in batches:
+            for part in slices(batch):
+                z = machine.value.margin([featurize(t, places) for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(z >= least))
+
+    return run
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """A machine fitted on at most ``sample`` labelled rows; None without any."""
     y = training_labels(labels, "quality")
@@ -163,3 +175,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     else:
         scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(machine)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The documents that score at least ``threshold``, with all their columns."""
+    machine = fit_quality(docs, labels, sample)
+    return docs if machine is None else docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(machine), threshold), docs.schema)
