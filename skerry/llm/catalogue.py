@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import audio, near_dup, packing, quality, records, secrets, topk, toxicity, warc
+from . import audio, bpe, near_dup, packing, quality, records, secrets, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +46,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents with the rank file's merges and decode the ids."""
+    return bpe.digests(bpe.encode_documents(_read(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the toxicity of all documents."""
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -58,7 +62,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op4_near_dup, op5_quality, op6_records, op7_secrets, op9_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op3_packing, op4_near_dup, op5_quality, op6_records, op7_secrets, op8_bpe, op9_toxicity, op10_topk)}
 
 
 ORACLE = {
