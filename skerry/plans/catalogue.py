@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metrics  # noqa: F401  (registers its queries)
+from . import detection, metrics  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 

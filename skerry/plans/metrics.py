@@ -194,11 +194,11 @@ def standard_scaler_fit(spark, sf_dir):
     return smoothing.scaler_fit(points(spark, sf_dir)).select("target_id", "name", r("mean"), r("std"))
 
 
-@query(f"WITH {FIT_SQL} SELECT target_id, name, time, round((real_value - mean) / std, 5) AS scaled, round(greatest((real_value - mean) / std * std + mean, 0), 3) AS back FROM mp JOIN sc USING (target_id, name)")
+@query(f"WITH {FIT_SQL} SELECT target_id, name, time, round((real_value - mean) / std, 5) AS scaled, round(greatest((real_value - mean) / std * std + mean, 0), 8) AS back FROM mp JOIN sc USING (target_id, name)")
 def standard_scale_inverse(spark, sf_dir):
     p = points(spark, sf_dir)
     rows = smoothing.scale(p, smoothing.scaler_fit(p))
-    return rows.select("target_id", "name", "time", r("scaled", 5), F.round(F.greatest(F.col("scaled") * F.col("std") + F.col("mean"), F.lit(0.0)), 3).alias("back"))
+    return rows.select("target_id", "name", "time", r("scaled", 5), F.round(F.greatest(F.col("scaled") * F.col("std") + F.col("mean"), F.lit(0.0)), 8).alias("back"))
 
 
 @query(f"WITH {METRIC_SQL} SELECT target_id, name, time, round((real_value - min(real_value) OVER w) / (max(real_value) OVER w - min(real_value) OVER w + 1e-7), 6) AS scaled FROM mp WINDOW w AS (PARTITION BY target_id, name)")
