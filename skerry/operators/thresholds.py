@@ -42,7 +42,7 @@ def fit_tail(excess: np.ndarray, grid: int = 200) -> tuple[float, float, float]:
     spans = [np.linspace(-edge * (1 - 1e-8), -1e-8 * edge, grid)]
     if low > 0 and mean > low:
         top = 2 * (mean - low) / (low * low)
-        spans.append(np.geomspace(max(1e-8 / mean, top * 1e-8), top, grid))
+        spans.append(np.geomspace(min(1e-6 / mean, top / 2), min(top, 1e6 / mean), 2 * grid))
     for span in spans:
         values = [gap(x) for x in span]
         for a, b, fa, fb in zip(span, span[1:], values, values[1:]):

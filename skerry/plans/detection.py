@@ -159,13 +159,13 @@ def trend_extrapolation_30(spark, sf_dir):
 
 @query(f"""WITH {FILLED_SQL}, fu AS (SELECT target_id, name, CAST(60 + i AS INTEGER) AS seq, last_v AS filled FROM (SELECT target_id, name, arg_max(filled, seq) AS last_v FROM fi GROUP BY 1, 2) x, range(30) t(i)),
 al AS (SELECT target_id, name, seq, filled FROM fi UNION ALL SELECT target_id, name, seq, filled FROM fu)
-SELECT target_id, name, CAST(seq - 30 AS INTEGER) AS seq, round(filled, 5) AS value FROM al WHERE seq >= 30""")
+SELECT target_id, name, CAST(seq - 30 AS INTEGER) AS seq, round(filled, 8) AS value FROM al WHERE seq >= 30""")
 def past_future_stitch(spark, sf_dir):
     """60 past steps and 30 forecast ones, of which the last 60 go on."""
     past = frames.interpolate(frames.on_spine(points(spark, sf_dir))).select(*KEYS, "seq", "filled")
     last = past.groupBy(*KEYS).agg(F.max_by("filled", "seq").alias("filled"))
     future = last.select(*KEYS, F.explode(F.sequence(F.lit(60), F.lit(89))).alias("seq"), "filled")
-    return past.unionByName(future).where("seq >= 30").select(*KEYS, (F.col("seq") - 30).alias("seq"), F.round("filled", 5).alias("value"))
+    return past.unionByName(future).where("seq >= 30").select(*KEYS, (F.col("seq") - 30).alias("seq"), F.round("filled", 8).alias("value"))
 
 
 @query(f"""WITH {BASE_SQL} SELECT p.target_id, p.name, round(100 * avg(CASE WHEN p.real_value = 0 AND b.mean = 0 THEN 0 ELSE abs(p.real_value - b.mean) / (abs(p.real_value) + abs(b.mean)) END), 4) AS smape
