@@ -56,27 +56,43 @@ def _hash(value: int, seed: int = 42) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def displaced(keys: dict[int, int]) -> tuple[list[int], list[int]]:
+def _word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _is_text(token: bytes) -> bool:
+    """Whether the bytes are whole characters, so that a piece can equal them."""
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def displaced(keys: dict[int, int], pack: bool = True) -> tuple[list[int], list[int | None]]:
     """Displacements and slots without collisions: a key's slot hangs on its hash and its group's displacement.
 
-    A slot holds key * 65536 + value, or -1.
+    A slot holds key * 65536 + value, or -1; without ``pack`` the key, or None.
     """
     groups = 1 << max(4, (len(keys) // 4).bit_length())
     size = 1 << max(6, (len(keys) * 2 - 1).bit_length())
     members: list[list[int]] = [[] for _ in range(groups)]
     for k in keys:
         members[_hash(k) % groups].append(k)
-    shift, slots = [0] * groups, [-1] * size
+    empty = -1 if pack else None
+    shift, slots = [0] * groups, [empty] * size
     for g in sorted(range(groups), key=lambda g: -len(members[g])):
         for d in range(1 << 20):
             at = [_hash(d, _hash(k) & (2**64 - 1)) % size for k in members[g]]
-            if len(set(at)) == len(at) and all(slots[i] < 0 for i in at):
+            if len(set(at)) == len(at) and all(slots[i] == empty for i in at):
                 break
         else:
             raise ValueError("no displacement found")
         shift[g] = d
         for k, i in zip(members[g], at, strict=True):
-            slots[i] = k << 16 | keys[k]
+            slots[i] = k << 16 | keys[k] if pack else k
     return shift, slots
 
 
@@ -103,8 +119,12 @@ class Vocabulary:
         self.single = _array([ranks[bytes([b])] for b in range(256)], "int")
         hexes = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
-            hexes[r] = t.hex()
+            hexes[r] = t.hex().upper()
         self.hexes = _array(hexes, "string")
+        whole = {_word_hash(t): r for t, r in ranks.items() if _is_text(t)}
+        shift, slots = displaced(whole, pack=False)
+        self.word_shift, self.word_groups, self.word_size = _array(shift, "bigint"), len(shift), len(slots)
+        self.word_ids = _array([whole.get(k, NONE) for k in slots], "int")
 
     def ranks(self, pairs: Column) -> Column:
         """Rank of each pair (first * 65536 + second), NONE without one."""
@@ -125,8 +145,21 @@ class Vocabulary:
         points = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.ascii(F.substring(word, i, F.lit(1))))
         return F.transform(F.flatten(F.transform(points, of)), lambda b: F.get(self.single, b))
 
+    def whole(self, word: Column) -> Column:
+        """Id of a piece that is itself a token, else null: its slot's bytes are compared."""
+
+        def of(h: Column) -> Column:
+            slot = F.pmod(F.xxhash64(h, F.get(self.word_shift, F.pmod(F.xxhash64(h), F.lit(self.word_groups)).cast("int"))), F.lit(self.word_size)).cast("int")
+            return _let(F.get(self.word_ids, slot), lambda i: F.when((i != NONE) & (F.get(self.hexes, i) == F.hex(word)), i))
+
+        return _let(F.xxhash64(word), of)
+
     def encode_word(self, word: Column) -> Column:
-        """Ids of one piece that is not empty."""
+        """Ids of one piece that is not empty: one token, or the fold."""
+        return _let(self.whole(word), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(self.fold(word)))
+
+    def fold(self, word: Column) -> Column:
+        """Ids of one piece by its merges."""
         packed = lambda a, b: a.cast("bigint") * 65536 + b
 
         def start(ids: Column) -> Column:
