@@ -232,17 +232,15 @@ def event_first_minute_gate(spark, sf_dir):
 PROB_SQL = "CASE WHEN least(ceil(score), 99) < 0 THEN 0 ELSE round(1 - exp(-0.05 * least(ceil(score), 99)), 2) END"
 
 
-def event_cdf(spark):
-    """A probability for each of 100 steps of the score."""
-    return spark.range(100).select(F.collect_list(F.struct("id", F.round(1 - F.exp(-0.05 * F.col("id")), 2).alias("p"))).over(Window.partitionBy(F.lit(1))).alias("x")).limit(1).select(F.transform(F.array_sort("x"), lambda s: s["p"]).alias("cdf"))
+def event_probability():
+    """The score's step looked up in an array of 100 probabilities, which folds to a constant."""
+    cdf = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.round(1 - F.exp(-0.05 * i), 2))
+    return F.element_at(cdf, F.least(F.ceil("score"), F.lit(99)).cast("int") + 1)
 
 
 @query(f"WITH {ONE_SIDED_SQL} SELECT event_code, target_id, time, {PROB_SQL} AS event_prob FROM es")
 def event_cdf_probability(spark, sf_dir):
-    """The score's step looked up in an array of probabilities."""
-    rows = event_scores(spark, sf_dir).join(F.broadcast(event_cdf(spark)))  # one row of 100 numbers
-    at = F.least(F.ceil("score"), F.lit(99)).cast("int")
-    return rows.select("event_code", "target_id", "time", F.element_at("cdf", at + 1).alias("event_prob"))
+    return event_scores(spark, sf_dir).select("event_code", "target_id", "time", event_probability().alias("event_prob"))
 
 
 ETC_SQL = ONE_SIDED_SQL + f""", hit AS (SELECT DISTINCT a.target_id, e.name FROM an a JOIN ef e ON a.event_code = e.event_code WHERE a.anomaly),
@@ -279,9 +277,8 @@ def event_forecast_p4(spark, sf_dir):
     top = scoring.top_share(event_rows(spark, sf_dir), ["event_code", "target_id", "time"], "score", "name", 3)
     note = F.concat("name", F.lit(":"), F.floor("contribution").cast("string"))
     explain = top.groupBy("event_code", "target_id", "time").agg(F.sort_array(F.collect_list(F.struct("rank", note.alias("note")))).alias("x")).withColumn("explain", F.array_join(F.transform("x", lambda s: s["note"]), ",")).drop("x")
-    rows = event_scores(spark, sf_dir).join(explain, ["event_code", "target_id", "time"]).join(F.broadcast(event_cdf(spark)))
-    p = F.element_at("cdf", F.least(F.ceil("score"), F.lit(99)).cast("int") + 1)
-    return rows.select("event_code", "target_id", F.col("time").alias("predict_time"), "anomaly", F.when(F.col("anomaly"), p).otherwise(0.0).alias("event_prob"), "explain")
+    rows = event_scores(spark, sf_dir).join(explain, ["event_code", "target_id", "time"])
+    return rows.select("event_code", "target_id", F.col("time").alias("predict_time"), "anomaly", F.when(F.col("anomaly"), event_probability()).otherwise(0.0).alias("event_prob"), "explain")
 
 
 KDE_SQL = METRIC_SQL + """, x AS (SELECT name, real_value / 50 AS v FROM mp WHERE time >= TIMESTAMP '2024-01-25'), g AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 99 AS at FROM range(100) t(i)),

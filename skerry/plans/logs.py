@@ -231,8 +231,8 @@ def embedding_cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     c = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
     centre = c.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
-    table_ = centre.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("template"), "centre"))).alias("templates"))  # a row: the bounded template table
+    table_ = centre.select(F.sort_array(F.collect_list(F.struct(F.col("label").alias("template"), "centre")))).scalar()  # the bounded template table
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     sims = F.transform("templates", lambda t: F.struct(F.round(dot(F.col("v"), t["centre"]) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(t["centre"], t["centre"])), 9).alias("sim"), (-t["template"]).alias("neg")))
-    best = e.join(F.broadcast(table_)).select("vec_id", F.array_max(sims).alias("best"))
+    best = e.withColumn("templates", table_).select("vec_id", F.array_max(sims).alias("best"))
     return best.select("vec_id", (-F.col("best.neg")).alias("template"), F.round("best.sim", 6).alias("similarity"), (F.col("best.sim") >= 0.2).alias("matched"))

@@ -147,9 +147,8 @@ WHERE time > t0 - INTERVAL 65 HOUR AND time <= t0 + INTERVAL 5 HOUR""")
 def dedup_and_late_filter(spark, sf_dir):
     """Saved and newly arrived points overlap; late and early ones are kept or served by their distance."""
     all_points = points(spark, sf_dir)
-    at = all_points.agg((F.max("time") - F.expr("INTERVAL '10' HOUR")).alias("at"))
-    rows = all_points.join(F.broadcast(at)).withColumn("at", F.col("at").cast("timestamp_ntz"))  # one row
-    out = frames.late_filter(rows, rows.where("name <> 'view'"), F.col("at"))
+    at = all_points.select((F.max("time") - F.expr("INTERVAL '10' HOUR")).cast("timestamp_ntz")).scalar()
+    out = frames.late_filter(all_points, all_points.where("name <> 'view'"), at)
     return out.select("time", "target_id", "name", r("real_value"), "served")
 
 
