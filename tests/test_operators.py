@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import frames, graphs, miner, scoring, smoothing, thresholds
-from skerry.sources import relations
+from skerry.operators import frames, graphs, miner, models, scoring, smoothing, thresholds
+from skerry.sources import relations, sinks
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -142,3 +142,24 @@ def test_empty(spark):
     assert not frames.interpolate(frames.on_spine(empty)).collect()
     assert not smoothing.band(empty).collect()
     assert not thresholds.pot(empty.select("target_id", "time", F.col("real_value").alias("score")), "target_id").collect()
+
+
+def test_upsert(spark):
+    schema = "k string, at int, v string"
+    now = spark.createDataFrame([("a", 1, "old"), ("b", 5, "keep")], schema)
+    change = spark.createDataFrame([("a", 1, "new"), ("b", 4, "late"), ("c", 1, "add")], schema)
+    assert sorted(tuple(r) for r in sinks.upsert(now, change, ["k"], "at").collect()) == [("a", 1, "new"), ("b", 5, "keep"), ("c", 1, "add")]
+
+
+def test_alarm_messages(spark):
+    rows = spark.createDataFrame([("t", 2), ("t", 1)], "target_id string, n int").select("target_id", F.struct("n").alias("item"))
+    got = sinks.alarm_messages(rows, rows.limit(0), rows.limit(0)).collect()
+    assert [(r.key, r.value) for r in got] == [("t", '{"inst_type":"log","target_id":"t","data":{"sparseLog":[{"n":1},{"n":2}]}}')]
+
+
+def test_models(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")
+    got = {n: row.select(models.score(n, F.col("v"), 3).alias("x")).first().x for n in ("persistence", "moving_average", "linear")}
+    assert got == {"persistence": [3, 3, 3], "moving_average": [2, 2, 2], "linear": [4, 5, 6]}
+    with pytest.raises(KeyError, match="E714"):
+        models.score("missing", F.col("v"))
