@@ -23,9 +23,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder in the shared root that no other run uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def drop_folders() -> None:
+    """Remove the folders that this driver's operators have written, once their results are saved elsewhere."""
+    while _WRITTEN:
+        store, path = open_fs(_WRITTEN.pop())
+        if store.get_file_info(path).type == pafs.FileType.Directory:
+            store.delete_dir(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skerry.llm import audio, bpe, catalogue, components, crc32c, near_dup, packing, quality, records, secrets, tokens, topk, toxicity, warc
+from skerry.llm import _shared, audio, bpe, catalogue, components, crc32c, near_dup, packing, quality, records, secrets, tokens, topk, toxicity, warc
 from skerry.llm._shared import open_fs
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +92,20 @@ def test_records(spark, docs, none, library):
     assert all(v == [*library(dict(TEXTS)[k]), 0] for k, v in shuffled.items())
 
 
+def test_folders_are_dropped(spark):
+    root = _shared.shared_root(spark)
+    df = _shared.materialize(spark.range(3), "gone")
+    assert df.count() == 3
+    kept = list(_shared._WRITTEN)
+    try:
+        _shared._WRITTEN[:] = kept[-1:]
+        _shared.drop_folders()
+        store, path = open_fs(kept[-1])
+        assert store.get_file_info(path).type.name == "NotFound" and kept[-1].startswith(root)
+    finally:
+        _shared._WRITTEN[:] = kept[:-1]
+
+
 def test_records_notice_damage(docs):
     file = records.write_records(docs).first()["data"]
     store, path = open_fs(file)
