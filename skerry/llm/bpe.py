@@ -4,7 +4,8 @@ A text's pieces are cut by the vocabulary's pattern, and every distinct piece of
 encoded once: its bytes become single-byte ids, and a fold joins the neighbouring pair of
 least rank, the leftmost of equals, until no pair has a rank, as the vocabulary's own
 library does. In such a vocabulary an id is its rank, so the fold keeps two arrays, the ids
-and the ranks of neighbouring pairs, and looks up only the two new pairs of each step.
+(between two edges) and the ranks of neighbouring pairs, and looks up only the two new
+pairs of each step.
 
 The rank map is a literal in the expression: pairs of ids with their rank, in an array that
 a displacement table makes free of collisions, so that a lookup reads two array elements
@@ -26,7 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = 2**31 - 1
+NONE = 2**31 - 1  # no token
+NO_RANK = 1 << 16  # ranks from here on are none
+EDGE = (1 << 16) - 1  # stands before and after a piece's ids; in no pair
 
 #: Fixed value: the pattern of the public byte-level vocabularies, with Unicode white space as they have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -111,12 +114,13 @@ class Vocabulary:
 
     def __init__(self, path: str | None = None, pattern: str = PATTERN) -> None:
         ranks = read_ranks(path or default_ranks())
-        if max(ranks.values()) >= 1 << 16:
+        if max(ranks.values()) >= EDGE:
             raise ValueError("ids of more than 16 bits")
         self.pattern = pattern
         shift, slots = displaced(pair_ranks(ranks))
         self.shift, self.slots, self.groups, self.size = _array(shift, "bigint"), _array(slots, "bigint"), len(shift), len(slots)
         self.single = _array([ranks[bytes([b])] for b in range(256)], "int")
+        self.first = _array([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "bigint")
         hexes = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             hexes[r] = t.hex().upper()
@@ -126,24 +130,24 @@ class Vocabulary:
         self.word_shift, self.word_groups, self.word_size = _array(shift, "bigint"), len(shift), len(slots)
         self.word_ids = _array([whole.get(k, NONE) for k in slots], "int")
 
-    def ranks(self, pairs: Column) -> Column:
-        """Rank of each pair (first * 65536 + second), NONE without one."""
+    def rank(self, pair: Column) -> Column:
+        """Rank of a pair (first * 65536 + second); NO_RANK or more without one.
 
-        def one(k: Column) -> Column:
-            slot = F.pmod(F.xxhash64(k, F.get(self.shift, F.pmod(F.xxhash64(k), F.lit(self.groups)).cast("int"))), F.lit(self.size)).cast("int")
-            return _let(F.get(self.slots, slot), lambda s: F.when(F.shiftright(s, 16) == k, s.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE)))
-
-        return F.transform(pairs, one)
+        A slot less the pair's own key is its rank, and with the sign bit off no other slot's is as small.
+        """
+        shift = F.get(self.shift, F.xxhash64(pair).bitwiseAND(F.lit(self.groups - 1)).cast("int"))
+        slot = F.xxhash64(pair, shift).bitwiseAND(F.lit(self.size - 1)).cast("int")
+        return (F.get(self.slots, slot) - pair * 65536).bitwiseAND(F.lit(2**63 - 1))
 
     def _bytes(self, word: Column) -> Column:
-        """Single-byte ids of a string: a code point's UTF-8 bytes by arithmetic."""
+        """Bytes of a string: a code point's UTF-8 bytes by arithmetic."""
 
         def of(c: Column) -> Column:
             tail = lambda n: F.shiftright(c, n).bitwiseAND(F.lit(63)) + 128
             return F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 0xC0, tail(0))).when(c < 0x10000, F.array(F.shiftright(c, 12) + 0xE0, tail(6), tail(0))).otherwise(F.array(F.shiftright(c, 18) + 0xF0, tail(12), tail(6), tail(0)))
 
         points = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.ascii(F.substring(word, i, F.lit(1))))
-        return F.transform(F.flatten(F.transform(points, of)), lambda b: F.get(self.single, b))
+        return F.flatten(F.transform(points, of))
 
     def whole(self, word: Column) -> Column:
         """Id of a piece that is itself a token, else null: its slot's bytes are compared."""
@@ -160,28 +164,33 @@ class Vocabulary:
 
     def fold(self, word: Column) -> Column:
         """Ids of one piece by its merges."""
-        packed = lambda a, b: a.cast("bigint") * 65536 + b
+        edge = F.array(F.lit(EDGE))
 
-        def start(ids: Column) -> Column:
-            pairs = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), packed)
-            return F.struct(ids.alias("ids"), self.ranks(pairs).alias("ranks"))
+        def start(data: Column) -> Column:
+            ids = F.concat(edge, F.transform(data, lambda b: F.get(self.single, b)), edge)
+            pairs = F.zip_with(F.slice(data, F.lit(1), F.size(data) - 1), F.slice(data, F.lit(2), F.size(data)), lambda a, b: F.get(self.first, a * 256 + b))
+            none = F.array(F.lit(NO_RANK).cast("bigint"))
+            return F.struct(ids.alias("ids"), F.concat(none, pairs, none).alias("ranks"))
 
         def step(s: Column, _: Column) -> Column:
+            ids, ranks = s["ids"], s["ranks"]
+
             def joined(m: Column) -> Column:
-                def at(i: Column) -> Column:
-                    ids, ranks, last = s["ids"], s["ranks"], F.size(s["ids"])
-                    left = F.when(i > 1, F.array(packed(F.get(ids, i - 2), m))).otherwise(F.array().cast("array<bigint>"))
-                    right = F.when(i + 1 < last, F.array(packed(m, F.get(ids, i + 1)))).otherwise(F.array().cast("array<bigint>"))
+                def at(i: Column) -> Column:  # ids i and i + 1, counted from 1, become m
+                    new = F.array(F.get(ids, i - 2).cast("bigint") * 65536 + m, m * 65536 + F.get(ids, i + 1))
                     return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(m), F.slice(ids, i + 2, last)).alias("ids"),
-                        F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), self.ranks(F.concat(left, right)), F.slice(ranks, i + 2, last)).alias("ranks"),
+                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(m.cast("int")), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
+                        F.concat(F.slice(ranks, F.lit(1), i - 2), F.transform(new, self.rank), F.slice(ranks, i + 2, F.size(ids))).alias("ranks"),
                     )
 
-                return F.when(F.coalesce(m, F.lit(NONE)) == NONE, s).otherwise(_let(F.array_position(s["ranks"], m).cast("int"), at))
+                return F.when(m >= NO_RANK, s).otherwise(_let(F.array_position(ranks, m).cast("int"), at))
+
+            return _let(F.array_min(ranks), joined)
 
-            return _let(F.array_min(s["ranks"]), joined)
+        def folded(data: Column) -> Column:
+            return _let(F.aggregate(F.sequence(F.lit(1), F.size(data)), start(data), step)["ids"], lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))
 
-        return _let(self._bytes(word), lambda ids: F.when(F.size(ids) == 1, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step)["ids"]))
+        return _let(self._bytes(word), folded)
 
     def encode(self, text: Column) -> Column:
         """Ids of a text: its distinct pieces are encoded and put back in order."""
