@@ -1,18 +1,21 @@
 """Byte-level BPE with Spark's higher-order functions, and its way back.
 
-A text's pieces are cut by the vocabulary's pattern, and every distinct piece of a document is
-encoded once: its bytes become single-byte ids, and a fold joins the neighbouring pair of
-least rank, the leftmost of equals, until no pair has a rank, as the vocabulary's own
-library does. In such a vocabulary an id is its rank, so the fold keeps two arrays, the ids
-(between two edges) and the ranks of neighbouring pairs, and looks up only the two new
-pairs of each step.
-
-The rank map is a literal in the expression: pairs of ids with their rank, in an array that
-a displacement table makes free of collisions, so that a lookup reads two array elements
-(Spark's own map lookup scans all entries). Decoding looks each id's bytes up in a literal
-array and joins them.
-
-The main path has no Python. A piece of n bytes takes time with n squared.
+A text's pieces are cut by the vocabulary's pattern. Every distinct piece of a block of
+documents is encoded once: its bytes become single-byte ids, and a fold joins the
+neighbouring pair of least rank, the leftmost of equals, until no pair has a rank, as the
+vocabulary's own library does. In such a vocabulary an id is its rank, so the fold keeps
+one array of longs between two edges: rank of a token with its right neighbour, place of
+its first byte, id. The least element tells the next pair; only the ranks of the joined
+token with its two neighbours are looked up anew.
+
+The rank map is a literal in the expression: the pairs of a first id are a row, rows are laid
+over each other so that no two pairs share a slot, and a lookup reads a row's offset and one
+slot (Spark's own map lookup scans all entries). Decoding looks each id's bytes up in a
+literal array and joins them.
+
+A block is what one task has read, up to BLOCK_PIECES pieces (or one batch of rows); numbering
+its distinct pieces and laying their ids out by document are Arrow calls, so nothing is shuffled.
+How rows fall into blocks changes no result. A piece of n bytes takes time with n squared.
 
 Rows: null text counts as empty and has no ids (and an empty decoded text); null and
 repeated doc_ids are kept; other columns are ignored; an empty table gives no rows.
@@ -22,14 +25,19 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE = 2**31 - 1  # no token
-NO_RANK = 1 << 16  # ranks from here on are none
+NO_RANK = 1 << 16  # no pair
 EDGE = (1 << 16) - 1  # stands before and after a piece's ids; in no pair
+PLACE, RANK = 16, 46  # first bits of an element's place and rank
+BLOCK_PIECES = 4_000_000  # pieces held at once by a task, some 100 MB
 
 #: Fixed value: the pattern of the public byte-level vocabularies, with Unicode white space as they have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -53,6 +61,37 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return {ranks[t[:i]] << 16 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
+def overlaid(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Offset of each first id's row, and slots: the pair (a, b) has offset[a] + b to itself, with a * 131072 + rank.
+
+    Long rows come first; a row takes the first offset where all its slots are free.
+    """
+    keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+    firsts, starts = np.unique(keys >> 16, return_index=True)
+    rows = sorted(zip(firsts.tolist(), np.split(keys & 0xFFFF, starts[1:]), strict=True), key=lambda x: -len(x[1]))
+    free, offsets, lowest = np.ones(len(pairs) + (2 << 16), bool), np.zeros(1 << 16, np.int64), 0
+    for first, seconds in rows:
+        at, found = max(lowest - int(seconds[0]), 0), -1
+        while found < 0:
+            tried = np.arange(at, at + 4096)
+            if (most := at + 4096 + (1 << 16)) > len(free):
+                free = np.concatenate([free, np.ones(most, bool)])
+            fits = tried[free[tried + seconds[0]]]
+            for second in seconds[1:]:
+                if not len(fits):
+                    break
+                fits = fits[free[fits + second]]
+            found, at = int(fits[0]) if len(fits) else -1, at + 4096
+        offsets[first] = found
+        free[found + seconds] = False
+        while not free[lowest]:
+            lowest += 1
+    slots = np.full(int(offsets.max()) + (1 << 16), -1, np.int64)
+    for first, seconds in rows:
+        slots[offsets[first] + seconds] = [first << 17 | pairs[first << 16 | second] for second in seconds.tolist()]
+    return offsets, slots
+
+
 def _hash(value: int, seed: int = 42) -> int:
     """Spark's xxhash64 of one long."""
     h = xxhash.xxh64_intdigest((value & (2**64 - 1)).to_bytes(8, "little"), seed)
@@ -74,28 +113,27 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def displaced(keys: dict[int, int], pack: bool = True) -> tuple[list[int], list[int | None]]:
+def displaced(keys: list[int]) -> tuple[list[int], list[int | None]]:
     """Displacements and slots without collisions: a key's slot hangs on its hash and its group's displacement.
 
-    A slot holds key * 65536 + value, or -1; without ``pack`` the key, or None.
+    A slot holds its key, or None.
     """
     groups = 1 << max(4, (len(keys) // 4).bit_length())
     size = 1 << max(6, (len(keys) * 2 - 1).bit_length())
     members: list[list[int]] = [[] for _ in range(groups)]
     for k in keys:
         members[_hash(k) % groups].append(k)
-    empty = -1 if pack else None
-    shift, slots = [0] * groups, [empty] * size
+    shift, slots = [0] * groups, [None] * size
     for g in sorted(range(groups), key=lambda g: -len(members[g])):
         for d in range(1 << 20):
             at = [_hash(d, _hash(k) & (2**64 - 1)) % size for k in members[g]]
-            if len(set(at)) == len(at) and all(slots[i] == empty for i in at):
+            if len(set(at)) == len(at) and all(slots[i] is None for i in at):
                 break
         else:
             raise ValueError("no displacement found")
         shift[g] = d
         for k, i in zip(members[g], at, strict=True):
-            slots[i] = k << 16 | keys[k] if pack else k
+            slots[i] = k
     return shift, slots
 
 
@@ -117,37 +155,25 @@ class Vocabulary:
         if max(ranks.values()) >= EDGE:
             raise ValueError("ids of more than 16 bits")
         self.pattern = pattern
-        shift, slots = displaced(pair_ranks(ranks))
-        self.shift, self.slots, self.groups, self.size = _array(shift, "bigint"), _array(slots, "bigint"), len(shift), len(slots)
-        self.single = _array([ranks[bytes([b])] for b in range(256)], "int")
-        self.first = _array([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "bigint")
+        offsets, slots = overlaid(pair_ranks(ranks))
+        self.offsets, self.slots = _array(offsets.tolist(), "bigint"), _array(slots.tolist(), "bigint")
+        self.single = _array([ranks[bytes([b])] for b in range(256)], "bigint")
         hexes = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             hexes[r] = t.hex().upper()
         self.hexes = _array(hexes, "string")
         whole = {_word_hash(t): r for t, r in ranks.items() if _is_text(t)}
-        shift, slots = displaced(whole, pack=False)
+        shift, slots = displaced(list(whole))
         self.word_shift, self.word_groups, self.word_size = _array(shift, "bigint"), len(shift), len(slots)
         self.word_ids = _array([whole.get(k, NONE) for k in slots], "int")
 
-    def rank(self, pair: Column) -> Column:
-        """Rank of a pair (first * 65536 + second); NO_RANK or more without one.
+    def rank(self, a: Column, b: Column) -> Column:
+        """Rank of a pair of ids; NO_RANK without one, or without ``b``.
 
-        A slot less the pair's own key is its rank, and with the sign bit off no other slot's is as small.
+        A slot less its own row's number is a rank; with the sign bit off, other rows' slots give more than any.
         """
-        shift = F.get(self.shift, F.xxhash64(pair).bitwiseAND(F.lit(self.groups - 1)).cast("int"))
-        slot = F.xxhash64(pair, shift).bitwiseAND(F.lit(self.size - 1)).cast("int")
-        return (F.get(self.slots, slot) - pair * 65536).bitwiseAND(F.lit(2**63 - 1))
-
-    def _bytes(self, word: Column) -> Column:
-        """Bytes of a string: a code point's UTF-8 bytes by arithmetic."""
-
-        def of(c: Column) -> Column:
-            tail = lambda n: F.shiftright(c, n).bitwiseAND(F.lit(63)) + 128
-            return F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 0xC0, tail(0))).when(c < 0x10000, F.array(F.shiftright(c, 12) + 0xE0, tail(6), tail(0))).otherwise(F.array(F.shiftright(c, 18) + 0xF0, tail(12), tail(6), tail(0)))
-
-        points = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.ascii(F.substring(word, i, F.lit(1))))
-        return F.flatten(F.transform(points, of))
+        slot = F.get(self.slots, F.get(self.offsets, a) + b)
+        return F.least((slot - F.shiftleft(a, 17)).bitwiseAND(F.lit(2**63 - 1)), F.lit(NO_RANK).cast("bigint"))
 
     def whole(self, word: Column) -> Column:
         """Id of a piece that is itself a token, else null: its slot's bytes are compared."""
@@ -164,53 +190,94 @@ class Vocabulary:
 
     def fold(self, word: Column) -> Column:
         """Ids of one piece by its merges."""
-        edge = F.array(F.lit(EDGE))
+        edge = lambda place: F.array(F.lit((NO_RANK << RANK) + (place << PLACE) + EDGE))
+        places = (1 << RANK) - (1 << PLACE)
+        token = lambda x: x.bitwiseAND(F.lit(EDGE))
 
-        def start(data: Column) -> Column:
-            ids = F.concat(edge, F.transform(data, lambda b: F.get(self.single, b)), edge)
-            pairs = F.zip_with(F.slice(data, F.lit(1), F.size(data) - 1), F.slice(data, F.lit(2), F.size(data)), lambda a, b: F.get(self.first, a * 256 + b))
-            none = F.array(F.lit(NO_RANK).cast("bigint"))
-            return F.struct(ids.alias("ids"), F.concat(none, pairs, none).alias("ranks"))
+        def start(ids: Column) -> Column:
+            ranked = lambda a, i: F.shiftleft(self.rank(a, F.get(ids, i + 1)), RANK) + F.shiftleft(i.cast("bigint") + 1, PLACE) + a
+            return F.concat(edge(0), F.transform(ids, ranked), edge(places >> PLACE))
 
         def step(s: Column, _: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
-
-            def joined(m: Column) -> Column:
-                def at(i: Column) -> Column:  # ids i and i + 1, counted from 1, become m
-                    new = F.array(F.get(ids, i - 2).cast("bigint") * 65536 + m, m * 65536 + F.get(ids, i + 1))
-                    return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(m.cast("int")), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                        F.concat(F.slice(ranks, F.lit(1), i - 2), F.transform(new, self.rank), F.slice(ranks, i + 2, F.size(ids))).alias("ranks"),
+            def joined(least: Column) -> Column:
+                new = F.shiftright(least, RANK)
+
+                def at(i: Column) -> Column:  # elements i and i + 1, counted from 1, become one
+                    before = F.get(s, i - 2)
+                    pair = F.array(
+                        F.shiftleft(self.rank(token(before), new), RANK) + before.bitwiseAND(F.lit((1 << RANK) - 1)),
+                        F.shiftleft(self.rank(new, token(F.get(s, i + 1))), RANK) + least.bitwiseAND(F.lit(places)) + new,
                     )
+                    return F.concat(F.slice(s, F.lit(1), i - 2), pair, F.slice(s, i + 2, F.size(s)))
 
-                return F.when(m >= NO_RANK, s).otherwise(_let(F.array_position(ranks, m).cast("int"), at))
-
-            return _let(F.array_min(ranks), joined)
+                # array_position ends its search by an exception, which costs more than all the rest
+                before = lambda p: F.size(F.filter(s, lambda x: x.bitwiseAND(F.lit(places)) < p))
+                return F.when(least >= F.lit(NO_RANK << RANK), s).otherwise(_let(_let(least.bitwiseAND(F.lit(places)), before) + 1, at))
 
-        def folded(data: Column) -> Column:
-            return _let(F.aggregate(F.sequence(F.lit(1), F.size(data)), start(data), step)["ids"], lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))
+            return _let(F.array_min(s), joined)
 
-        return _let(self._bytes(word), folded)
+        def folded(ids: Column) -> Column:
+            ended = F.aggregate(F.sequence(F.lit(2), F.size(ids) + 1), start(ids), step)  # the last step finds nothing
+            return _let(ended, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: token(x).cast("int")))
 
-    def encode(self, text: Column) -> Column:
-        """Ids of a text: its distinct pieces are encoded and put back in order."""
+        each = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
+        return _let(F.transform(each, lambda c: F.get(self.single, F.ascii(c))), folded)
 
-        def in_order(words: Column) -> Column:
-            known = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), self.encode_word(w).alias("ids"))))
-            return _let(known, lambda m: F.flatten(F.transform(words, lambda w: m[w])))
-
-        return _let(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), in_order)
+    def pieces(self, text: Column) -> Column:
+        """A text's pieces by the pattern, in order."""
+        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hexes, i)), ""))
 
 
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row: the distinct pieces of some documents, and each document's pieces as numbers of those."""
+    lists = [b.column("pieces") for b in held]
+    pieces = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+    counts = pa.concat_arrays([x.value_lengths() for x in lists])
+    one = lambda kind, x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+    ids = pa.concat_arrays([b.column("doc_id") for b in held])
+    return pa.RecordBatch.from_arrays([one(pa.int64(), ids), one(pa.int32(), counts), one(pa.int32(), pieces.indices), one(pa.string(), pieces.dictionary)], ["doc_ids", "counts", "places", "words"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and their pieces, in blocks of about BLOCK_PIECES."""
+    held, pieces = [], 0
+    for b in batches:
+        held.append(b)
+        pieces += len(b.column("pieces").flatten())
+        if pieces >= BLOCK_PIECES:
+            yield _joined(held)
+            held, pieces = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of a block's documents, from the ids of its distinct pieces."""
+    for b in batches:
+        for i in range(b.num_rows):
+            doc_ids, counts, places, encoded = (b.column(c)[i].values for c in ("doc_ids", "counts", "places", "encoded"))
+            lengths = encoded.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(counts.to_numpy())])
+            at = 0
+            while at < len(doc_ids):  # some documents at a time
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_PIECES // 16, "right")) - 1)
+                part = places.slice(ends[at], ends[to] - ends[at])
+                starts = np.concatenate([[0], np.cumsum(lengths[part.to_numpy()])])[ends[at : to + 1] - ends[at]]
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), encoded.take(part).flatten())], ["doc_id", "ids"])
+                at = to
+
+
 def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids and the bytes that the ids decode to, for every document."""
     own = Vocabulary(ranks, pattern)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", own.encode(F.col("text")).alias("ids")).withColumn("decoded", own.decode(F.col("ids")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.pieces(F.coalesce("text", F.lit(""))).alias("pieces"))
+    blocks = rows.mapInArrow(_blocks, "doc_ids array<bigint>, counts array<int>, places array<int>, words array<string>")
+    encoded = blocks.select("doc_ids", "counts", "places", F.transform("words", own.encode_word).alias("encoded"))
+    return encoded.mapInArrow(_laid_out, "doc_id long, ids array<int>").withColumn("decoded", own.decode(F.col("ids")))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -405,12 +405,36 @@ def test_bpe(spark, tiktoken_encode):
     assert not bpe.digests(bpe.encode_documents(rows.limit(0))).collect()
 
 
+def test_bpe_blocks(spark, tiktoken_encode, monkeypatch):
+    """Blocks of one piece, documents laid out one at a time: the same ids; ranks of equal pairs, leftmost first."""
+    texts = [(i, " ".join(["ababab aaaaaaa", "ünïcödé", "xyzzyx" * i][: i % 4])) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    pieces = docs.select("doc_id", F.split("text", "(?<=b)").alias("pieces")).toArrow().to_batches(max_chunksize=7)
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 1)
+    blocks = list(bpe._blocks(iter(pieces)))
+    assert len(blocks) == len(pieces) and all(b.num_rows == 1 for b in blocks)
+    for b in blocks:
+        words = b.column("words")[0].as_py()
+        assert len(set(words)) == len(words)
+        coded = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([[[ord(c) for c in w] for w in words]], pa.list_(pa.list_(pa.int32())))], ["doc_ids", "counts", "places", "encoded"])
+        for r in pa.Table.from_batches(bpe._laid_out(iter([coded]))).to_pylist():
+            assert "".join(map(chr, r["ids"])) == dict(texts)[r["doc_id"]]
+    assert {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs).collect()} == {i: tiktoken_encode(t) for i, t in texts}
+
+
 def test_displacement_finds_all():
-    keys = {i * i + 1: i % 60000 for i in range(3000)}
+    keys = [i * i + 1 for i in range(3000)]
     shift, slots = bpe.displaced(keys)
-    for k, v in keys.items():
-        at = bpe._hash(shift[bpe._hash(k) % len(shift)], bpe._hash(k) & (2**64 - 1)) % len(slots)
-        assert slots[at] == k << 16 | v
+    for k in keys:
+        assert slots[bpe._hash(shift[bpe._hash(k) % len(shift)], bpe._hash(k) & (2**64 - 1)) % len(slots)] == k
+
+
+def test_overlaid_rows_share_no_slot():
+    pairs = {(i * i * 7919 % 60000) << 16 | i * 31 % 60000: i % 50000 for i in range(4000)}
+    offsets, slots = bpe.overlaid(pairs)
+    assert len(slots) == offsets.max() + 65536 and (slots >= 0).sum() == len(pairs)
+    for k, v in pairs.items():
+        assert slots[offsets[k >> 16] + (k & 0xFFFF)] == (k >> 16) << 17 | v
 
 
 def test_top_k(spark):
