@@ -249,8 +249,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(b)
         pieces += len(b.column("pieces").flatten())
         if pieces >= BLOCK_PIECES:
-            yield _joined(held)
-            held, pieces = [], 0
+            block, held, pieces = _joined(held), [], 0  # texts go before the block is worked on
+            yield block
     if held:
         yield _joined(held)
 
