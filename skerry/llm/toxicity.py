@@ -11,9 +11,11 @@ once) divided by their number of letters, put through a logistic curve fitted to
 labelled rows.
 
 Counts come from every labelled row (never held-out ones): the documents that have a word
-are counted by a partially aggregated groupBy, and letter sequences from the counted words. Sequences go to
-the tasks only if they make up ``floor`` of a class's letters, so at most 2 / floor of
-them, at any size of the corpus; rarer ones are left to the shared backoff.
+are counted by a partially aggregated groupBy, and letter sequences from the counted words.
+All sequences, contexts and continuations are tables that grow with the corpus; so are the
+differences, which are joined with the sequences of the distinct words of all documents.
+The values of the ``CACHE`` words that most documents have go to the tasks, so that
+documents send only their other words to a join: a cache, which changes no result.
 
 Rows: null and empty texts have no letters and get the curve's value at 0; null doc_ids
 are held out; repeated doc_ids are all scored; without labels of both classes every
@@ -26,8 +28,8 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,7 @@ from .labelled import held_out, logistic, training_labels
 from .tokens import slices
 
 ORDER, DISCOUNT, ERRORS, FIRST = 8, 0.75, 5.0, 1.5
-FLOOR = 2e-6
-LEAST = 3
+CACHE, CACHED_LETTERS = 200_000, 64
 _WORD = re.compile(r"\w+")
 
 
@@ -96,7 +97,10 @@ def _count_sequences(order: int):
 
 
 def shared_backoff(grams: list[str], discount: float = DISCOUNT):
-    """P(letter | context) of Kneser-Ney over distinct continuations of both classes' sequences."""
+    """P(letter | context) of Kneser-Ney over distinct continuations of both classes' sequences.
+
+    For lists in memory; ``backoff_table`` gives the same for tables.
+    """
     kinds: Counter = Counter()
     level = set(grams)
     while level:  # each sequence without its first letter, counted once for each distinct letter before it
@@ -131,6 +135,7 @@ def differences(grams: list[tuple[str, int, int]], discount: float = DISCOUNT, e
     ``errors`` standard errors of its counts is chance: both classes then use the shared
     model, and the difference is 0, as it is for sequences that were not counted. A word's
     first letter tells languages apart rather than classes, so it counts only beyond ``FIRST``.
+    For lists in memory; ``difference_table`` gives the same for tables.
     """
     shared = shared_backoff([g for g, _, _ in grams], discount)
     total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -153,90 +158,170 @@ def differences(grams: list[tuple[str, int, int]], discount: float = DISCOUNT, e
     return known
 
 
-class Judge:
-    """Length-normalised difference of texts; words' differences are remembered."""
+def _before(gram: str):
+    """A sequence without its last letter."""
+    return F.substr(F.col(gram), F.lit(1), F.length(gram) - 1)
 
-    def __init__(self, known: dict[str, float], order: int) -> None:
-        self.known, self.order, self.memo = known, order, {}
 
-    def __call__(self, text: str | None) -> float:
-        known_, memo, order = self.known, self.memo, self.order
-        value, n = 0.0, 0
-        for word in sorted(set(words_of(text))):
-            got = memo.get(word)
-            if got is None:
-                got = (sum(known_.get(g, 0.0) for g in sequences(word, order)), len(word) + 1)
-                if len(word) <= 64:
-                    if len(memo) >= 400_000:
-                        memo.clear()
-                    memo[word] = got
-            value += got[0]
-            n += got[1]
-        return value / n if n else 0.0
+def _after(gram: str):
+    """A sequence without its first letter."""
+    return F.substr(F.col(gram), F.lit(2))
 
 
-def _raw(known, order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("difference", pa.float64())])
+def backoff_table(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(tail, shared): ``shared_backoff`` of every sequence without its first letter, and of all that these back off to.
+
+    Longer sequences are settled by a join with those one letter shorter.
+    """
+    cuts = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda at: F.struct(at.alias("at"), F.substr(F.col("gram"), at).alias("part")))
+    parts = grams.where(F.length("gram") > 1).select(F.explode(cuts).alias("x")).select("x.at", "x.part").distinct()
+    kinds = materialize(parts.groupBy(_after("part").alias("tail")).agg(F.count("*").alias("n")), "kinds")
+    sums = kinds.groupBy(_before("tail").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("fan"))
+    letters = kinds.where(F.length("tail") == 1).count()
+    own, below = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"), discount * F.col("fan") / F.col("total")
+    terms = materialize(kinds.join(sums, _before("tail") == F.col("context")).select("tail", own.alias("own"), below.alias("below")), "terms")
+    done = [materialize(terms.where(F.length("tail") == 1).select("tail", (F.col("own") + F.col("below") / (letters + 1)).alias("shared")), "shared")]
+    for n in range(2, order):
+        shorter = done[-1].select(F.col("tail").alias("shorter"), "shared")
+        level = terms.where(F.length("tail") == n).join(shorter, _after("tail") == F.col("shorter"))
+        done.append(materialize(level.select("tail", (F.col("own") + F.col("below") * F.col("shared")).alias("shared")), "shared"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def difference_table(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, errors: float = ERRORS) -> DataFrame:
+    """(gram, difference): ``differences`` of a table of sequences (gram, toxic, plain), which is read more than once."""
+    t, o, nt, no = (F.col(c) for c in ("toxic", "plain", "nt", "no"))
+    totals = grams.groupBy(_before("gram").alias("context")).agg(F.sum("toxic").alias("nt"), F.sum("plain").alias("no"), F.count_if(t > 0).alias("kt"), F.count_if(o > 0).alias("ko"))
+    rows = grams.join(totals, _before("gram") == F.col("context")).join(backoff_table(grams, order, discount), _after("gram") == F.col("tail"))
+    pooled = F.greatest(t + o - discount, F.lit(0.0)) / (nt + no) + discount * F.greatest("kt", "ko") / (nt + no) * F.col("shared")
+    rows = rows.withColumn("pooled", pooled)
+    p = [F.when(m > 0, (F.greatest(c - discount, F.lit(0.0)) + discount * F.col(k) * F.col("pooled")) / F.nullif(m, F.lit(0))).otherwise(F.col("pooled")) for c, m, k in ((t, nt, "kt"), (o, no, "ko"))]
+    spread = 1 / (t + 0.5) - 1 / (nt + 1) + 1 / (o + 0.5) - 1 / (no + 1)
+    least = F.greatest(errors * F.sqrt(F.greatest(spread, F.lit(1e-9))), F.when(F.length("gram") < 3, FIRST).otherwise(0.0))
+    return rows.select("gram", (F.log(p[0]) - F.log(p[1])).alias("difference"), least.alias("least")).where(F.abs("difference") > F.col("least")).drop("least")
+
+
+def _spell(order: int):
+    schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("gram", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(known.value, order)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([judge(t) for t in part.column("text").to_pylist()], pa.float64())], schema=schema)
+            ids, at, grams = [], [], []
+            for key, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
+                own = sequences(word, order)
+                ids += [key] * len(own)
+                at += range(len(own))
+                grams += own
+                if len(ids) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(grams, pa.string())], schema=schema)
+                    ids, at, grams = [], [], []
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(grams, pa.string())], schema=schema)
 
     return run
 
 
-def _pass(known, order: int, most: float):
+def _in_order(value: str, by: str):
+    """Sum of a column in the order of another, so that it comes out the same in every run."""
+    return F.aggregate(F.sort_array(F.collect_list(F.struct(by, value))), F.lit(0.0), lambda s, x: s + x[value])
+
+
+def word_values(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
+    """(word, docs, value): the sum of the differences of each distinct word's sequences, and how many documents have it."""
+    counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
+    words = counted.groupBy("word").agg(F.sum("plain").alias("docs")).withColumn("id", F.monotonically_increasing_id())
+    words = materialize(words, "vocabulary")
+    spelt = words.select("id", "word").mapInArrow(_spell(order), "id long, at int, gram string")
+    values = spelt.join(known, "gram").groupBy("id").agg(_in_order("difference", "at").alias("value"))
+    return materialize(words.join(values, "id", "left").select("word", "docs", F.coalesce("value", F.lit(0.0)).alias("value")), "values")
+
+
+def _cached(values: DataFrame, most: int) -> dict[str, float]:
+    """At most ``most`` of the words that most documents have, with their values."""
+    step = F.floor(F.log2("docs") * 4)
+    short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
+    cut, left = None, most
+    for r in short.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():
+        left -= r.n
+        if left < 0:
+            break
+        cut = r.step
+    return {} if cut is None else dict(short.where(F.col("step") >= cut).select("word", "value").toPandas().itertuples(index=False, name=None))
+
+
+def _partly(cached):
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("known", pa.float64()), ("letters", pa.int64()), ("rest", pa.list_(pa.string()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(known.value, order)
+        values = cached.value
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array([judge(t) < most for t in part.column("text").to_pylist()], pa.bool_()))
+                known, letters, rest = [], [], []
+                for text in part.column("text").to_pylist():
+                    words = sorted(set(words_of(text)))
+                    known.append(sum(values.get(w, 0.0) for w in words))
+                    letters.append(sum(map(len, words)) + len(words))
+                    rest.append([w for w in words if w not in values])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(known, pa.float64()), pa.array(letters, pa.int64()), pa.array(rest, pa.list_(pa.string()))], schema=schema)
 
     return run
 
 
-class ToxicityModel:
-    """The fitted differences and the logistic curve over them."""
+def _key(text):
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
-    def __init__(self, known: dict[str, float], slope: float, offset: float, order: int) -> None:
-        self.known, self.slope, self.offset, self.order = known, slope, offset, order
 
-    def raw(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, difference) of the length-normalised log-likelihoods."""
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return rows.mapInArrow(_raw(docs.sparkSession.sparkContext.broadcast(self.known), self.order), "doc_id long, difference double")
+def text_differences(docs: DataFrame, known: DataFrame, order: int = ORDER, cache: int = CACHE) -> DataFrame:
+    """(doc_id, key, difference): length-normalised difference of every document over its distinct words; ``key`` is its text's digest."""
+    values = word_values(docs, known, order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_cached(values, cache))
+    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, known double, letters long, rest array<string>")
+    partly = materialize(partly.withColumn("row", F.monotonically_increasing_id()), "partly")
+    other = partly.select("row", F.explode("rest").alias("word")).join(values.where("value <> 0").select("word", "value"), "word")
+    other = other.groupBy("row").agg(_in_order("value", "word").alias("other"))
+    total = F.col("known") + F.coalesce("other", F.lit(0.0))
+    return partly.drop("rest").join(other, "row", "left").select("doc_id", "key", F.when(F.col("letters") > 0, total / F.col("letters")).otherwise(0.0).alias("difference"))
+
+
+class ToxicityModel:
+    """The logistic curve over the differences."""
+
+    def __init__(self, slope: float, offset: float) -> None:
+        self.slope, self.offset = slope, offset
 
     def curve(self, raw: DataFrame) -> DataFrame:
         """doc_id, held_out, score, predicted from (doc_id, difference)."""
         score = 1 / (1 + F.exp(-(F.col("difference") * self.slope + self.offset)))
         return raw.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-
-    def accept(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-        """The rows of ``docs`` that score below the threshold, with all their columns."""
+    def accept(self, docs: DataFrame, raw: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """The rows of ``docs``, of which ``raw`` has the differences, that score below the threshold, with all their columns."""
         if not self.slope > 0:
             return docs if 1 / (1 + math.exp(-self.offset)) < threshold else docs.limit(0)
         most = (math.log(threshold / (1 - threshold)) - self.offset) / self.slope
-        return docs.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(self.known), self.order, most), docs.schema)
+        rejected = raw.where(F.col("difference") >= most).select(F.col("key").alias("_rejected")).distinct()
+        return docs.join(rejected, _key(docs["text"]) == F.col("_rejected"), "left_anti")
+
+
+def count_sequences(docs: DataFrame, y: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, toxic, plain): the letter sequences of all labelled rows that are not held out, by the documents that have their words."""
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out()).join(y, "doc_id")
+    counted = train.select("text", "y").mapInArrow(_count_words, "word string, toxic long, plain long")
+    words = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    grams = words.mapInArrow(_count_sequences(order), "gram string, toxic long, plain long")
+    return materialize(grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "sequences")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, floor: float = FLOOR, least: int = LEAST) -> tuple[ToxicityModel, DataFrame]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tuple[ToxicityModel, DataFrame]:
     """Learn from the labelled rows that are not held out; the model, and every document's difference.
 
     The curve is fitted to counts of labelled rows in at most 4096 bins of the difference.
     """
     y = materialize(training_labels(labels, "toxic"), "labels")
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out()).join(y, "doc_id")
-    counted = train.select("text", "y").mapInArrow(_count_words, "word string, toxic long, plain long")
-    words = materialize(counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "words")
-    letters = words.agg(*(F.coalesce(F.sum(F.col(c) * (F.length("word") + 1)), F.lit(0)).alias(c) for c in ("toxic", "plain"))).first()
-    grams = words.mapInArrow(_count_sequences(order), "gram string, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    often = (F.col("toxic") >= max(least, letters[0] * floor)) | (F.col("plain") >= max(least, letters[1] * floor))
-    known = differences([tuple(r) for r in grams.where(often).orderBy("gram").toPandas().itertuples(index=False)])
-    model = ToxicityModel(known, 0.0, 0.0, order)
-    raw = materialize(model.raw(docs), "differences")
+    known = materialize(difference_table(count_sequences(docs, y, order), order), "known")
+    raw = materialize(text_differences(docs, known, order), "differences")
+    model = ToxicityModel(0.0, 0.0)
     low, high = raw.agg(F.min("difference"), F.max("difference")).first()
     span = (high - low) / 4096 if low is not None and high > low else 1.0
     bins = raw.join(y, "doc_id").groupBy(F.floor((F.col("difference") - (low or 0.0)) / span).alias("bin")).agg(F.avg("difference").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()
@@ -259,4 +344,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject."""
-    return fit_toxicity(docs, labels)[0].accept(docs)
+    model, raw = fit_toxicity(docs, labels)
+    return model.accept(docs, raw)
