@@ -14,6 +14,7 @@ doc_ids are packed like others; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,70 +54,111 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(lens, fills, items, a: int, capacity: int):
-    """The exchange that fills another bin most with pieces of bin ``a``: (items out, bin, items back)."""
-    best, found = 0, None
-    others = [b for b in items if b != a]
-    if not others:
-        return None
-    inside = sorted({int(lens[i]): i for i in items[a]}.items())
-    pool = np.array([i for b in others for i in items[b]], dtype=np.int64)
-    owner = np.array([b for b in others for _ in items[b]], dtype=np.int64)
-    size, room, fill = lens[pool], capacity - fills[owner], fills[owner]
-    out = [(n, (i,)) for n, i in inside]
-    two = {}
-    for x, i in enumerate(items[a]):
-        for j in items[a][x + 1 :]:
-            two.setdefault(int(lens[i] + lens[j]), (i, j))
-    for k, (n, own) in enumerate([*out, *two.items()]):
-        if k < len(out):  # move, where a bin has the room
-            gain = np.where(n <= room, 2 * n * (fill - fills[a] + n), 0)
-            at = int(gain.argmax())
-            if gain[at] > best:
-                best, found = int(gain[at]), (own, int(owner[at]), ())
-        more = n - size  # one-for-one, or two-for-one
-        gain = np.where((more > 0) & (more <= room), 2 * more * (fill - fills[a] + more), 0)
-        at = int(gain.argmax())
-        if gain[at] > best:
-            best, found = int(gain[at]), (own, int(owner[at]), (int(pool[at]),))
-    return found
-
-
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, patience: int = 16) -> list[list[int]]:
+class _Places:
+    """Underfull bins by the lengths of their pieces: for each length the fullest bin up to any fill.
+
+    Length 0 stands for no piece, which every bin can give back.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.bins: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]  # length -> fill -> bins
+        self.top = np.full((capacity + 1, capacity + 1), -1, np.int16 if capacity < 32_768 else np.int64)
+
+    def _row(self, n: int) -> None:
+        row = np.full(self.top.shape[1], -1, self.top.dtype)
+        fills = list(self.bins[n])
+        row[fills] = fills
+        self.top[n] = np.maximum.accumulate(row)
+
+    def add(self, b: int, fill: int, lengths: set[int]) -> None:
+        for n in (0, *lengths):
+            own = self.bins[n].setdefault(fill, {})
+            own[b] = None
+            if len(own) == 1:
+                self._row(n)
+
+    def remove(self, b: int, fill: int, lengths: set[int]) -> None:
+        for n in (0, *lengths):
+            own = self.bins[n][fill]
+            del own[b]
+            if not own:
+                del self.bins[n][fill]
+                self._row(n)
+
+    def best(self, out: list[int], singles: int, fill: int):
+        """(place in ``out``, length to take back, bin) of the exchange that gains most; the first ``singles`` may also move."""
+        n, back = np.array(out, np.int64)[:, None], np.arange(self.top.shape[0])
+        more = n - back
+        room = self.top[back, np.clip(self.top.shape[1] - 1 - more, 0, self.top.shape[1] - 1)].astype(np.int64)
+        gain = np.where((more > 0) & (room >= 0), 2 * more * (room - fill + more), 0)
+        gain[singles:, 0] = 0
+        k, s = divmod(int(gain.argmax()), gain.shape[1])
+        return (k, s, next(iter(self.bins[s][int(room[k, s])]))) if gain[k, s] > 0 else None
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives until it is empty or no exchange helps; then the next one.
-    Stops at the least number of bins that the total length allows, at a bin that holds
-    more than the others have room for, or after ``patience`` bins that could not be emptied.
+    The emptiest bin gives until it is empty or no exchange helps; then the next one. Bins
+    that were settled are taken up again after others have changed. Stops at the least number of
+    bins that the total length allows, or when no exchange of any two bins helps.
     """
-    fills = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-    least = -(-int(lengths.sum()) // capacity)
+    fills = [int(lengths[b].sum()) for b in bins]
+    size = lengths.tolist()
+    least, count = -(-int(lengths.sum()) // capacity), len(bins)
+    if count <= least:
+        return [b for b in bins if b]
     items = {b: list(bins[b]) for b in range(len(bins)) if fills[b] < capacity}
-    count, settled = len(bins), set()
-    while count > least and len(settled) < min(len(items), patience):
-        a = min((b for b in items if b not in settled), key=lambda b: (fills[b], b))
-        if fills[a] > sum(capacity - int(fills[b]) for b in items if b != a):
-            break
-        step = _better(lengths, fills, items, a, capacity)
+    places, kinds = _Places(capacity), lambda b: {size[i] for i in items[b]}
+    for b in items:
+        places.add(b, fills[b], kinds(b))
+    todo = [(fills[b], b) for b in items]
+    heapq.heapify(todo)
+    settled, changes = {}, 0  # bin -> number of changes when it was settled
+    while count > least:
+        if not todo:
+            todo = [(fills[b], b) for b, at in settled.items() if at < changes]
+            if not todo:
+                break
+            for _, b in todo:
+                del settled[b]
+            heapq.heapify(todo)
+        fill, a = heapq.heappop(todo)
+        if a not in items or fill != fills[a] or a in settled:
+            continue
+        one = {size[i]: (i,) for i in sorted(items[a])}
+        two = {}
+        for x, i in enumerate(items[a]):
+            for j in items[a][x + 1 :]:
+                if size[i] + size[j] not in two:
+                    two[size[i] + size[j]] = (i, j)
+        ways = [*one.items(), *two.items()]
+        places.remove(a, fill, kinds(a))
+        step = places.best([n for n, _ in ways], len(one), fill)
         if step is None:
-            settled.add(a)
+            places.add(a, fill, kinds(a))
+            settled[a] = changes
             continue
-        out, b, back = step
-        for i in out:
+        k, s, b = step
+        places.remove(b, fills[b], kinds(b))
+        back = [next(i for i in items[b] if size[i] == s)] if s else []
+        for i in ways[k][1]:
             items[a].remove(i)
             items[b].append(i)
         for i in back:
             items[b].remove(i)
             items[a].append(i)
-        change = int(lengths[list(out)].sum()) - int(lengths[list(back)].sum() if back else 0)
-        fills[a] -= change
-        fills[b] += change
-        if fills[b] == capacity:
-            bins[b] = items.pop(b)
-            settled.discard(b)
-        if not items[a]:
-            bins[a] = items.pop(a)
-            count -= 1
+        fills[a] -= ways[k][0] - s
+        fills[b] += ways[k][0] - s
+        changes += 1
+        for x in (a, b):
+            settled.pop(x, None)
+            if not items[x] or fills[x] == capacity:
+                bins[x] = items.pop(x)
+                count -= not bins[x]
+            else:
+                places.add(x, fills[x], kinds(x))
+                heapq.heappush(todo, (fills[x], x))
     for b, own in items.items():
         bins[b] = own
     return [b for b in bins if b]

@@ -163,6 +163,27 @@ def test_local_search_exchanges():
     assert len(packing.local_search(x, [[0, 2 - 1], [2, 3], [4], [5, 6, 7]], 100)) == 3
 
 
+def test_local_search_goes_past_bins_that_stay():
+    x = np.array([80] * 20 + [9] * 9)  # twenty emptier bins can't give; the last one can
+    assert len(packing.local_search(x, [[i] for i in range(20)] + [list(range(20, 29))], 100)) == 20
+
+
+def test_local_search_leaves_no_exchange():
+    r = np.random.default_rng(4)
+    for _ in range(5):
+        x = r.integers(20, 70, 60)
+        got = packing.local_search(x, packing.best_fit(x, 100), 100)
+        fills = [int(x[b].sum()) for b in got]
+        gives = lambda b: [int(x[i]) for i in b] + [int(x[i] + x[j]) for k, i in enumerate(b) for j in b[k + 1 :]]
+        if len(got) > -(-x.sum() // 100):
+            for a, own in enumerate(got):
+                for b, other in enumerate(got):
+                    for k, n in enumerate(gives(own)):
+                        for s in [*([0] if k < len(own) else []), *(int(x[i]) for i in other)]:
+                            more = n - s
+                            assert a == b or not (0 < more <= 100 - fills[b] and more * (fills[b] - fills[a] + more) > 0)
+
+
 def test_warc(spark):
     big, small = "x" * 1500, "tiny"
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", "é" * 600), (None, "n", big), (2, "again", big), (7, "u", "é" * 499)]
