@@ -4,7 +4,7 @@ Base rules find assignments of passwords and tokens, access keys and long hexade
 strings; all their findings stay. The network judges every other candidate: each run of 12
 or more characters of the kind that keys are made of, with ``CONTEXT`` characters on either
 side. It is one convolution over characters, a maximum over positions and a logistic unit,
-all in numpy, trained on labelled findings: candidates of a bounded sample of documents
+all in numpy, trained on labelled findings: candidates of all documents, a bounded number of each kind,
 that a base rule marks (secrets) or does not mark (others), with their own letters
 masked for half of them so that the context counts too. Its probabilities are calibrated by
 a logistic curve on findings kept aside, and the threshold is the highest that keeps
@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ _HINT = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
 CONTEXT, WIDTH, FILTERS, TAPS, CODES = 24, 48, 24, 5, 40
-SAMPLE_DOCS, SAMPLE_FINDINGS = 4000, 6000
+SAMPLE_FINDINGS = 6000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -137,7 +138,7 @@ class Network:
         z = np.concatenate([self._forward(codes[aside[i : i + 512]], marks[aside[i : i + 512]])[3] for i in range(0, len(aside), 512)]).astype(np.float64)
         self.slope, self.offset = logistic(z, y[aside].astype(float), np.ones(len(aside)))
         p = np.sort(self.probability(codes[aside], marks[aside])[y[aside] > 0])
-        self.threshold = max(0.5, float(p[int(np.floor((1 - recall) * len(p)))]))
+        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
         return self
 
 
@@ -160,17 +161,21 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def fit_network(docs: DataFrame, recall: float = 0.98, sample_docs: int = SAMPLE_DOCS, sample_findings: int = SAMPLE_FINDINGS) -> Network:
-    """A network trained on at most ``sample_findings`` labelled findings from a sample of documents.
+def fit_network(docs: DataFrame, recall: float = 0.98, sample_findings: int = SAMPLE_FINDINGS) -> Network:
+    """A network trained on at most ``sample_findings`` labelled findings, all documents being read for them.
 
-    The sample is taken by a hash of the text, so it doesn't hang on the order of rows.
+    Of each kind, marked and unmarked, those with the
+    least hashes are kept, half of the sample or what the other kind leaves. So the sample
+    doesn't hang on the order of rows or on chance, however rare one kind is.
     """
-    n = max(1, docs.count())
-    share = min(1.0, sample_docs / n)
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    found = some.mapInArrow(_findings, "left string, middle string, right string, y int").distinct().orderBy(F.xxhash64("middle", "left"), "left", "middle", "right").limit(sample_findings).toPandas()
+    found = docs.select("text").mapInArrow(_findings, "left string, middle string, right string, y int")
+    found = found.withColumn("hash", F.xxhash64("middle", "left", "right"))
+    kinds = [found.where(F.col("y") == y).distinct().orderBy("hash", "left", "middle", "right").limit(sample_findings).toPandas() for y in (1, 0)]
+    half = sample_findings // 2
+    take = [min(len(k), max(half, sample_findings - len(other))) for k, other in (kinds, kinds[::-1])]
+    found = pd.concat([k[:n] for k, n in zip(kinds, take, strict=True)], ignore_index=True)
     network = Network()
-    if not 10 <= found["y"].sum() <= len(found) - 10:
+    if not 0 < found["y"].sum() < len(found):
         return network
     got = [_window(a + b + c, len(a), len(a) + len(b)) for a, b, c in zip(found["left"], found["middle"], found["right"], strict=True)]
     return network.fit(np.stack([c for c, _ in got]), np.stack([m for _, m in got]), found["y"].to_numpy(np.float32), recall)

@@ -427,6 +427,21 @@ def test_network_learns_context():
     assert (p[:150] >= n.threshold).mean() > 0.9 and (p[150:] >= n.threshold).mean() < 0.05
 
 
+def test_network_threshold_is_the_quantile(monkeypatch):
+    y = np.array([1.0, 0.0] * 100, np.float32)
+    codes, marks = np.zeros((200, 96), np.int64), np.zeros((200, 96, 3), np.float32)
+    monkeypatch.setattr(secrets, "logistic", lambda z, y, n: (0.0, -2.0))  # all secrets are given 0.12
+    assert secrets.Network().fit(codes, marks, y, recall=0.98, epochs=1).threshold == pytest.approx(1 / (1 + np.exp(2)))
+
+
+def test_network_sees_rare_findings(spark):
+    """A few marked findings among many documents are all found, whatever their hashes."""
+    r = np.random.default_rng(8)
+    hexes = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    texts = [(i, f"order {i:012d} was sent") for i in range(12_000)] + [(20_000 + i, f"secret = {hexes(24)}") for i in range(20)]
+    assert secrets.fit_network(spark.createDataFrame(texts, SCHEMA)).threshold <= 1
+
+
 def test_redact():
     assert secrets.redact("ab secret cd", [(3, 9, "hex"), (5, 9, "assign")]) == "ab [hex] cd"
     assert secrets.redact("x", []) == "x"
