@@ -105,9 +105,8 @@ def _mel_bank(rate: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
-    """Log energies of overlapped windows, one row each; shorter sounds are filled up to one window."""
-    if len(x) < WINDOW:
-        x = np.pad(x, (0, WINDOW - len(x)))
+    """Log energies of overlapped windows, one row each; sounds are filled up with zeros so that every sample lies in a window."""
+    x = np.pad(x, (0, max(WINDOW - len(x), (WINDOW - len(x)) % HOP)))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     shape, bank = np.hanning(WINDOW).astype(np.float32), _mel_bank(rate)
     out = np.empty((len(frames), MELS), np.float32)

@@ -223,6 +223,16 @@ def test_audio(spark, docs, none):
     assert not audio.audio_features(audio.media_table(none)).collect()
 
 
+@pytest.mark.parametrize("n", [32, 255, 256, 257, 320, 384, 385, 1000])
+def test_log_mel_hears_every_sample(n):
+    x = np.ones(n, np.float32)
+    quiet = x.copy()
+    quiet[max(0, n - 60) :] = 0
+    got = audio.log_mel(x, 8000)
+    assert len(got) == 1 + max(0, -(-(n - audio.WINDOW) // audio.HOP))
+    assert not np.array_equal(got, audio.log_mel(quiet, 8000))
+
+
 @pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 1), (3, 2), (5, 7), (1, 1)])
 def test_resample(up, down):
     h = audio._low_pass(up, down)
