@@ -1,25 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters in words.
 
-Two models of order 8 give the log-likelihood of each letter of a word (and of its end)
+Two models of order 5 give the log-likelihood of each letter of a word (and of its end)
 from the letters before it, back to the word's start: one learned from toxic, one from
-ordinary labelled documents. Both discount their own counts and back off to one shared
-Kneser-Ney distribution whose lower orders count distinct contexts in both classes. So an
+ordinary labelled documents. Each discounts its own counts and gives the discounted share to one
+shared Kneser-Ney distribution of the shorter context, whose orders count distinct contexts
+in both classes; a context that a class doesn't know leaves all to the shared one. So an
 inflected or rare expression is judged by the letter sequences that it shares with known
-ones, and what neither class knows counts nothing for either. A document's score is the
-difference of the log-likelihoods over its distinct words (so that repeated lines count
-once) divided by their number of letters, put through a logistic curve fitted to the
-labelled rows.
+ones. The classes' discounts have the ratio of their sizes (``DISCOUNT`` in the smaller one), so that an
+expression as frequent in both loses the same share in both. A document's score is the
+difference of its two log-likelihoods over all its words, each as often as it stands there,
+divided by its number of letters and word ends, and put through a logistic curve fitted to the labelled rows.
 
 Counts come from every labelled row (never held-out ones): the documents that have a word
 are counted by a partially aggregated groupBy, and letter sequences from the counted words.
-All sequences, contexts and continuations are tables that grow with the corpus; so are the
-differences, which are joined with the sequences of the distinct words of all documents.
-The values of the ``CACHE`` words that most documents have go to the tasks, so that
-documents send only their other words to a join: a cache, which changes no result.
+Sequences, contexts and continuations are tables that grow with the corpus; so are the
+log-probabilities of all sequences of all documents' distinct words, counted or not, which are joined with
+these words. The values of the ``CACHE`` words that most documents have go to the tasks, so that
+documents send only their other words to a join: a cache, which changes no result, as
+log-probabilities are added up in whole units of 2**-30.
 
 Rows: null and empty texts have no letters and get the curve's value at 0; null doc_ids
-are held out; repeated doc_ids are all scored; without labels of both classes every
-document gets the share of toxic labels, or 0 without labels; other columns are ignored.
+are held out; repeated doc_ids are all scored, equal texts alike; long texts are read whole; without labels of both classes every
+document gets the share of toxic labels, or 0 without labels; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ from ._shared import materialize
 from .labelled import held_out, logistic, training_labels
 from .tokens import slices
 
-ORDER, DISCOUNT, ERRORS, FIRST = 8, 0.75, 5.0, 1.5
+ORDER, DISCOUNT, SHARED_DISCOUNT = 5, 3.0, 0.75
+UNIT = 1 << 30  # whole units of a log-probability
 CACHE, CACHED_LETTERS = 200_000, 64
 _WORD = re.compile(r"\w+")
 
@@ -63,11 +66,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     found = (Counter(), Counter())
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            found[y].update(set(words_of(text)))
-            if len(found[0]) + len(found[1]) > 300_000:
-                yield flush(found)
-                found = (Counter(), Counter())
+        for part in slices(batch):
+            for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                found[y].update(set(words_of(text)))
+                if len(found[0]) + len(found[1]) > 300_000:
+                    yield flush(found)
+                    found = (Counter(), Counter())
     if found[0] or found[1]:
         yield flush(found)
 
@@ -96,68 +100,6 @@ def _count_sequences(order: int):
     return run
 
 
-def shared_backoff(grams: list[str], discount: float = DISCOUNT):
-    """P(letter | context) of Kneser-Ney over distinct continuations of both classes' sequences.
-
-    For lists in memory; ``backoff_table`` gives the same for tables.
-    """
-    kinds: Counter = Counter()
-    level = set(grams)
-    while level:  # each sequence without its first letter, counted once for each distinct letter before it
-        kinds.update(g[1:] for g in level if len(g) > 1)
-        level = {g[1:] for g in level if len(g) > 2}
-    total: Counter = Counter()
-    fan: Counter = Counter()
-    for g, n in kinds.items():
-        total[g[:-1]] += n
-        fan[g[:-1]] += 1
-    letters = max(1, fan[""])
-    memo: dict[str, float] = {}
-
-    def p(gram: str) -> float:
-        if not gram:
-            return 1.0 / (letters + 1)
-        if gram not in memo:
-            context = gram[:-1]
-            below = p(gram[1:]) if len(gram) > 1 else 1.0 / (letters + 1)
-            n = total[context]
-            memo[gram] = below if not n else max(kinds[gram] - discount, 0) / n + discount * fan[context] / n * below
-        return memo[gram]
-
-    return p
-
-
-def differences(grams: list[tuple[str, int, int]], discount: float = DISCOUNT, errors: float = ERRORS) -> dict[str, float]:
-    """Toxic minus ordinary log-probability of each sequence's last letter after the others.
-
-    Each class discounts its own counts and gives what is left to the shared model of the
-    same sequence, which itself backs off to distinct contexts. A difference within
-    ``errors`` standard errors of its counts is chance: both classes then use the shared
-    model, and the difference is 0, as it is for sequences that were not counted. A word's
-    first letter tells languages apart rather than classes, so it counts only beyond ``FIRST``.
-    For lists in memory; ``difference_table`` gives the same for tables.
-    """
-    shared = shared_backoff([g for g, _, _ in grams], discount)
-    total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for g, t, o in grams:
-        v = total[g[:-1]]
-        v[0] += t
-        v[1] += o
-        v[2] += t > 0
-        v[3] += o > 0
-    known = {}
-    for g, t, o in grams:
-        nt, no, kinds_t, kinds_o = total[g[:-1]]
-        n, kinds = nt + no, max(kinds_t, kinds_o)
-        pooled = max(t + o - discount, 0) / n + discount * kinds / n * shared(g[1:])
-        p = [(max(c - discount, 0) + discount * k * pooled) / m if m else pooled for c, m, k in ((t, nt, kinds_t), (o, no, kinds_o))]
-        difference = math.log(p[0]) - math.log(p[1])
-        spread = 1 / (t + 0.5) - 1 / (nt + 1) + 1 / (o + 0.5) - 1 / (no + 1)
-        if abs(difference) > max(errors * math.sqrt(max(spread, 1e-9)), FIRST if len(g) < 3 else 0.0):
-            known[g] = difference
-    return known
-
-
 def _before(gram: str):
     """A sequence without its last letter."""
     return F.substr(F.col(gram), F.lit(1), F.length(gram) - 1)
@@ -168,75 +110,94 @@ def _after(gram: str):
     return F.substr(F.col(gram), F.lit(2))
 
 
-def backoff_table(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(tail, shared): ``shared_backoff`` of every sequence without its first letter, and of all that these back off to.
+class SharedBackoff:
+    """Kneser-Ney distribution of a sequence's last letter over distinct continuations in both classes.
 
-    Longer sequences are settled by a join with those one letter shorter.
+    ``known`` (tail, shared) has every counted sequence without its first letter and all that
+    these back off to; ``contexts`` (context, below) the share that each context leaves to the shorter one.
     """
-    cuts = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda at: F.struct(at.alias("at"), F.substr(F.col("gram"), at).alias("part")))
-    parts = grams.where(F.length("gram") > 1).select(F.explode(cuts).alias("x")).select("x.at", "x.part").distinct()
-    kinds = materialize(parts.groupBy(_after("part").alias("tail")).agg(F.count("*").alias("n")), "kinds")
-    sums = kinds.groupBy(_before("tail").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("fan"))
-    letters = kinds.where(F.length("tail") == 1).count()
-    own, below = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"), discount * F.col("fan") / F.col("total")
-    terms = materialize(kinds.join(sums, _before("tail") == F.col("context")).select("tail", own.alias("own"), below.alias("below")), "terms")
-    done = [materialize(terms.where(F.length("tail") == 1).select("tail", (F.col("own") + F.col("below") / (letters + 1)).alias("shared")), "shared")]
-    for n in range(2, order):
-        shorter = done[-1].select(F.col("tail").alias("shorter"), "shared")
-        level = terms.where(F.length("tail") == n).join(shorter, _after("tail") == F.col("shorter"))
-        done.append(materialize(level.select("tail", (F.col("own") + F.col("below") * F.col("shared")).alias("shared")), "shared"))
-    return reduce(DataFrame.unionByName, done)
-
-
-def difference_table(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, errors: float = ERRORS) -> DataFrame:
-    """(gram, difference): ``differences`` of a table of sequences (gram, toxic, plain), which is read more than once."""
-    t, o, nt, no = (F.col(c) for c in ("toxic", "plain", "nt", "no"))
-    totals = grams.groupBy(_before("gram").alias("context")).agg(F.sum("toxic").alias("nt"), F.sum("plain").alias("no"), F.count_if(t > 0).alias("kt"), F.count_if(o > 0).alias("ko"))
-    rows = grams.join(totals, _before("gram") == F.col("context")).join(backoff_table(grams, order, discount), _after("gram") == F.col("tail"))
-    pooled = F.greatest(t + o - discount, F.lit(0.0)) / (nt + no) + discount * F.greatest("kt", "ko") / (nt + no) * F.col("shared")
-    rows = rows.withColumn("pooled", pooled)
-    p = [F.when(m > 0, (F.greatest(c - discount, F.lit(0.0)) + discount * F.col(k) * F.col("pooled")) / F.nullif(m, F.lit(0))).otherwise(F.col("pooled")) for c, m, k in ((t, nt, "kt"), (o, no, "ko"))]
-    spread = 1 / (t + 0.5) - 1 / (nt + 1) + 1 / (o + 0.5) - 1 / (no + 1)
-    least = F.greatest(errors * F.sqrt(F.greatest(spread, F.lit(1e-9))), F.when(F.length("gram") < 3, FIRST).otherwise(0.0))
-    return rows.select("gram", (F.log(p[0]) - F.log(p[1])).alias("difference"), least.alias("least")).where(F.abs("difference") > F.col("least")).drop("least")
+
+    def __init__(self, grams: DataFrame, order: int = ORDER, discount: float = SHARED_DISCOUNT) -> None:
+        cuts = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda at: F.substr(F.col("gram"), at))
+        parts = grams.where(F.length("gram") > 1).select(F.explode(cuts).alias("part")).distinct()
+        kinds = materialize(parts.groupBy(_after("part").alias("tail")).agg(F.count("*").alias("n")), "kinds")
+        sums = kinds.groupBy(_before("tail").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("fan"))
+        sums = sums.withColumn("below", discount * F.col("fan") / F.col("total"))
+        self.order, self.start = order, 1.0 / (kinds.where(F.length("tail") == 1).count() + 1)
+        self.contexts = materialize(sums.select("context", "below"), "contexts")
+        own = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
+        terms = materialize(kinds.join(sums, _before("tail") == F.col("context")).select("tail", own.alias("own"), "below"), "terms")
+        done = [materialize(terms.where(F.length("tail") == 1).select("tail", (F.col("own") + F.col("below") * self.start).alias("shared")), "shared")]
+        for n in range(2, order):  # settled by a join with those one letter shorter
+            shorter = done[-1].select(F.col("tail").alias("shorter"), "shared")
+            level = terms.where(F.length("tail") == n).join(shorter, _after("tail") == F.col("shorter"))
+            done.append(materialize(level.select("tail", (F.col("own") + F.col("below") * F.col("shared")).alias("shared")), "shared"))
+        self.known = reduce(DataFrame.unionByName, done)
+
+    def of(self, grams: DataFrame) -> DataFrame:
+        """(gram, shared) of any sequences: the longest known tail, and what the contexts beyond it leave to it."""
+        tails = F.transform(F.sequence(F.lit(2), F.length("gram")), lambda at: F.substr(F.col("gram"), at))
+        rows = grams.select("gram", F.explode(tails).alias("tail"))
+        rows = rows.join(self.known, "tail", "left").join(self.contexts, _before("tail") == F.col("context"), "left")
+        steps = F.sort_array(F.collect_list(F.struct(F.length("tail").alias("n"), "shared", "below")))  # at most ``order`` of them
+        found = F.aggregate("steps", F.lit(self.start), lambda s, x: F.coalesce(x["shared"], F.coalesce(x["below"], F.lit(1.0)) * s))
+        return rows.groupBy("gram").agg(steps.alias("steps")).select("gram", found.alias("shared"))
+
+
+class ClassModels:
+    """Both classes' probabilities of a sequence's last letter after the others, from counted sequences (gram, toxic, plain)."""
+
+    def __init__(self, grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> None:
+        self.grams, self.backoff = grams, SharedBackoff(grams, order)
+        toxic, plain = grams.where(F.length("gram") == 2).agg(F.sum("toxic"), F.sum("plain")).first()  # words
+        least = max(1, min(toxic or 0, plain or 0))
+        self.discounts = tuple(discount * max(1.0, (n or 0) / least) for n in (toxic, plain))
+        sums = [F.sum("toxic").alias("nt"), F.sum("plain").alias("no")]
+        lost = [F.sum(F.least(F.col(c), F.lit(d))).alias(name) for c, d, name in zip(("toxic", "plain"), self.discounts, ("lt", "lo"), strict=True)]
+        self.contexts = materialize(grams.groupBy(_before("gram").alias("context")).agg(*sums, *lost), "class-contexts")
+
+    def scores(self, grams: DataFrame) -> DataFrame:
+        """(gram, toxic, plain): logarithms in whole units for distinct sequences, whether they were counted or not."""
+        seen = grams.join(self.grams, "gram").join(self.backoff.known, _after("gram") == F.col("tail")).select("gram", "toxic", "plain", "shared")
+        new = self.backoff.of(grams.join(self.grams, "gram", "left_anti")).select("gram", F.lit(0).alias("toxic"), F.lit(0).alias("plain"), "shared")
+        rows = seen.unionByName(new).join(self.contexts, _before("gram") == F.col("context"), "left")
+        for c, d, n, lost in zip(("toxic", "plain"), self.discounts, ("nt", "no"), ("lt", "lo"), strict=True):
+            p = (F.greatest(F.col(c) - d, F.lit(0.0)) + F.col(lost) * F.col("shared")) / F.nullif(n, F.lit(0))
+            rows = rows.withColumn(c, F.round(F.log(F.coalesce(p, "shared")) * UNIT).cast("long"))
+        return rows.select("gram", "toxic", "plain")
 
 
 def _spell(order: int):
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("gram", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("gram", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, grams = [], [], []
+            ids, grams = [], []
             for key, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
                 own = sequences(word, order)
                 ids += [key] * len(own)
-                at += range(len(own))
                 grams += own
                 if len(ids) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(grams, pa.string())], schema=schema)
-                    ids, at, grams = [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], schema=schema)
+                    ids, grams = [], []
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(grams, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], schema=schema)
 
     return run
 
 
-def _in_order(value: str, by: str):
-    """Sum of a column in the order of another, so that it comes out the same in every run."""
-    return F.aggregate(F.sort_array(F.collect_list(F.struct(by, value))), F.lit(0.0), lambda s, x: s + x[value])
-
-
-def word_values(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
-    """(word, docs, value): the sum of the differences of each distinct word's sequences, and how many documents have it."""
+def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> DataFrame:
+    """(word, docs, toxic, plain): both log-likelihoods of each distinct word, and how many documents have it."""
     counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
     words = counted.groupBy("word").agg(F.sum("plain").alias("docs")).withColumn("id", F.monotonically_increasing_id())
     words = materialize(words, "vocabulary")
-    spelt = words.select("id", "word").mapInArrow(_spell(order), "id long, at int, gram string")
-    values = spelt.join(known, "gram").groupBy("id").agg(_in_order("difference", "at").alias("value"))
-    return materialize(words.join(values, "id", "left").select("word", "docs", F.coalesce("value", F.lit(0.0)).alias("value")), "values")
+    spelt = words.select("id", "word").mapInArrow(_spell(order), "id long, gram string")
+    scores = materialize(models.scores(spelt.select("gram").distinct()), "scores")
+    values = spelt.join(scores, "gram").groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    return materialize(words.join(values, "id").select("word", "docs", "toxic", "plain"), "values")
 
 
-def _cached(values: DataFrame, most: int) -> dict[str, float]:
+def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int]]:
     """At most ``most`` of the words that most documents have, with their values."""
     step = F.floor(F.log2("docs") * 4)
     short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
@@ -246,23 +207,34 @@ def _cached(values: DataFrame, most: int) -> dict[str, float]:
         if left < 0:
             break
         cut = r.step
-    return {} if cut is None else dict(short.where(F.col("step") >= cut).select("word", "value").toPandas().itertuples(index=False, name=None))
+    if cut is None:
+        return {}
+    return {w: (t, p) for w, t, p in short.where(F.col("step") >= cut).select("word", "toxic", "plain").toPandas().itertuples(index=False, name=None)}
 
 
 def _partly(cached):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("known", pa.float64()), ("letters", pa.int64()), ("rest", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("toxic", pa.int64()), ("plain", pa.int64()), ("letters", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = cached.value
         for batch in batches:
             for part in slices(batch):
-                known, letters, rest = [], [], []
+                rows = []
                 for text in part.column("text").to_pylist():
-                    words = sorted(set(words_of(text)))
-                    known.append(sum(values.get(w, 0.0) for w in words))
-                    letters.append(sum(map(len, words)) + len(words))
-                    rest.append([w for w in words if w not in values])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(known, pa.float64()), pa.array(letters, pa.int64()), pa.array(rest, pa.list_(pa.string()))], schema=schema)
+                    words = Counter(words_of(text))
+                    toxic = plain = letters = 0
+                    rest = []
+                    for w, n in words.items():
+                        letters += n * (len(w) + 1)
+                        v = values.get(w)
+                        if v is None:
+                            rest.append(w)
+                        else:
+                            toxic += n * v[0]
+                            plain += n * v[1]
+                    rows.append((toxic, plain, letters, rest, [words[w] for w in rest]))
+                columns = [pa.array(c, schema.field(i + 2).type) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *columns], schema=schema)
 
     return run
 
@@ -271,17 +243,21 @@ def _key(text):
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def text_differences(docs: DataFrame, known: DataFrame, order: int = ORDER, cache: int = CACHE) -> DataFrame:
-    """(doc_id, key, difference): length-normalised difference of every document over its distinct words; ``key`` is its text's digest."""
-    values = word_values(docs, known, order)
+def text_differences(docs: DataFrame, models: ClassModels, order: int = ORDER, cache: int = CACHE) -> DataFrame:
+    """(doc_id, key, toxic, plain, difference) of every document: both log-likelihoods and their difference, each by letter.
+
+    ``key`` is the text's digest.
+    """
+    values = word_values(docs, models, order)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_cached(values, cache))
-    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, known double, letters long, rest array<string>")
+    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, toxic long, plain long, letters long, rest array<string>, times array<bigint>")
     partly = materialize(partly.withColumn("row", F.monotonically_increasing_id()), "partly")
-    other = partly.select("row", F.explode("rest").alias("word")).join(values.where("value <> 0").select("word", "value"), "word")
-    other = other.groupBy("row").agg(_in_order("value", "word").alias("other"))
-    total = F.col("known") + F.coalesce("other", F.lit(0.0))
-    return partly.drop("rest").join(other, "row", "left").select("doc_id", "key", F.when(F.col("letters") > 0, total / F.col("letters")).otherwise(0.0).alias("difference"))
+    other = partly.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), "x.times")
+    other = other.join(values.drop("docs"), "word").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in ("toxic", "plain")))
+    each = {c: F.when(F.col("letters") > 0, (F.col(c) + F.coalesce(f"other_{c}", F.lit(0))) / F.lit(float(UNIT)) / F.col("letters")).otherwise(0.0) for c in ("toxic", "plain")}
+    whole = partly.drop("rest", "times").join(other, "row", "left").select("doc_id", "key", *(v.alias(c) for c, v in each.items()))
+    return whole.withColumn("difference", F.col("toxic") - F.col("plain"))
 
 
 class ToxicityModel:
@@ -319,8 +295,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tupl
     The curve is fitted to counts of labelled rows in at most 4096 bins of the difference.
     """
     y = materialize(training_labels(labels, "toxic"), "labels")
-    known = materialize(difference_table(count_sequences(docs, y, order), order), "known")
-    raw = materialize(text_differences(docs, known, order), "differences")
+    raw = materialize(text_differences(docs, ClassModels(count_sequences(docs, y, order), order), order), "differences")
     model = ToxicityModel(0.0, 0.0)
     low, high = raw.agg(F.min("difference"), F.max("difference")).first()
     span = (high - low) / 4096 if low is not None and high > low else 1.0

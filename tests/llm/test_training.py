@@ -342,11 +342,11 @@ def test_machine_identity():
     assert m.margin([(at, x)])[0] == pytest.approx(float(m.linear[at] @ x) + pairs, rel=1e-4)
 
 
-def toxic_corpus(spark):
+def toxic_corpus(spark, n=600):
     r = np.random.default_rng(5)
     parts = ["an", "the", "er", "on", "in", "re", "ti", "es", "or", "en"]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(n):
         words = ["".join(r.choice(parts, r.integers(1, 5))) for _ in range(80)]
         toxic = i % 4 == 0
         if toxic:
@@ -369,37 +369,66 @@ def test_toxicity(spark, docs, none):
     assert not toxicity.score_toxicity(none, labels).collect()
 
 
-def test_shared_backoff_sums_to_one():
-    grams = [g for w in ("the", "then", "ten") for g in toxicity.sequences(w, 4)]
-    p = toxicity.shared_backoff(sorted(set(grams)))
-    letters = {g[-1] for g in grams}
-    assert sum(p(x) for x in letters) == pytest.approx(1, abs=0.25)
-    assert sum(p("h" + x) for x in letters) <= 1.01
-
-
-def test_rare_sequences_count(spark):
-    """All sequences are kept, however small their share, and the tables give what lists in memory give."""
-    d, labels = toxic_corpus(spark)
+def plain_models(grams, order=toxicity.ORDER):
+    """log P of both classes for any sequence, straight from the definition; (toxic, plain) counts by sequence."""
+    own, shared_cut = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    size = [sum(v[c] for g, v in grams.items() if len(g) == 2) for c in (0, 1)]
+    cut = [own * max(1.0, n / max(1, min(size))) for n in size]
+    parts = {g[i:] for g in grams for i in range(len(g) - 1)}
+    kinds = {}
+    for g in parts:
+        kinds.setdefault(g[1:], set()).add(g[0])
+    letters = sum(len(t) == 1 for t in kinds)
+
+    def shared(tail):
+        if not tail:
+            return 1 / (letters + 1)
+        rows = {t: len(k) for t, k in kinds.items() if t[:-1] == tail[:-1]}
+        if not rows:
+            return shared(tail[1:])
+        total = sum(rows.values())
+        return max(rows.get(tail, 0) - shared_cut, 0) / total + shared_cut * len(rows) / total * shared(tail[1:])
+
+    def score(gram):
+        rows = [v for g, v in grams.items() if g[:-1] == gram[:-1]]
+        q, out = shared(gram[1:]), []
+        for c in (0, 1):
+            n, lost = sum(v[c] for v in rows), sum(min(v[c], cut[c]) for v in rows)
+            out.append((max(grams.get(gram, (0, 0))[c] - cut[c], 0) + lost * q) / n if n else q)
+        return out
+
+    return score, {t for t in kinds if len(t) == 1}
+
+
+def test_likelihoods_are_the_plain_ones(spark):
+    """Every sequence counts, rare, unseen or of unseen letters, and each word as often as it stands there."""
+    d, labels = toxic_corpus(spark, 24)
     texts = {r.doc_id: r.text for r in d.collect()}
     y = {r.doc_id: r.toxic for r in labels.collect()}
-    kept = {r.doc_id for r in d.where(~toxicity.held_out()).collect()}
     own = {}
-    for i in kept:
+    for i in {r.doc_id for r in d.where(~toxicity.held_out()).collect()}:
         for w in set(toxicity.words_of(texts[i])):
             for g in toxicity.sequences(w):
                 own.setdefault(g, [0, 0])[1 - y[i]] += 1
     table = toxicity.count_sequences(d, toxicity.training_labels(labels, "toxic"))
-    grams = [tuple(r) for r in table.collect()]
-    assert {g: [t, p] for g, t, p in grams} == own and min(t + p for _, t, p in grams) == 1
-    want = toxicity.differences(grams)
-    known = toxicity.difference_table(table)
-    got = {r.gram: r.difference for r in known.collect()}
-    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-9) for g in want)
+    assert {g: [t, p] for g, t, p in map(tuple, table.collect())} == own and min(t + p for t, p in own.values()) == 1
+    score, letters = plain_models(own)
+    memo = {}
+    for context in ("^", "^zu", "^the", "erti", "xx"):  # probabilities of all letters and the unknown one
+        for c in (0, 1):
+            assert sum(score(context + x)[c] for x in [*letters, "?"]) == pytest.approx(1)
+    more = [(1000, "zurkan zurkan zurkon there"), (1001, "zurkan there there there"), (1002, "qqq ŷŷ zurŷ"), (1003, "the " * 50), (1004, None)]
+    rows = spark.createDataFrame([*more, *((i, texts[i]) for i in list(texts)[:8])], SCHEMA)
+    models = toxicity.ClassModels(table)
     for cache in (toxicity.CACHE, 5):  # the cache changes no result
-        for r in toxicity.text_differences(d, known, cache=cache).collect():
-            words = set(toxicity.words_of(texts[r.doc_id]))
-            total = sum(want.get(g, 0.0) for w in words for g in toxicity.sequences(w))
-            assert r.difference == pytest.approx(total / sum(len(w) + 1 for w in words), abs=1e-9)
+        got = toxicity.text_differences(rows, models, cache=cache).collect()
+        assert len(got) == rows.count()
+        for r in got:
+            grams = [g for w in toxicity.words_of(dict(rows.collect())[r.doc_id]) for g in toxicity.sequences(w)]
+            memo |= {g: score(g) for g in grams if g not in memo}
+            for c, name in enumerate(("toxic", "plain")):
+                assert r[name] == pytest.approx(sum(np.log(memo[g][c]) for g in grams) / max(1, len(grams)), abs=1e-7)
+            assert r.difference == pytest.approx(r.toxic - r.plain)
 
 
 SECRETS = [
