@@ -2,17 +2,20 @@
 
 Base rules find assignments of passwords and tokens, access keys and long hexadecimal
 strings; all their findings stay. The network judges every other candidate: each run of 12
-or more characters of the kind that keys are made of, with ``CONTEXT`` characters on either
-side. It is one convolution over characters, a maximum over positions and a logistic unit,
-all in numpy, trained on labelled findings: candidates of all documents, a bounded number of each kind,
-that a base rule marks (secrets) or does not mark (others), with their own letters
-masked for half of them so that the context counts too. Its probabilities are calibrated by
-a logistic curve on findings kept aside, and the threshold is the highest that keeps
-``recall`` of the secrets among them.
+or more key characters, whole, with ``CONTEXT`` characters on either side. A window of ``WIDTH`` characters
+slides over it in half steps, and the highest probability of its windows counts. The network is
+one convolution over characters, a maximum over positions and a logistic unit, all in numpy.
+
+It is trained on labelled findings that the base rules do not decide: candidates of the documents
+themselves that no rule marks (others), and secrets planted in such a candidate's place and
+surroundings (see ``planted``): random keys of several alphabets, lengths and prefixes, some after
+words that announce a credential. Hard negatives, made likewise, are no secrets though they look alike: serial
+numbers, dates, identifiers of words, paths, repeated letters. Its probabilities are calibrated by a logistic
+curve on findings kept aside, and the threshold is the highest that keeps ``recall`` of the secrets among them.
 
 Rows: null text counts as empty and has no spans; null and repeated doc_ids are scanned like
-others; other columns are ignored; without training examples of both kinds the network adds
-nothing. Spans count code points, ends exclusive.
+others, equal texts alike; long texts are scanned whole; other columns are ignored; documents without any
+candidate are replaced by empty surroundings in training; an empty table gives no rows. Spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,7 @@ KINDS = ("assign", "access", "hex", "learned")
 
 _HINT = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
-CONTEXT, WIDTH, FILTERS, TAPS, CODES = 24, 48, 24, 5, 40
+CONTEXT, WIDTH, FILTERS, TAPS, CODES = 24, 48, 32, 5, 40
 SAMPLE_FINDINGS = 6000
 
 
@@ -55,8 +56,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that could be keys: 12 or more key characters, a digit among them."""
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+    """Runs that could be keys: 12 or more key characters."""
+    return [m.span() for m in _CANDIDATE.finditer(text)]
+
+
+def parts_beside(span: tuple[int, int], marked: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans leave of a candidate: its parts of 12 or more characters outside them."""
+    at, out = span[0], []
+    for a, b, _ in marked:
+        if b > at and a < span[1]:
+            if a - at >= 12:
+                out.append((at, a))
+            at = max(at, b)
+    if span[1] - at >= 12:
+        out.append((at, span[1]))
+    return out
+
+
+def beside(text: str, marked: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """All candidates of a text outside its base spans; both lists are in order of place."""
+    out, first, reach = [], 0, []
+    for span in candidates(text):
+        while first < len(marked) and marked[first][0] < span[1]:
+            reach.append(marked[first])
+            first += 1
+        reach = [m for m in reach if m[1] > span[0]]
+        out += parts_beside(span, reach) if reach else [span]
+    return out
 
 
 _CLASS = np.full(256, 1, np.int64)
@@ -69,11 +95,8 @@ for _i, _c in enumerate(" \n\"'=:;,.-/"):
 
 
 def _window(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes (0: nothing there) and case and inside marks of a candidate's surroundings."""
-    middle = text[start:end]
-    if end - start > WIDTH:
-        middle = middle[: WIDTH // 2] + middle[-WIDTH // 2 :]
-    left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    """Character classes (0: nothing there) and case and inside marks of at most WIDTH characters and their surroundings."""
+    middle, left, right = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     raw = np.frombuffer((left.rjust(CONTEXT, "\0") + middle.ljust(WIDTH, "\0") + right.ljust(CONTEXT, "\0")).encode("latin-1", "replace"), np.uint8)
     codes = np.where(raw == 0, 0, np.minimum(_CLASS[raw], CODES - 1))
     marks = np.zeros((len(raw), 3), np.float32)
@@ -83,6 +106,13 @@ def _window(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, marks
 
 
+def places(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows over a whole candidate: WIDTH characters each, half a window apart, the last one at its end."""
+    if end - start <= WIDTH:
+        return [(start, end)]
+    return [(a, a + WIDTH) for a in range(start, end - WIDTH, WIDTH // 2)] + [(end - WIDTH, end)]
+
+
 class Network:
     """Embedding, one convolution, maximum over positions, one logistic unit."""
 
@@ -108,7 +138,7 @@ class Network:
         z = np.concatenate([self._forward(codes[i : i + 512], marks[i : i + 512])[3] for i in range(0, len(codes), 512)])
         return 1 / (1 + np.exp(-np.clip(self.slope * z.astype(np.float64) + self.offset, -500, 500)))
 
-    def fit(self, codes: np.ndarray, marks: np.ndarray, y: np.ndarray, recall: float, epochs: int = 8, rate: float = 0.05, seed: int = 5) -> Network:
+    def fit(self, codes: np.ndarray, marks: np.ndarray, y: np.ndarray, recall: float, epochs: int = 12, rate: float = 0.05, seed: int = 5) -> Network:
         """Train on four fifths; calibrate and set the threshold on the rest."""
         r = np.random.default_rng(seed)
         order = r.permutation(len(y))
@@ -121,9 +151,6 @@ class Network:
         for _ in range(epochs):
             for part in np.array_split(r.permutation(own), max(1, len(own) // 64)):
                 c, m = codes[part], marks[part]
-                masked = r.random(len(part)) < 0.5  # hide the candidate itself for half of them
-                c = np.where(masked[:, None] & (m[:, :, 0] > 0), 1, c)
-                m = np.where(masked[:, None, None] & (m[:, :, :1] > 0), m * np.array([1, 0, 0], np.float32), m)
                 windows, at, top, z = self._forward(c, m)
                 err = ((1 / (1 + np.exp(-z.clip(-30, 30))) - y[part]) * weight[part] / len(part)).astype(np.float32)
                 back = err[:, None] * self.last * (top > 0)
@@ -142,60 +169,120 @@ class Network:
         return self
 
 
-def _windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    got = [_window(text, a, b) for a, b in spans]
-    return np.stack([c for c, _ in got]), np.stack([m for _, m in got])
+#: Words that announce a credential, prefixes of issued keys, and words of identifiers that are none.
+ANNOUNCE = ["secret", "auth", "credential", "bearer", "access key", "private key", "signature", "client_secret", "pwd", "passphrase", "authorization", "sas"]
+PREFIXES = ["sk_live_", "ghp_", "xoxb-", "pk_", "key-", "rk_", "glpat-", "tok_", "AIza", "SG_"]
+ORDINARY = ["order", "serial", "page", "document", "chapter", "release", "invoice", "table", "build", "section", "user", "config", "module", "index", "version", "figure", "item", "record", "internal", "standard"]
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"]
+
+
+def planted(r: np.random.Generator) -> tuple[str, str]:
+    """(announcement, key) of a secret that no base rule finds: a random string, some with an issuer's prefix."""
+    letters = list(ALPHABETS[r.integers(len(ALPHABETS))])
+    n = int(r.integers(16, 32 if letters[:10] == list("0123456789") else 72))
+    key = "".join(r.choice(letters, n))
+    if r.random() < 0.3:
+        key = PREFIXES[r.integers(len(PREFIXES))] + key
+    before = f"{ANNOUNCE[r.integers(len(ANNOUNCE))]}{(' ', ': ', '=', ' = ', chr(34))[r.integers(5)]}" if r.random() < 0.5 else ""
+    return before, key
+
+
+def harmless(r: np.random.Generator) -> tuple[str, str]:
+    """(announcement, run) of what looks like a key and is none."""
+    word = lambda: ORDINARY[r.integers(len(ORDINARY))]
+    digits = lambda n: "".join(r.choice(list("0123456789"), n))
+    kind = int(r.integers(7))
+    if kind == 0:
+        run = digits(int(r.integers(12, 20)))
+    elif kind == 1:
+        run = f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(4)}"
+    elif kind == 2:
+        run = ("_", "-", "/")[r.integers(3)].join(word() for _ in range(int(r.integers(3, 7))))
+    elif kind == 3:
+        run = f"{word()}-{word()}-{digits(int(r.integers(1, 6)))}"
+    elif kind == 4:
+        run = str(r.choice(list("=-_+/xX0")) * int(r.integers(12, 60)))
+    elif kind == 5:
+        run = "".join(word().title() for _ in range(int(r.integers(2, 5)))) + digits(int(r.integers(0, 3)))
+    else:
+        run = f"/{word()}/{word()}/{word()}{digits(2)}/{word()}"
+    before = f"{(word(), ANNOUNCE[r.integers(len(ANNOUNCE))])[int(r.random() < 0.2)]}{(' ', ': ', '=', ' = ')[r.integers(4)]}" if r.random() < 0.5 else ""
+    return before, run.ljust(12, "0")
 
 
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled findings: each candidate's surroundings and whether a base rule marks it."""
-    schema = pa.schema([("left", pa.string()), ("middle", pa.string()), ("right", pa.string()), ("y", pa.int32())])
+    """Candidates that no base rule marks, window by window, with their surroundings."""
+    schema = pa.schema([("left", pa.string()), ("middle", pa.string()), ("right", pa.string())])
     for batch in batches:
         for part in slices(batch):
-            rows = []
+            rows = {}
             for text in part.column("text").to_pylist():
-                marked = base_spans(text or "")
-                for a, b in candidates(text or ""):
-                    rows.append((text[max(0, a - CONTEXT) : a], text[a:b][:4096], text[b : b + CONTEXT], int(any(s < b and a < e for s, e, _ in marked))))
+                text = text or ""
+                for span in beside(text, base_spans(text)):
+                    rows |= {(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]): None for a, b in places(*span)}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def labelled_findings(found: list[tuple[str, str, str]], least: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, marks and labels for training: the given unmarked findings, planted secrets and hard negatives in their surroundings.
+
+    As many of either kind, ``least`` at least.
+    """
+    r = np.random.default_rng(seed)
+    found = sorted(found)
+    around = [(a, c) for a, _, c in found] or [("", "")]
+    half = max(least, len(found))
+    rows = [(a, m, c, 0) for a, m, c in found]
+    while len(rows) < half + half // 4 or len(rows) < 2 * half + half // 4:
+        y = int(len(rows) >= half + half // 4)
+        (before, run), (a, c) = (planted if y else harmless)(r), around[r.integers(len(around))]
+        end = c[:1] if not c[:1] or not _CANDIDATE.match(c[:1] * 12) else " "
+        left, text = (a.rstrip("=:'\"")[: CONTEXT - len(before) - 1] if before else a), ""
+        text = f"{left}{' ' if left[-1:].isalnum() else ''}{before}"
+        at, text = len(text), f"{text}{run}{end}{c[1:]}"
+        p, q = (places(at, at + len(run)))[0 if len(run) <= WIDTH else int(r.integers(len(places(at, at + len(run)))))]
+        rows.append((text[max(0, p - CONTEXT) : p], text[p:q], text[q : q + CONTEXT], y))
+    got = [_window(a + m + c, len(a), len(a) + len(m)) for a, m, c, _ in rows]
+    return np.stack([x for x, _ in got]), np.stack([x for _, x in got]), np.array([y for *_, y in rows], np.float32)
+
+
 def fit_network(docs: DataFrame, recall: float = 0.98, sample_findings: int = SAMPLE_FINDINGS) -> Network:
-    """A network trained on at most ``sample_findings`` labelled findings, all documents being read for them.
+    """A network trained on at most ``sample_findings`` unmarked findings of all documents and as many planted secrets.
 
-    Of each kind, marked and unmarked, those with the
-    least hashes are kept, half of the sample or what the other kind leaves. So the sample
-    doesn't hang on the order of rows or on chance, however rare one kind is.
+    Of the findings those with the least hashes are kept, so the sample doesn't hang on the order of rows.
     """
-    found = docs.select("text").mapInArrow(_findings, "left string, middle string, right string, y int")
-    found = found.withColumn("hash", F.xxhash64("middle", "left", "right"))
-    kinds = [found.where(F.col("y") == y).distinct().orderBy("hash", "left", "middle", "right").limit(sample_findings).toPandas() for y in (1, 0)]
-    half = sample_findings // 2
-    take = [min(len(k), max(half, sample_findings - len(other))) for k, other in (kinds, kinds[::-1])]
-    found = pd.concat([k[:n] for k, n in zip(kinds, take, strict=True)], ignore_index=True)
-    network = Network()
-    if not 0 < found["y"].sum() < len(found):
-        return network
-    got = [_window(a + b + c, len(a), len(a) + len(b)) for a, b, c in zip(found["left"], found["middle"], found["right"], strict=True)]
-    return network.fit(np.stack([c for c, _ in got]), np.stack([m for _, m in got]), found["y"].to_numpy(np.float32), recall)
+    found = docs.select("text").mapInArrow(_findings, "left string, middle string, right string").distinct()
+    kept = found.orderBy(F.xxhash64("middle", "left", "right"), "left", "middle", "right").limit(sample_findings).toPandas()
+    return Network().fit(*labelled_findings(list(kept.itertuples(index=False, name=None)), sample_findings // 4), recall)
 
 
 def spans_of(texts: list[str], network: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text: base ones, and candidates beside them that the network finds."""
     base = [base_spans(t) for t in texts]
-    todo, where = [], []
+    held, where = [], []
+
+    def judge() -> None:
+        if held:
+            p = network.probability(np.stack([c for c, _ in held]), np.stack([m for _, m in held]))
+            best: dict[tuple[int, int, int], float] = {}
+            for at, x in zip(where, p.tolist(), strict=True):
+                best[at] = max(x, best.get(at, 0.0))
+            for (i, a, b), x in best.items():
+                if x >= network.threshold and (a, b, "learned") not in base[i]:
+                    base[i].append((a, b, "learned"))
+            held.clear()
+            where.clear()
+
     if network.threshold <= 1:
         for i, t in enumerate(texts):
-            for a, b in candidates(t):
-                if not any(s < b and a < e for s, e, _ in base[i]):
-                    todo.append(_window(t, a, b))
+            for a, b in beside(t, list(base[i])):
+                for p, q in places(a, b):
+                    held.append(_window(t, p, q))
                     where.append((i, a, b))
-    if todo:
-        p = network.probability(np.stack([c for c, _ in todo]), np.stack([m for _, m in todo]))
-        for (i, a, b), x in zip(where, p.tolist(), strict=True):
-            if x >= network.threshold:
-                base[i].append((a, b, "learned"))
+                    if len(held) >= 4096:  # a very long candidate is judged in parts; any of them is enough
+                        judge()
+        judge()
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) for s in base]
 
 

@@ -452,18 +452,49 @@ def test_secrets(spark, docs, none):
     assert not secrets.scan_secrets(none).collect()
 
 
-def test_network_learns_context():
-    r = np.random.default_rng(0)
-    hexes = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
-    texts = [f"config token = {hexes(40)} end of it" for _ in range(150)] + [f"card number {''.join(r.choice(list('0123456789'), 16))} was used" for _ in range(150)]
-    spans = [secrets.candidates(t)[0] for t in texts]
-    codes, marks = secrets._windows(texts[0], [spans[0]])
-    got = [secrets._window(t, *s) for t, s in zip(texts, spans, strict=True)]
-    codes, marks = np.stack([c for c, _ in got]), np.stack([m for _, m in got])
-    y = np.array([1.0] * 150 + [0.0] * 150, np.float32)
-    n = secrets.Network().fit(codes, marks, y, recall=0.95)
-    p = n.probability(codes, marks)
-    assert (p[:150] >= n.threshold).mean() > 0.9 and (p[150:] >= n.threshold).mean() < 0.05
+def held_plants(n=400, seed=77):
+    """Texts with one planted secret or one hard negative each, of another seed than training: (text, span, label)."""
+    r, out = np.random.default_rng(seed), []
+    for i in range(n):
+        before, run = (secrets.planted if i % 2 else secrets.harmless)(r)
+        head = f"the {r.choice(['config', 'value', 'user', 'service'])} was {before}"
+        out.append((f"{head}{run} and then it ended", (len(head), len(head) + len(run)), i % 2))
+    return out
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.fit_network(spark.read.parquet(f"{SF}/documents.parquet"), sample_findings=3000)
+
+
+def test_network_recall_on_held_out_plants(trained):
+    """Secrets that no base rule finds are found; what only looks alike is mostly left alone."""
+    rows = [x for x in held_plants() if not secrets.base_spans(x[0])]
+    found = secrets.spans_of([t for t, *_ in rows], trained)
+    hit = np.array([any(k == "learned" and a < s[1] and s[0] < b for a, b, k in f) for f, (_, s, _) in zip(found, rows, strict=True)])
+    y = np.array([y for *_, y in rows])
+    assert y.sum() > 100 and hit[y == 1].mean() >= 0.9 and hit[y == 0].mean() <= 0.2
+
+
+def test_long_candidates_are_read_whole(trained):
+    """A key in the middle of a long run, which no first or last window holds, is seen."""
+    r = np.random.default_rng(6)
+    key = "".join(r.choice(list(secrets.ALPHABETS[0]), 72))
+    for at in (0, 300, 5000):
+        text = f"see {'x' * at}{key}{'x' * 5000} there"
+        (a, b, kind), = secrets.spans_of([text], trained)[0]
+        assert kind == "learned" and text[a:b] == text.split()[1]
+    assert secrets.places(3, 3 + secrets.WIDTH) == [(3, 3 + secrets.WIDTH)]
+    for n in (49, 72, 73, 1000):
+        got = secrets.places(0, n)
+        assert got[0][0] == 0 and got[-1][1] == n and all(b - a == secrets.WIDTH and c <= b for (a, b), (c, _) in zip(got, got[1:], strict=False))
+
+
+def test_candidates_beside_base_spans():
+    text = "x" * 20 + " password=abcdefgh12345678/" + "-" * 3
+    assert secrets.beside(text, secrets.base_spans(text)) == [(0, 20)]
+    assert secrets.parts_beside((0, 60), [(20, 30, "hex"), (25, 40, "assign")]) == [(0, 20), (40, 60)]
+    assert secrets.parts_beside((0, 60), [(5, 55, "hex")]) == []
 
 
 def test_network_threshold_is_the_quantile(monkeypatch):
@@ -473,12 +504,10 @@ def test_network_threshold_is_the_quantile(monkeypatch):
     assert secrets.Network().fit(codes, marks, y, recall=0.98, epochs=1).threshold == pytest.approx(1 / (1 + np.exp(2)))
 
 
-def test_network_sees_rare_findings(spark):
-    """A few marked findings among many documents are all found, whatever their hashes."""
-    r = np.random.default_rng(8)
-    hexes = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
-    texts = [(i, f"order {i:012d} was sent") for i in range(12_000)] + [(20_000 + i, f"secret = {hexes(24)}") for i in range(20)]
-    assert secrets.fit_network(spark.createDataFrame(texts, SCHEMA)).threshold <= 1
+def test_network_without_candidates(spark, none):
+    """Training needs no finding in the documents: planted ones and hard negatives are made."""
+    for docs in (none, spark.createDataFrame([(1, "nothing here"), (2, None)], SCHEMA)):
+        assert secrets.fit_network(docs, sample_findings=1000).threshold <= 1
 
 
 def test_redact():
