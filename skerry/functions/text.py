@@ -15,14 +15,15 @@ COMMON_PRESET = [
     (r"(\d+\.){3}\d+(\:\d+)?", "<IPv4>"),
 ]
 
-# Masks of the template miner (pattern between two borders, name), in order.
+# Masks of the template miner (pattern, name), in order.
 MASKS = [
-    (r"([0-9a-f]{2,}:){3,}([0-9a-f]{2,})", "ID"),
-    (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "IP"),
-    (r"([0-9a-f]{6,} ?){3,}", "SEQ"),
-    (r"([0-9A-F]{4} ?){4,}", "SEQ"),
-    (r"0x[a-f0-9A-F]+", "HEX"),
-    (r"[\-\+]?\d+", "NUM"),
+    (r"((?<=[^A-Za-z0-9])|^)(([0-9a-f]{2,}:){3,}([0-9a-f]{2,}))((?=[^A-Za-z0-9])|$)", "ID"),
+    (r"((?<=[^A-Za-z0-9])|^)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})((?=[^A-Za-z0-9])|$)", "IP"),
+    (r"((?<=[^A-Za-z0-9])|^)([0-9a-f]{6,} ?){3,}((?=[^A-Za-z0-9])|$)", "SEQ"),
+    (r"((?<=[^A-Za-z0-9])|^)([0-9A-F]{4} ?){4,}((?=[^A-Za-z0-9])|$)", "SEQ"),
+    (r"((?<=[^A-Za-z0-9])|^)(0x[a-f0-9A-F]+)((?=[^A-Za-z0-9])|$)", "HEX"),
+    (r"((?<=[^A-Za-z0-9])|^)([\-\+]?\d+)((?=[^A-Za-z0-9])|$)", "NUM"),
+    (r"(?<=executed cmd )(\".+?\")", "CMD"),
 ]
 
 # Traceback and statement masks, in order.
@@ -44,8 +45,29 @@ def replace_chain(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """Numbers, addresses and the like replaced by their kind, where letters or digits don't touch them."""
-    return replace_chain(text, [(rf"((?<=[^A-Za-z0-9])|^)({p})((?=[^A-Za-z0-9])|$)", f"<:{n}:>") for p, n in MASKS])
+    """A line's template: the whole line with numbers, addresses and the like replaced by their kind."""
+    return replace_chain(text, [(p, f"<:{n}:>") for p, n in MASKS])
+
+
+def masked_sql(column: str) -> str:
+    """``masked`` in DuckDB, whose patterns have no look-around: borders are matched and put back.
+
+    Neighbours share a border, so each mask goes over the line twice. Numbers first become one mark, which then takes its sign.
+    """
+    start, end = "(^|[^A-Za-z0-9])", "($|[^A-Za-z0-9])"
+    before, after = MASKS[0][0].split("(([0-9a-f]{2,}:)")[0], "((?=[^A-Za-z0-9])|$)"
+    for p, n in MASKS:
+        if n == "NUM":
+            for _ in range(2):
+                column = f"regexp_replace({column}, '{start}\\d+{end}', '\\1' || chr(1) || '\\2', 'g')"
+            column = f"replace(regexp_replace({column}, '(^|[^A-Za-z0-9\\x01])[-+]\\x01', '\\1' || chr(1), 'g'), chr(1), '<:NUM:>')"
+        elif p.startswith(before):
+            inner = p[len(before) : -len(after)].replace("(", "(?:")
+            for _ in range(2):
+                column = f"regexp_replace({column}, '{start}(?:{inner}){end}', '\\1<:{n}:>\\2', 'g')"
+        else:
+            column = f"regexp_replace({column}, '(executed cmd )(?:\".+?\")', '\\1<:{n}:>', 'g')"
+    return column
 
 
 def words_only(text: Column) -> Column:
@@ -68,12 +90,3 @@ def keywords_in(text: Column, keywords: list[str]) -> Column:
 def detection_type(keyword: Column, sparse: Column) -> Column:
     """1 for a rare line with a keyword, 2 for a rare one, 3 for a keyword alone, else 0."""
     return F.when(keyword & sparse, 1).when(sparse, 2).when(keyword, 3).otherwise(0)
-
-
-def shape(text: Column, words: int = 3) -> Column:
-    """A line's coarse template: its first words with letters and digits generalised."""
-    general = F.regexp_replace(F.regexp_replace(F.substring(text, 1, 60), r"\p{L}+", "a"), r"\p{N}+", "0")
-    return F.array_join(F.slice(F.split(general, " "), 1, words), " ")
-
-
-SHAPE_SQL = r"array_to_string(list_slice(string_split(regexp_replace(regexp_replace(substring({0}, 1, 60), '\p{{L}}+', 'a', 'g'), '\p{{N}}+', '0', 'g'), ' '), 1, 3), ' ')"

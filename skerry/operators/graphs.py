@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import blocks, numbered
+
 
 def transitions(lines: DataFrame, by: list[str], template: str, order: list[str]) -> DataFrame:
     """Edges between the templates of lines that follow one another, with how often they do."""
-    own = Window.partitionBy(*by).orderBy(*order)
-    pairs = lines.select(*by, F.col(template).alias("src"), F.lead(template).over(own).alias("dst")).where("dst IS NOT NULL")
+    rows = blocks(numbered(lines, by, order), 1)
+    own = Window.partitionBy(*by, "_block").orderBy("n")
+    pairs = rows.select(*by, "_own", F.col(template).alias("src"), F.lead(template).over(own).alias("dst")).where("_own AND dst IS NOT NULL")
     return pairs.groupBy(*by, "src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -20,54 +25,107 @@ def row_normalized(edges: DataFrame, by: list[str]) -> DataFrame:
     nodes = edges.select(*by, "src").union(edges.select(*by, F.col("dst").alias("src"))).distinct()
     loops = nodes.select(*by, "src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight"))
     all_edges = edges.unionByName(loops).groupBy(*by, "src", "dst").agg(F.sum("weight").alias("weight"))
-    return all_edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy(*by, "src")))
+    totals = all_edges.groupBy(*by, "src").agg(F.sum("weight").alias("total"))
+    return all_edges.join(totals, [*by, "src"]).withColumn("p", F.col("weight") / F.col("total")).drop("total")
 
 
-def second_order(p: DataFrame, by: list[str]) -> DataFrame:
-    """Proximity of nodes that are reached from the same ones: sum of p(k, i) p(k, j) over k.
+def line_windows(lines: DataFrame, by: list[str], template: str, order: list[str], width: int = 30) -> DataFrame:
+    """The ``width`` templates ``w`` from each line on, where there are that many; ``start`` is the first line's number.
 
-    Pairs are those of templates within one node's edges, bounded by the template table.
+    Templates of a target's hot order are dealt in blocks with the lines after them.
     """
-    left, right = p.select(*by, "src", F.col("dst").alias("i"), F.col("p").alias("pi")), p.select(*by, "src", F.col("dst").alias("j"), F.col("p").alias("pj"))
-    return left.join(right, [*by, "src"]).groupBy(*by, "i", "j").agg(F.sum(F.col("pi") * F.col("pj")).alias("proximity"))
+    rows = blocks(numbered(lines, by, order, "start"), width - 1, "start")
+    own = Window.partitionBy(*by, "_block").orderBy("start").rowsBetween(0, width - 1)
+    found = rows.select(*by, *order, "start", "_own", F.collect_list(template).over(own).alias("w"))
+    return found.where(F.col("_own") & (F.size("w") == width)).drop("_own")
+
+
+def _steps(w: Column, width: int) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(w, 1, width - 1), F.slice(w, 2, width - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
-def window_graphs(lines: DataFrame, by: list[str], template: str, order: list[str], width: int = 30) -> DataFrame:
-    """For each full window of ``width`` lines: its first line's number, nodes, edges and whether it has more than one edge."""
-    own = Window.partitionBy(*by).orderBy(*order)
-    rows = lines.withColumns({"start": F.row_number().over(own), "w": F.collect_list(template).over(own.rowsBetween(0, width - 1))}).where(F.size("w") == width)
-    edges: Column = F.array_distinct(F.zip_with(F.slice("w", 1, width - 1), F.slice("w", 2, width - 1), lambda a, b: F.concat(a, F.lit(">"), b)))
-    return rows.select(*by, *order, "start", F.size(F.array_distinct("w")).cast("long").alias("nodes"), F.size(edges).cast("long").alias("edges"), (F.size(edges) > 1).alias("proper"))
+def window_graphs(windows: DataFrame, width: int = 30) -> DataFrame:
+    """Nodes and edges of each window's graph, and whether it has more than one edge."""
+    rows = windows.withColumns({"nodes": F.size(F.array_distinct("w")).cast("long"), "edges": F.size(_steps(F.col("w"), width)).cast("long")})
+    return rows.withColumn("proper", F.col("edges") > 1)
 
 
-def line_scores(windows: DataFrame, by: list[str], score: str, width: int = 30) -> DataFrame:
-    """Mean score of the windows that cover each window's first line."""
-    frame = Window.partitionBy(*by).orderBy("start").rowsBetween(1 - width, 0)
-    return windows.withColumn("line_score", F.avg(score).over(frame))
+def line_scores(windows: DataFrame, by: list[str], score, width: int = 30) -> DataFrame:
+    """Mean over the windows that cover a line of its node's score in each.
+
+    ``score`` is a function of (window, template) as columns. A line's number tells it; lines that no window covers are not there.
+    """
+    each = windows.select(*by, "start", F.explode(F.transform("w", lambda x, i: F.struct(i.alias("i"), score(F.col("w"), x).alias("score")))).alias("x"))
+    lines = each.select(*by, (F.col("start") + F.col("x.i")).alias("n"), "x.score")
+    return lines.groupBy(*by, "n").agg(F.avg("score").alias("line_score"))
+
 
+def _inverse(x: np.ndarray) -> np.ndarray:
+    return np.divide(1.0, x, out=np.zeros_like(x), where=x != 0)
 
-def stationary(rows: pd.DataFrame, alpha: float = 0.1, steps: int = 200) -> pd.DataFrame:
-    """Left principal vector of one graph's transitions with a teleport node, by power iteration.
 
-    For ``applyInPandas`` over a graph's edges (src, dst, p): the table of templates bounds its size.
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Divided by the roots of both ends' row sums."""
+    root = np.sqrt(np.maximum(m.sum(axis=1), 0))
+    return _inverse(root)[:, None] * m * _inverse(root)[None, :]
+
+
+def _walk(weights: np.ndarray) -> np.ndarray:
+    looped = weights + np.eye(len(weights))
+    return looped * _inverse(looped.sum(axis=1))[:, None]
+
+
+def directed_laplacian(weights: np.ndarray, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric operator of a directed graph, and the stationary vector that it rests on.
+
+    A walker leaves its graph for an outer node with probability ``alpha`` and comes back to any node.
+    """
+    p, n = _walk(weights), len(weights)
+    # pi = (1 - alpha) pi P + outer / n, with outer = alpha * sum(pi): a linear system up to scale
+    pi = np.linalg.solve(np.eye(n) - (1 - alpha) * p.T, np.full(n, 1.0 / n))
+    pi /= pi.sum()
+    root = np.sqrt(pi)
+    half = root[:, None] * p * _inverse(root)[None, :]
+    return _scaled((half + half.T) / 2), pi
+
+
+def second_order(weights: np.ndarray) -> np.ndarray:
+    """Mean of the proximities by what leads to two nodes and by where they lead, where both are there."""
+    p = _walk(weights)
+    into, out = p.T @ p, p @ p.T
+    both = (into != 0) & (out != 0)
+    return _scaled(np.where(both, (into + out) / 2, 0.0))
+
+
+def _spectra(keys: list[str], order: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owner = [], []
+            for k, w in enumerate(batch.column("w").to_pylist()):
+                nodes = {t: i for i, t in enumerate(dict.fromkeys(w))}
+                weights = np.zeros((len(nodes), len(nodes)))
+                for a, b in zip(w, w[1:]):
+                    weights[nodes[a], nodes[b]] += 1
+                first, pi = directed_laplacian(weights)
+                second = second_order(first)
+                for a, i in nodes.items():
+                    for b, j in nodes.items():
+                        if first[i, j] or second[i, j]:
+                            owner.append(k)
+                            rows.append((a, b, float(first[i, j]), float(second[i, j]), float(pi[i])))
+            columns = [batch.column(c).take(pa.array(owner, pa.int64())) for c in (*keys, *order)]
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+            values = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, *values], [*keys, *order, "src", "dst", "first", "second", "pi"])
+
+    return run
+
+
+def window_operators(windows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """First- and second-order operators of each window's graph as weighted edges, with the stationary share ``pi`` of ``src``.
+
+    A window is one row, so each graph has as many nodes at most as a window has lines, whatever a target's size.
     """
-    nodes = np.unique(np.concatenate([rows["src"].to_numpy(str), rows["dst"].to_numpy(str)]))
-    i, j = np.searchsorted(nodes, rows["src"].to_numpy(str)), np.searchsorted(nodes, rows["dst"].to_numpy(str))
-    p, n = rows["p"].to_numpy(float), len(nodes)
-    x, extra = np.full(n, 1.0 / (n + 1)), 1.0 / (n + 1)
-    for _ in range(steps):
-        y = (1 - alpha) * np.bincount(j, x[i] * p, n) + extra / n
-        extra = alpha * x.sum()
-        moved = np.abs(y - x).sum()
-        x = y
-        if moved < 1e-13:
-            break
-    return pd.DataFrame({"node": nodes, "pi": x / x.sum()})
-
-
-def directed_laplacian(p: DataFrame, pi: DataFrame, by: list[str]) -> DataFrame:
-    """(sqrt(pi) P sqrt(1/pi) + its transpose) / 2 as weighted edges."""
-    a, b = pi.select(*by, F.col("node").alias("src"), F.col("pi").alias("ps")), pi.select(*by, F.col("node").alias("dst"), F.col("pi").alias("pd"))
-    half = p.join(a, [*by, "src"]).join(b, [*by, "dst"]).select(*by, "src", "dst", (F.sqrt("ps") * F.col("p") / F.sqrt("pd") / 2).alias("w"))
-    both = half.unionByName(half.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.groupBy(*by, "src", "dst").agg(F.sum("w").alias("w"))
+    kept = windows.select(*by, *order, "w")
+    schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in (*by, *order))
+    return kept.mapInArrow(_spectra(by, order), f"{schema}, src string, dst string, first double, second double, pi double")

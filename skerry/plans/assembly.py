@@ -17,12 +17,12 @@ from .registry import query
 KEYS = ["target_id", "name"]
 
 
-@query(f"WITH {METRIC_SQL} SELECT target_id, inst_type, name, time, round(real_value, 6) AS real_value, CAST(NULL AS VARCHAR) AS error_code FROM mp WHERE time >= TIMESTAMP '2024-01-25'")
+@query(f"WITH {METRIC_SQL} SELECT target_id, inst_type, name, time, round(real_value, 6) AS real_value, CAST(NULL AS VARCHAR) AS error_code FROM mp")
 def request_envelope_parse(spark, sf_dir):
     """Points as requests in JSON (a header and an untyped body) and read back from them."""
-    p = points(spark, sf_dir).where(F.col("time") >= F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00")))
+    p = points(spark, sf_dir).withColumn("day", F.to_date("time"))  # a request holds a day of one target
     cell = F.create_map(F.lit("time"), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.col("name"), F.format_string("%.17g", "real_value"))
-    bodies = p.groupBy("target_id", "inst_type").agg(F.collect_list(cell).alias("body"))
+    bodies = p.groupBy("target_id", "inst_type", "day").agg(F.collect_list(cell).alias("body"))
     header = F.struct(F.lit("1").alias("sys_id"), "target_id", "inst_type")
     raw = bodies.select(F.to_json(F.struct(F.lit("module").alias("id1"), F.lit("2024-01-30 00:00:00").alias("standard_datetime"), header.alias("header"), "body")).alias("value"))
     return relations.parse_envelopes(raw).select("target_id", "inst_type", "name", "time", r("real_value"), "error_code")

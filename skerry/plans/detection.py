@@ -143,18 +143,28 @@ def forecast_nested_result(spark, sf_dir):
     return nested.select(*KEYS, F.array_join(line, ",").alias("data"), F.size("data").cast("long").alias("steps"))
 
 
-@query(f"""WITH {METRIC_SQL}, lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, name ORDER BY time DESC) AS k FROM mp) x WHERE k <= 11 AND real_value > 0),
-w AS (SELECT target_id, name, k, real_value, ln(real_value / lead(real_value) OVER (PARTITION BY target_id, name ORDER BY k)) AS g FROM lt),
-t AS (SELECT target_id, name, sum(g * (11 - k)) / sum(11 - k) AS growth, arg_min(real_value, k) AS v FROM w WHERE g IS NOT NULL GROUP BY 1, 2)
-SELECT target_id, name, CAST(i AS INTEGER) AS step, round(v * exp(i * growth / 10), 3) AS predict_value FROM t, range(30) s(i)""")
+@query(f"""WITH {FILLED_SQL}, ew AS (SELECT a.target_id, a.name, a.seq, sum(b.filled * power(0.5, a.seq - b.seq)) / sum(power(0.5, a.seq - b.seq)) AS v FROM fi a JOIN fi b ON a.target_id = b.target_id AND a.name = b.name AND b.seq <= a.seq WHERE a.filled IS NOT NULL GROUP BY 1, 2, 3),
+g AS (SELECT *, ln(v / lag(v) OVER (PARTITION BY target_id, name ORDER BY seq)) AS g FROM ew WHERE v > 0),
+t AS (SELECT g.target_id, g.name, f.i, sum(g.g * (60 + f.i) / (60 + f.i - g.seq)) / sum((60 + f.i) / (60.0::DOUBLE + f.i - g.seq)) AS growth FROM g, (SELECT CAST(i AS DOUBLE) AS i FROM range(30) r(i)) f WHERE g.g IS NOT NULL GROUP BY 1, 2, 3),
+la AS (SELECT target_id, name, arg_max(v, seq) AS v FROM g GROUP BY 1, 2)
+SELECT t.target_id, t.name, CAST(t.i AS INTEGER) AS step, round(la.v * exp(t.i * growth), 3) AS predict_value FROM t JOIN la ON t.target_id = la.target_id AND t.name = la.name""")
 def trend_extrapolation_30(spark, sf_dir):
-    """Geometric trend: weighted mean of log growth, later steps weigh more."""
-    latest = frames.tail(points(spark, sf_dir), 11).where("real_value > 0")
-    order = Window.partitionBy(*KEYS).orderBy("rank")
-    g = F.log(F.col("real_value") / F.lead("real_value").over(order))
-    w = latest.withColumn("g", g).where("g IS NOT NULL")
-    t = w.groupBy(*KEYS).agg((F.sum(F.col("g") * (11 - F.col("rank"))) / F.sum(11 - F.col("rank"))).alias("growth"), F.min_by("real_value", "rank").alias("v"))
-    return t.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(29))).alias("step"), "v", "growth").select(*KEYS, "step", F.round(F.col("v") * F.exp(F.col("step") * F.col("growth") / 10), 3).alias("predict_value"))
+    return trend(smoothing.ewm(frames.interpolate(frames.on_spine(points(spark, sf_dir))).where("filled IS NOT NULL"), "filled")).select(*KEYS, "step", F.round("value", 3).alias("predict_value"))
+
+
+def trend(rows, steps: int = 30, window: int = 60):
+    """Geometric trend of smoothed values ``ewm`` by ``seq``: the last one times the weighted mean growth to the power of the step.
+
+    Step f weighs the growth into place w by (window + f) / (window + f - w), so that later ones weigh more. Values must be positive.
+    """
+    order = Window.partitionBy(*KEYS).orderBy("seq")
+    known = rows.where("ewm > 0")
+    g = known.withColumn("g", F.log(F.col("ewm") / F.lag("ewm").over(order))).where("g IS NOT NULL")
+    each = g.select(*KEYS, "seq", "g", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    w = (F.col("step") + window) / (F.col("step") + window - F.col("seq"))
+    growth = each.groupBy(*KEYS, "step").agg((F.sum(F.col("g") * w) / F.sum(w)).alias("growth"))
+    last = known.groupBy(*KEYS).agg(F.max_by("ewm", "seq").alias("last"))
+    return growth.join(last, KEYS).select(*KEYS, "step", (F.col("last") * F.exp(F.col("step") * F.col("growth"))).alias("value"))
 
 
 @query(f"""WITH {FILLED_SQL}, fu AS (SELECT target_id, name, CAST(60 + i AS INTEGER) AS seq, last_v AS filled FROM (SELECT target_id, name, arg_max(filled, seq) AS last_v FROM fi GROUP BY 1, 2) x, range(30) t(i)),
@@ -193,7 +203,7 @@ def event_feature_membership(spark, sf_dir):
 
 
 ONE_SIDED_SQL = LOSS_SQL + f""", {FEATURE_SQL},
-os AS (SELECT inst_type, target_id, name, time, CASE WHEN real_value > model_value THEN loss ELSE 1e-7 END AS score FROM lo WHERE time >= TIMESTAMP '2024-01-25'),
+os AS (SELECT inst_type, target_id, name, time, CASE WHEN real_value > model_value THEN loss ELSE 1e-7 END AS score FROM lo),
 ev AS (SELECT e.event_code, o.target_id, o.name, o.time, o.score FROM os o JOIN ef e ON o.inst_type = e.inst_type AND o.name = e.name UNION ALL SELECT 'ETC', target_id, name, time, score FROM os),
 es AS (SELECT event_code, target_id, time, avg(score) AS score FROM ev GROUP BY 1, 2, 3),
 ga AS (SELECT *, first_value(score) OVER (PARTITION BY event_code, target_id ORDER BY time) AS first_score FROM es),
@@ -201,9 +211,8 @@ an AS (SELECT *, score > 60 AND first_score >= 60 AS anomaly, score > 60 AS abov
 
 
 def one_sided(spark, sf_dir):
-    """Scores of the last days: the loss where the value is above the model's, else nearly nothing."""
-    rows = losses(spark, sf_dir).where(F.col("time") >= F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00")))
-    return rows.withColumn("score", F.when(F.col("real_value") > F.col("model_value"), F.col("loss")).otherwise(1e-7))
+    """Scores: the loss where the value is above the model's, else nearly nothing."""
+    return losses(spark, sf_dir).withColumn("score", F.when(F.col("real_value") > F.col("model_value"), F.col("loss")).otherwise(1e-7))
 
 
 def event_rows(spark, sf_dir):
@@ -215,7 +224,8 @@ def event_rows(spark, sf_dir):
 def event_scores(spark, sf_dir, threshold: float = 60.0):
     """Mean score of each event; an event whose first step is below the threshold stays off."""
     s = event_rows(spark, sf_dir).groupBy("event_code", "target_id", "time").agg(F.avg("score").alias("score"))
-    s = s.withColumn("first_score", F.first("score").over(Window.partitionBy("event_code", "target_id").orderBy("time")))
+    first = s.groupBy("event_code", "target_id").agg(F.min_by("score", "time").alias("first_score"))
+    s = s.join(first, ["event_code", "target_id"])
     return s.withColumns({"above": F.col("score") > threshold, "anomaly": (F.col("score") > threshold) & (F.col("first_score") >= threshold)})
 
 
@@ -229,23 +239,33 @@ def event_first_minute_gate(spark, sf_dir):
     return event_scores(spark, sf_dir).groupBy("event_code", "target_id").agg(F.count("*").alias("steps"), F.count_if("above").alias("above"), F.count_if("anomaly").alias("anomalies"))
 
 
-PROB_SQL = "CASE WHEN least(ceil(score), 99) < 0 THEN 0 ELSE round(1 - exp(-0.05 * least(ceil(score), 99)), 2) END"
+PROB_SQL = ONE_SIDED_SQL + """, gd AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 999 AS at FROM range(1000) t(i)),
+ed AS (SELECT event_code, i, gd.at, avg(exp(-0.5 * power((gd.at - score / 50) / 0.5, 2))) AS density FROM es, gd GROUP BY 1, 2, 3),
+ec AS (SELECT event_code, i, CASE WHEN ed.at > 1.2 THEN 0.95 * sum(CASE WHEN ed.at > 1.2 THEN density ELSE 0 END) OVER (PARTITION BY event_code ORDER BY i) / nullif(sum(CASE WHEN ed.at > 1.2 THEN density ELSE 0 END) OVER (PARTITION BY event_code), 0) ELSE 0 END AS cdf FROM ed),
+pb AS (SELECT an.*, round(ec.cdf, 2) AS event_prob FROM an JOIN ec ON an.event_code = ec.event_code AND ec.i = least(ceil(an.score / 50 * 100), 999))"""
 
 
-def event_probability():
-    """The score's step looked up in an array of 100 probabilities, which folds to a constant."""
-    cdf = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.round(1 - F.exp(-0.05 * i), 2))
-    return F.element_at(cdf, F.least(F.ceil("score"), F.lit(99)).cast("int") + 1)
+def event_probabilities(scores, threshold: float = 1.2):
+    """``event_prob`` of each event score: the step ceil(100 x), 999 at most, of its event's distribution above the threshold.
 
+    An event's distribution is an array of 1000 steps; x is the score by fifty, so that the grid from 0 to 10 holds all scores.
+    """
+    x = F.col("score") / 50
+    d = density(scores.select("event_code", x.alias("v")), "event_code")
+    cdf = above(d, "event_code", threshold).groupBy("event_code").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "cdf"))), lambda s: s["cdf"]).alias("steps"))
+    at = F.least(F.ceil(x * 100), F.lit(999)).cast("int")
+    return scores.join(cdf, "event_code").withColumn("event_prob", F.round(F.get("steps", at), 2)).drop("steps")
 
-@query(f"WITH {ONE_SIDED_SQL} SELECT event_code, target_id, time, {PROB_SQL} AS event_prob FROM es")
+
+@query(f"WITH {PROB_SQL} SELECT event_code, target_id, time, event_prob FROM pb")
 def event_cdf_probability(spark, sf_dir):
-    return event_scores(spark, sf_dir).select("event_code", "target_id", "time", event_probability().alias("event_prob"))
+    return event_probabilities(event_scores(spark, sf_dir)).select("event_code", "target_id", "time", "event_prob")
 
 
-ETC_SQL = ONE_SIDED_SQL + f""", hit AS (SELECT DISTINCT a.target_id, e.name FROM an a JOIN ef e ON a.event_code = e.event_code WHERE a.anomaly),
+MASK_SQL = f""", hit AS (SELECT DISTINCT a.target_id, e.name FROM an a JOIN ef e ON a.event_code = e.event_code WHERE a.anomaly),
 em AS (SELECT target_id, name, avg(score) AS mean_score FROM os GROUP BY 1, 2),
 mk AS (SELECT em.target_id, em.name, mean_score FROM em WHERE mean_score > 5 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.target_id = em.target_id AND hit.name = em.name))"""
+ETC_SQL = ONE_SIDED_SQL + MASK_SQL
 
 
 def etc_mask(spark, sf_dir, threshold: float = 5.0):
@@ -260,36 +280,62 @@ def event_etc_mask(spark, sf_dir):
     return etc_mask(spark, sf_dir).select("target_id", "name", r("mean_score", 4))
 
 
-TOP_SQL = ONE_SIDED_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id, time ORDER BY score DESC, name) AS rank FROM ev), tp AS (SELECT *, 100 * score / nullif(sum(score) OVER (PARTITION BY event_code, target_id, time), 0) AS contribution FROM rk WHERE rank <= 3)"
+TOP_SQL = ONE_SIDED_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id, time ORDER BY score DESC, name) AS rank FROM ev), tp AS (SELECT *, 100 * score / nullif(sum(score) OVER (PARTITION BY event_code, target_id, time), 0) AS contribution FROM rk WHERE rank <= 5)"
 
 
 @query(f"WITH {TOP_SQL} SELECT event_code, target_id, time, name, CAST(rank AS INTEGER) AS rank, round(contribution, 3) AS contribution FROM tp")
 def event_top5_contribution(spark, sf_dir):
-    """The largest contributors of each event and step with their share (three here: events watch few metrics)."""
-    return scoring.top_share(event_rows(spark, sf_dir), ["event_code", "target_id", "time"], "score", "name", 3).select("event_code", "target_id", "time", "name", "rank", r("contribution", 3))
+    """The five largest contributors of each event and step with their share."""
+    return scoring.top_share(event_rows(spark, sf_dir), ["event_code", "target_id", "time"], "score", "name", 5).select("event_code", "target_id", "time", "name", "rank", r("contribution", 3))
 
 
-@query(f"""WITH {TOP_SQL}, ex AS (SELECT event_code, target_id, time, string_agg(name || ':' || CAST(CAST(floor(contribution) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS explain FROM tp GROUP BY 1, 2, 3)
-SELECT a.event_code, a.target_id, a.time AS predict_time, a.anomaly, CASE WHEN a.anomaly THEN {PROB_SQL.replace('score', 'a.score')} ELSE 0 END AS event_prob, ex.explain
-FROM an a JOIN ex ON a.event_code = ex.event_code AND a.target_id = ex.target_id AND a.time = ex.time""")
-def event_forecast_p4(spark, sf_dir):
-    """Event forecast: gate, probability and explanation of each event and step."""
-    top = scoring.top_share(event_rows(spark, sf_dir), ["event_code", "target_id", "time"], "score", "name", 3)
-    note = F.concat("name", F.lit(":"), F.floor("contribution").cast("string"))
-    explain = top.groupBy("event_code", "target_id", "time").agg(F.sort_array(F.collect_list(F.struct("rank", note.alias("note")))).alias("x")).withColumn("explain", F.array_join(F.transform("x", lambda s: s["note"]), ",")).drop("x")
-    rows = event_scores(spark, sf_dir).join(explain, ["event_code", "target_id", "time"])
-    return rows.select("event_code", "target_id", F.col("time").alias("predict_time"), "anomaly", F.when(F.col("anomaly"), event_probability()).otherwise(0.0).alias("event_prob"), "explain")
+P4_SQL = PROB_SQL + MASK_SQL + """, wa AS (SELECT ev.* FROM ev WHERE event_code <> 'ETC' OR EXISTS (SELECT 1 FROM mk WHERE mk.target_id = ev.target_id AND mk.name = ev.name)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id, time ORDER BY score DESC, name) AS rank FROM wa),
+tp AS (SELECT *, 100 * score / nullif(sum(score) OVER (PARTITION BY event_code, target_id, time), 0) AS contribution FROM rk WHERE rank <= 5),
+ex AS (SELECT event_code, target_id, time, string_agg(name || ':' || CAST(CAST(floor(round(contribution, 6)) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS explain FROM tp GROUP BY 1, 2, 3),
+on_ AS (SELECT pb.*, pb.anomaly AND (event_code <> 'ETC' OR EXISTS (SELECT 1 FROM mk WHERE mk.target_id = pb.target_id)) AS predicted FROM pb)"""
 
 
-KDE_SQL = METRIC_SQL + """, x AS (SELECT name, real_value / 50 AS v FROM mp WHERE time >= TIMESTAMP '2024-01-25'), g AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 99 AS at FROM range(100) t(i)),
+@query(f"""WITH {P4_SQL} SELECT a.event_code, a.target_id, a.time AS predict_time, a.predicted AS anomaly, CASE WHEN a.predicted THEN a.event_prob ELSE 0 END AS event_prob, ex.explain
+FROM on_ a LEFT JOIN ex ON a.event_code = ex.event_code AND a.target_id = ex.target_id AND a.time = ex.time""")
+def event_forecast_p4(spark, sf_dir):
+    """Event forecast: gate, probability and explanation of each event and step.
+
+    ETC is predicted and explained only by metrics of its mask: those of no predicted event that stand out themselves.
+    """
+    keys = ["event_code", "target_id", "time"]
+    mask = etc_mask(spark, sf_dir).select("target_id", "name")
+    rows, other = event_rows(spark, sf_dir), F.col("event_code") == "ETC"
+    watched = rows.where(~other).unionByName(rows.where(other).join(mask, ["target_id", "name"], "left_semi").select(*rows.columns))
+    top = scoring.top_share(watched, keys, "score", "name", 5)
+    note = F.concat("name", F.lit(":"), F.floor(F.round("contribution", 6)).cast("string"))
+    explain = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", note.alias("note")))).alias("x")).withColumn("explain", F.array_join(F.transform("x", lambda s: s["note"]), ",")).drop("x")
+    targets = mask.select("target_id").distinct().withColumn("masked", F.lit(True))
+    found = event_probabilities(event_scores(spark, sf_dir)).join(explain, keys, "left").join(targets, "target_id", "left")
+    predicted = F.col("anomaly") & (~other | F.coalesce("masked", F.lit(False)))
+    return found.select("event_code", "target_id", F.col("time").alias("predict_time"), predicted.alias("anomaly"), F.when(predicted, F.col("event_prob")).otherwise(0.0).alias("event_prob"), "explain")
+
+
+KDE_SQL = METRIC_SQL + """, x AS (SELECT name, real_value / 50 AS v FROM mp), g AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 999 AS at FROM range(1000) t(i)),
 kd AS (SELECT name, i, g.at, avg(exp(-0.5 * power((g.at - v) / 0.5, 2))) / (0.5 * sqrt(2 * pi())) AS density FROM x, g GROUP BY 1, 2, 3)"""
 
 
-def kde(spark, sf_dir, grid: int = 100, bandwidth: float = 0.5):
-    """Gaussian kernel density of each metric on a grid from 0 to 10: the grid goes to each row, sums are partial."""
-    x = points(spark, sf_dir).where(F.col("time") >= F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00"))).select("name", (F.col("real_value") / 50).alias("v"))
-    rows = x.select("name", "v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")).withColumn("at", F.col("i") * 10.0 / (grid - 1))
-    return rows.groupBy("name", "i", "at").agg((F.avg(F.exp(-0.5 * F.pow((F.col("at") - F.col("v")) / bandwidth, F.lit(2)))) / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+def density(x, by: str, grid: int = 1000, bandwidth: float = 0.5):
+    """Gaussian kernel density of each key's ``v`` on a grid from 0 to 10: the grid goes to each row, sums are partial."""
+    rows = x.select(by, "v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")).withColumn("at", F.col("i") * 10.0 / (grid - 1))
+    return rows.groupBy(by, "i", "at").agg((F.avg(F.exp(-0.5 * F.pow((F.col("at") - F.col("v")) / bandwidth, F.lit(2)))) / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def above(densities, by: str, threshold: float):
+    """``cdf``: share of the density above a threshold up to each grid place, at most 0.95; 0 up to the threshold."""
+    d, own = F.when(F.col("at") > threshold, F.col("density")).otherwise(0.0), Window.partitionBy(by)
+    rows = densities.withColumn("d", d)
+    cdf = F.try_divide(0.95 * F.sum("d").over(own.orderBy("i")), F.sum("d").over(own))
+    return rows.withColumn("cdf", F.when(F.col("at") > threshold, cdf).otherwise(0.0)).drop("d")
+
+
+def kde(spark, sf_dir):
+    return density(points(spark, sf_dir).select("name", (F.col("real_value") / 50).alias("v")), "name")
 
 
 @query(f"WITH {KDE_SQL} SELECT name, i, round(kd.at, 5) AS grid_at, round(density, 6) AS density FROM kd")
@@ -297,14 +343,18 @@ def kde_density_grid(spark, sf_dir):
     return kde(spark, sf_dir).select("name", "i", F.round("at", 5).alias("grid_at"), r("density"))
 
 
-@query(f"""WITH {KDE_SQL}, cu AS (SELECT name, i, 0.95 * sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name ORDER BY i) / nullif(sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name), 0) AS cdf FROM kd)
+@query(f"""WITH {KDE_SQL}, cu AS (SELECT name, i, CASE WHEN kd.at > 2 THEN 0.95 * sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name ORDER BY i) / nullif(sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name), 0) ELSE 0 END AS cdf FROM kd)
 SELECT name, i, round(cdf, 6) AS cdf FROM cu""")
 def cdf_above_threshold(spark, sf_dir):
-    """Share of the density above a threshold up to each grid place, at most 0.95."""
-    d = F.when(F.col("at") > 2, F.col("density")).otherwise(0.0)
-    own = Window.partitionBy("name")
-    rows = kde(spark, sf_dir).withColumn("d", d)
-    return rows.select("name", "i", F.round(F.try_divide(0.95 * F.sum("d").over(own.orderBy("i")), F.sum("d").over(own)), 6).alias("cdf"))
+    return above(kde(spark, sf_dir), "name", 2.0).select("name", "i", F.round("cdf", 6).alias("cdf"))
+
+
+@query(f"""WITH {KDE_SQL}, cu AS (SELECT name, i, CASE WHEN kd.at > 2 THEN 0.95 * sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name ORDER BY i) / nullif(sum(CASE WHEN kd.at > 2 THEN density ELSE 0 END) OVER (PARTITION BY name), 0) ELSE 0 END AS cdf FROM kd)
+SELECT name, round((1000 - count(*) FILTER (cdf > 0.5)) * 0.01::DOUBLE, 2) AS threshold FROM cu GROUP BY 1""")
+def event_threshold_half(spark, sf_dir):
+    """The place of the grid at which the distribution above a threshold passes one half."""
+    rows = above(kde(spark, sf_dir), "name", 2.0).groupBy("name").agg(F.count_if(F.col("cdf") > 0.5).alias("n"))
+    return rows.select("name", F.round((1000 - F.col("n")) * 0.01, 2).alias("threshold"))
 
 
 POT_SQL = LOSS_SQL + """, so AS (SELECT target_id, loss AS score, row_number() OVER (PARTITION BY target_id ORDER BY loss) AS k, count(*) OVER (PARTITION BY target_id) AS n FROM lo),
@@ -361,7 +411,7 @@ def iqr_scaled_score(spark, sf_dir):
 
 EPS_SQL = LOSS_SQL + """, k AS (SELECT target_id, loss, time, name, row_number() OVER (PARTITION BY target_id ORDER BY time, name) AS i FROM lo),
 mo AS (SELECT target_id, avg(loss) AS mu, stddev_pop(loss) AS sd, max(loss) AS top, count(*) AS n FROM lo GROUP BY 1), z AS (SELECT 2.5 + 0.5 * j AS z FROM range(19) t(j)),
-f AS (SELECT k.target_id, z.z, k.i, k.loss, mo.mu + mo.sd * z.z AS eps, k.loss > mo.mu + mo.sd * z.z AS hit, mo.mu, mo.sd, mo.n FROM k JOIN mo ON k.target_id = mo.target_id, z),
+f AS (SELECT k.target_id, z.z, k.i, k.loss, mo.mu + mo.sd * z.z AS eps, k.loss >= mo.mu + mo.sd * z.z AS hit, mo.mu, mo.sd, mo.n FROM k JOIN mo ON k.target_id = mo.target_id, z),
 d AS (SELECT *, max(CAST(hit AS INTEGER)) OVER (PARTITION BY target_id, z ORDER BY i ROWS BETWEEN 49 PRECEDING AND 49 FOLLOWING) AS near FROM f),
 a AS (SELECT target_id, z, eps, mu, sd, n, count(*) FILTER (hit) AS hits, sum(near) AS wide, avg(loss) FILTER (NOT hit) AS mu2, stddev_pop(loss) FILTER (NOT hit) AS sd2 FROM d GROUP BY 1, 2, 3, 4, 5, 6),
 s AS (SELECT *, ((mu - mu2) / mu + (sd - sd2) / sd) / nullif(wide, 0) AS score FROM a WHERE hits > 0 AND wide < 0.5 * n)
@@ -376,7 +426,7 @@ def epsilon_threshold(spark, sf_dir):
     k = rows.select("target_id", "loss", F.row_number().over(order).alias("i"))
     mo = rows.groupBy("target_id").agg(F.avg("loss").alias("mu"), F.stddev_pop("loss").alias("sd"), F.max("loss").alias("top"), F.count("*").alias("n"))
     f = k.join(mo, "target_id").withColumn("z", F.explode(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda j: 2.5 + 0.5 * j)))
-    f = f.withColumn("eps", F.col("mu") + F.col("sd") * F.col("z")).withColumn("hit", (F.col("loss") > F.col("eps")).cast("int"))
+    f = f.withColumn("eps", F.col("mu") + F.col("sd") * F.col("z")).withColumn("hit", (F.col("loss") >= F.col("eps")).cast("int"))
     d = thresholds.dilate(f, "hit", ["target_id", "z"], "i")
     calm = F.when(F.col("hit") == 0, F.col("loss"))
     a = d.groupBy("target_id", "z", "eps", "mu", "sd", "n").agg(F.sum("hit").alias("hits"), F.sum("hit_near").alias("wide"), F.avg(calm).alias("mu2"), F.stddev_pop(calm).alias("sd2"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import graphs, miner
+from skerry.operators import graphs, miner, ordering
 from skerry.sources.relations import LOG_SQL, log_lines, table
 
 from .registry import query
@@ -19,16 +19,26 @@ def lines(spark, sf_dir):
 
 
 def shaped(spark, sf_dir):
-    return lines(spark, sf_dir).withColumn("tpl", text.shape(F.col("msg")))
+    """Lines with their templates: the whole lines, masked."""
+    return lines(spark, sf_dir).withColumn("tpl", text.masked(F.col("msg")))
 
 
-SHAPED_SQL = LOG_SQL + f", sh AS (SELECT *, {text.SHAPE_SQL.format('msg')} AS tpl FROM ll)"
+SHAPED_SQL = LOG_SQL + f", sh AS (SELECT *, {text.masked_sql('msg')} AS tpl FROM ll)"
 
 
-@query(f"WITH {LOG_SQL} SELECT target_id, doc_id, pos, msg FROM ll WHERE target_id = 'src3' AND doc_id >= 100 AND doc_id < 700")
+@query(f"WITH {LOG_SQL} SELECT target_id, doc_id, pos, msg FROM ll")
 def log_slice_left300(spark, sf_dir):
-    """One target's lines of a stretch of time, cut to 300 characters; the filters reach the scan."""
-    return lines(spark, sf_dir).where("target_id = 'src3' AND doc_id >= 100 AND doc_id < 700")
+    """All targets' lines, cut to 300 characters."""
+    return slice_lines(lines(spark, sf_dir))
+
+
+def slice_lines(rows, targets: list[str] | None = None, first: int | None = None, end: int | None = None):
+    """Lines of some targets and of documents in [first, end); what is not given is not filtered. Filters reach the scan."""
+    if targets is not None:
+        rows = rows.where(F.col("target_id").isin(*targets))
+    if first is not None:
+        rows = rows.where(F.col("doc_id") >= first)
+    return rows if end is None else rows.where(F.col("doc_id") < end)
 
 
 def _sql_text(s: str) -> str:
@@ -41,25 +51,14 @@ def _chain_sql(column: str, rules) -> str:
     return column
 
 
-def _mask_sql(column: str, names) -> str:
-    for p, n in text.MASKS:
-        if n in names:  # borders are taken into the match, so neighbours need a second pass
-            p = p.replace("(", "(?:")
-            for _ in range(2):
-                column = f"regexp_replace({column}, '(^|[^A-Za-z0-9])(?:{p})($|[^A-Za-z0-9])', '\\1<:{n}:>\\2', 'g')"
-    return column
-
-
 @query(f"WITH {LOG_SQL} SELECT target_id, doc_id, pos, {_chain_sql('msg', text.COMMON_PRESET)} AS msg_transform FROM ll")
 def log_mask_regex_chain(spark, sf_dir):
     return lines(spark, sf_dir).select("target_id", "doc_id", "pos", text.replace_chain(F.col("msg"), text.COMMON_PRESET).alias("msg_transform"))
 
 
-@query(f"WITH {LOG_SQL} SELECT target_id, doc_id, pos, {_mask_sql('msg', ('IP', 'HEX', 'NUM'))} AS masked FROM ll WHERE regexp_matches(msg, '[0-9]') AND NOT regexp_matches(msg, '[0-9a-fA-F]{{4}} ?[0-9a-fA-F]{{4}}|:[0-9a-f]{{2}}|[-+][0-9]')")
+@query(f"WITH {SHAPED_SQL} SELECT target_id, doc_id, pos, tpl AS masked FROM sh")
 def log_miner_masks(spark, sf_dir):
-    """The miner's masks over lines with digits (those that the look-around-free SQL can follow)."""
-    rows = lines(spark, sf_dir).where(F.col("msg").rlike("[0-9]") & ~F.col("msg").rlike("[0-9a-fA-F]{4} ?[0-9a-fA-F]{4}|:[0-9a-f]{2}|[-+][0-9]"))
-    return rows.select("target_id", "doc_id", "pos", text.masked(F.col("msg")).alias("masked"))
+    return shaped(spark, sf_dir).select("target_id", "doc_id", "pos", F.col("tpl").alias("masked"))
 
 
 @query(f"""WITH {LOG_SQL} SELECT target_id, doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(msg, '(statement )\\[.+\\]', '\\1<SQL-STATEMENT>', 'g'), 'at .*', '<ERROR-Traceback>', 'g'),
@@ -89,8 +88,8 @@ ra AS (SELECT *, size = 1 AS created, CASE WHEN size = 1 THEN 1.0::DOUBLE / tota
 
 def rarity(spark, sf_dir, rare_rate: float = 0.01):
     """Each line's template share so far in its target; new and rare templates are sparse."""
-    rows = shaped(spark, sf_dir)
-    rows = rows.withColumns({"total": F.row_number().over(Window.partitionBy("target_id").orderBy(*ORDER)), "size": F.row_number().over(Window.partitionBy("target_id", "tpl").orderBy(*ORDER))})
+    rows = ordering.numbered(shaped(spark, sf_dir), BY, ORDER, "total")
+    rows = ordering.numbered(rows, [*BY, "tpl"], ORDER, "size")
     rows = rows.withColumns({"created": F.col("size") == 1, "rate": F.col("size") / F.col("total")})
     return rows.withColumn("sparse", F.col("created") | (F.col("rate") < rare_rate))
 
@@ -141,24 +140,45 @@ def log_graph_row_normalized(spark, sf_dir):
     return graphs.row_normalized(edges(spark, sf_dir), BY).withColumn("p", F.round("p", 8))
 
 
-@query(f"WITH {EDGE_SQL} SELECT a.target_id, a.dst AS i, b.dst AS j, round(sum(a.p * b.p), 7) AS proximity FROM rn a JOIN rn b ON a.target_id = b.target_id AND a.src = b.src GROUP BY 1, 2, 3")
-def log_second_order_proximity(spark, sf_dir):
-    return graphs.second_order(graphs.row_normalized(edges(spark, sf_dir), BY), BY).withColumn("proximity", F.round("proximity", 7))
+WIN_SQL = SHAPED_SQL + """, wi AS (SELECT target_id, doc_id, pos, row_number() OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS start, array_agg(tpl) OVER (PARTITION BY target_id ORDER BY doc_id, pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS w FROM sh),
+gw AS (SELECT target_id, doc_id, pos, start, w, len(list_distinct(w)) AS nodes, len(list_distinct([{'a': w[i], 'b': w[i + 1]} FOR i IN range(1, 30)])) AS edges FROM wi WHERE len(w) = 30)"""
 
 
-WIN_SQL = SHAPED_SQL + """, wi AS (SELECT target_id, doc_id, pos, row_number() OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS start, array_agg(tpl) OVER (PARTITION BY target_id ORDER BY doc_id, pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS w FROM sh),
-gw AS (SELECT target_id, doc_id, pos, start, len(list_distinct(w)) AS nodes, len(list_distinct([w[i] || '>' || w[i + 1] FOR i IN range(1, 30)])) AS edges FROM wi WHERE len(w) = 30)"""
+def windows(spark, sf_dir):
+    return graphs.line_windows(shaped(spark, sf_dir), BY, "tpl", ORDER)
 
 
 @query(f"WITH {WIN_SQL} SELECT target_id, doc_id, pos, CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, edges > 1 AS proper FROM gw")
 def log_window_graphs(spark, sf_dir):
-    return graphs.window_graphs(shaped(spark, sf_dir), BY, "tpl", ORDER).drop("start")
+    return graphs.window_graphs(windows(spark, sf_dir)).drop("start", "w")
 
 
-@query(f"WITH {WIN_SQL} SELECT target_id, doc_id, pos, round(avg(edges / 29.0::DOUBLE) OVER (PARTITION BY target_id ORDER BY start ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 7) AS line_score FROM gw WHERE edges > 1")
+@query(f"""WITH {WIN_SQL}, nu AS (SELECT target_id, doc_id, pos, row_number() OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS n FROM sh),
+po AS (SELECT target_id, start, w, unnest(range(1, 31)) AS i FROM gw WHERE edges > 1),
+sc AS (SELECT target_id, start + i - 1 AS n, len([y FOR y IN w IF y = w[i]]) / 30.0::DOUBLE AS score FROM po),
+av AS (SELECT target_id, n, avg(score) AS line_score FROM sc GROUP BY 1, 2)
+SELECT nu.target_id, nu.doc_id, nu.pos, round(av.line_score, 7) AS line_score FROM nu JOIN av ON nu.target_id = av.target_id AND nu.n = av.n""")
 def log_window_line_avg_score(spark, sf_dir):
-    w = graphs.window_graphs(shaped(spark, sf_dir), BY, "tpl", ORDER).where("proper").withColumn("score", F.col("edges") / 29.0)
-    return graphs.line_scores(w, BY, "score").select("target_id", "doc_id", "pos", F.round("line_score", 7).alias("line_score"))
+    """Mean over all windows that cover a line of its template's score in the window's graph.
+
+    No trained network is at hand, so a node's score is its share of the window's lines.
+    """
+    proper = graphs.window_graphs(windows(spark, sf_dir)).where("proper")
+    share = lambda w, x: F.size(F.filter(w, lambda y: y == x)) / F.lit(30.0)
+    scores = graphs.line_scores(proper, BY, share)
+    return ordering.numbered(lines(spark, sf_dir), BY, ORDER).join(scores, [*BY, "n"]).select("target_id", "doc_id", "pos", F.round("line_score", 7).alias("line_score"))
+
+
+@query()
+def log_second_order_proximity(spark, sf_dir):
+    """Second-order proximity of each window's graph, taken of its first-order operator (numeric, so no SQL)."""
+    return graphs.window_operators(windows(spark, sf_dir), BY, ORDER).where("second <> 0").select("target_id", "doc_id", "pos", "src", "dst", F.round("second", 7).alias("proximity"))
+
+
+@query()
+def directed_laplacian_pagerank(spark, sf_dir):
+    """First-order operator of each window's graph, and the stationary share of each edge's source (numeric, so no SQL)."""
+    return graphs.window_operators(windows(spark, sf_dir), BY, ORDER).where("first <> 0").select("target_id", "doc_id", "pos", "src", "dst", F.round("first", 7).alias("weight"), F.round("pi", 7).alias("pi"))
 
 
 @query(f"""WITH {EDGE_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY target_id, src ORDER BY weight DESC, dst) AS k FROM ed)
@@ -199,17 +219,6 @@ def template_miner_online(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("target_id").applyInPandas(lambda rows: miner.mine(rows), "target_id string, doc_id long, pos long, template_id long, change string, cluster_size long, rate double, sparse boolean")
 
 
-@query()
-def directed_laplacian_pagerank(spark, sf_dir):
-    """Stationary vector of each target's transitions by power iteration."""
-    p = graphs.row_normalized(edges(spark, sf_dir), BY)
-
-    def run(key, rows):
-        return graphs.stationary(rows).assign(target_id=key[0])
-
-    return p.groupBy("target_id").applyInPandas(run, "target_id string, node string, pi double")
-
-
 EMB_SQL = "ce AS (SELECT label, i, avg(embedding[i]) AS c FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x GROUP BY 1, 2)"
 
 

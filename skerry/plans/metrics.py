@@ -212,17 +212,18 @@ def ewm_span3(spark, sf_dir):
     return smoothing.ewm(filled.where("filled IS NOT NULL"), "filled").select("target_id", "name", "time", "seq", r("ewm", 5))
 
 
-@query(f"""WITH {METRIC_SQL}, w AS (SELECT target_id, name, time, avg(real_value) OVER f AS ma, count(*) OVER f AS n FROM mp WINDOW f AS (PARTITION BY target_id, name ORDER BY time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-v AS (SELECT *, lag(ma) OVER (PARTITION BY target_id, name ORDER BY time) AS before FROM w WHERE n = 10)
-SELECT target_id, name, count(*) AS windows, count(*) FILTER (abs(ma - before) < 1e-9) AS equal_steps, count(*) FILTER (abs(ma - before) < 1e-9) >= 0.9 * (count(*) - 1) AS flat FROM v GROUP BY 1, 2""")
+@query(f"""WITH {METRIC_SQL}, w AS (SELECT target_id, name, real_value, avg(real_value) OVER f AS ma, count(*) OVER f AS n FROM mp WINDOW f AS (PARTITION BY target_id, name ORDER BY time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT target_id, name, count(*) AS windows, count(*) FILTER (abs(ma - real_value) < 1e-9) AS equal_steps, count(*) FILTER (abs(ma - real_value) < 1e-9) >= 0.9 * count(*) AS flat FROM w WHERE n = 10 GROUP BY 1, 2""")
 def moving_average_flatline(spark, sf_dir):
-    """A series whose ten-step mean hardly ever moves is a flat line."""
-    order = Window.partitionBy("target_id", "name").orderBy("time")
-    frame = order.rowsBetween(-9, 0)
-    rows = points(spark, sf_dir).select("target_id", "name", "time", F.avg("real_value").over(frame).alias("ma"), F.count("*").over(frame).alias("n")).where("n = 10")
-    same = F.abs(F.col("ma") - F.col("before")) < 1e-9
-    rows = rows.withColumn("before", F.lag("ma").over(order))
-    return rows.groupBy("target_id", "name").agg(F.count("*").alias("windows"), F.count_if(same).alias("equal_steps")).withColumn("flat", F.col("equal_steps") >= 0.9 * (F.col("windows") - 1))
+    return flatline(points(spark, sf_dir))
+
+
+def flatline(p: DataFrame) -> DataFrame:
+    """A series that equals its own ten-step mean at nine tenths of its full windows is a flat line."""
+    frame = Window.partitionBy("target_id", "name").orderBy("time").rowsBetween(-9, 0)
+    rows = p.select("target_id", "name", "real_value", F.avg("real_value").over(frame).alias("ma"), F.count("*").over(frame).alias("n")).where("n = 10")
+    same = F.abs(F.col("ma") - F.col("real_value")) < 1e-9
+    return rows.groupBy("target_id", "name").agg(F.count("*").alias("windows"), F.count_if(same).alias("equal_steps")).withColumn("flat", F.col("equal_steps") >= 0.9 * F.col("windows"))
 
 
 @query(f"""WITH {METRIC_SQL} SELECT target_id, name, time, round(avg(real_value) OVER (PARTITION BY target_id, name ORDER BY time ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 5) AS back_mean,
@@ -298,10 +299,10 @@ def dynamic_baseline_lookup(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT o_custkey, CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS INTEGER) AS days FROM orders GROUP BY 1)
-SELECT o_custkey, days, CASE WHEN days < 2 THEN -1 WHEN days < 14 THEN 0 WHEN days < 56 THEN 2 ELSE 3 END AS mode FROM d""")
+SELECT o_custkey, days, CASE WHEN days < 2 THEN -1 WHEN days < 7 THEN 0 WHEN days < 14 THEN 1 WHEN days < 56 THEN 2 ELSE 3 END AS mode FROM d""")
 def training_mode_by_days(spark, sf_dir):
-    """Training mode by the days that data covers: none, daily, weekday or business day."""
+    """Training mode by the days that data covers: none, daily, working day, weekday or business day."""
     days = F.datediff(F.max("o_orderdate"), F.min("o_orderdate"))
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(days.alias("days"))
     d = F.col("days")
-    return rows.withColumn("mode", F.when(d < 2, -1).when(d < 14, 0).when(d < 56, 2).otherwise(3))
+    return rows.withColumn("mode", F.when(d < 2, -1).when(d < 7, 0).when(d < 14, 1).when(d < 56, 2).otherwise(3))

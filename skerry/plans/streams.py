@@ -23,15 +23,15 @@ def stream_hopping_counts(spark, sf_dir):
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_dedup_watermark(spark, sf_dir):
-    """Every row comes twice; the watermark's memory drops the second."""
-    stream = jobs.event_stream(spark, sf_dir).withColumn("ts", F.col("ts"))
+    """Every row comes twice, and late ones again in the next batch; the watermark's memory drops the others."""
+    stream = jobs.event_stream(spark, sf_dir, again="4 MINUTES")
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     return jobs.run_once(jobs.deduplicated(twice), "append", "dedup").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS seen, count(*) >= 31 AS ready FROM events GROUP BY 1")
+@query("""SELECT event_type, count(*) AS seen, count(*) >= 31 AS ready, round(sum(value) FILTER (k <= 30), 3) AS tail_sum FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x GROUP BY 1""")
 def stream_carry_tail(spark, sf_dir):
-    """The state of the last 30 values of each type after all batches."""
+    """The state of the last 30 values of each type after all batches, carried from batch to batch."""
     stream = jobs.event_stream(spark, sf_dir).select("event_type", "event_id", "ts", "value")
     rows = stream.groupBy("event_type").applyInPandasWithState(jobs.keep_tail, "event_type string, seen long, ready boolean, tail_sum double", jobs.TAIL_STATE, "update", "NoTimeout")
-    return jobs.latest(jobs.run_once(rows, "update", "tail"), ["event_type"]).select("event_type", "seen", "ready")
+    return jobs.latest(jobs.run_once(rows, "update", "tail"), ["event_type"]).select("event_type", "seen", "ready", F.round("tail_sum", 3).alias("tail_sum"))

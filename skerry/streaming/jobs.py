@@ -14,16 +14,34 @@ TAIL_STATE = "seen long, tail array<double>"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (local only where none is set, as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skerry-")
+    """A new folder that driver and executors share; in local mode only, a missing setting gives a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="skerry-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream with a timestamp that can carry a watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder of files
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, batches: int = 3, again: str | None = None) -> DataFrame:
+    """events as a stream of several batches in order of time, with a timestamp that can carry a watermark.
+
+    The table is written anew as ``batches`` files of equal spans of time, which are read one at a time.
+    With ``again`` (an interval) each file but the first also brings the rows of so long before its span once more.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    out = folder(spark, "events")
+    for i in range(batches):
+        if low is None:
+            rows.write.mode("append").parquet(out)
+            break
+        since, until = low + (high - low) * i / batches, low + (high - low) * (i + 1) / batches
+        start = F.lit(since) if not i or again is None else F.lit(since) - F.expr(f"INTERVAL {again}")
+        part = rows.where((F.col("ts") >= start) & ((F.col("ts") < F.lit(until)) if i < batches - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, width: str = "1 hour", late: str = "5 minutes") -> DataFrame:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import frames, graphs, miner, models, scoring, smoothing, thresholds
+from skerry.operators import frames, graphs, miner, models, ordering, scoring, smoothing, thresholds
+from skerry.plans.detection import trend
+from skerry.plans.metrics import flatline
 from skerry.sources import relations, sinks
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -124,10 +126,87 @@ def test_graph(spark):
     assert {(r.src, r.dst): r.weight for r in edges.collect()} == {("a", "b"): 2, ("b", "a"): 1}
     p = graphs.row_normalized(edges, ["k"])
     assert {(r.src, r.dst): round(r.p, 4) for r in p.collect()} == {("a", "a"): 0.3333, ("a", "b"): 0.6667, ("b", "b"): 0.5, ("b", "a"): 0.5}
-    pi = p.groupBy("k").applyInPandas(lambda key, rows: graphs.stationary(rows).assign(k=key[0]), "k string, node string, pi double")
-    assert sum(r.pi for r in pi.collect()) == pytest.approx(1)
-    w = {(r.src, r.dst): r.w for r in graphs.directed_laplacian(p, pi, ["k"]).collect()}
-    assert w["a", "b"] == pytest.approx(w["b", "a"])
+
+
+def plain_operators(w, alpha=0.1):
+    """The operators of one window, by the eigenvector of the whole transition matrix."""
+    nodes = list(dict.fromkeys(w))
+    n = len(nodes)
+    m = np.eye(n)
+    for a, b in zip(w, w[1:]):
+        m[nodes.index(a), nodes.index(b)] += 1
+    p = m / m.sum(1, keepdims=True)
+    big = np.zeros((n + 1, n + 1))
+    big[:n, :n], big[n, :n], big[:n, n] = (1 - alpha) * p, 1 / n, alpha
+    values, vectors = np.linalg.eig(big.T)
+    pi = vectors[:, values.real.argmax()].real[:n]
+    pi = pi / pi.sum()
+    half = np.diag(np.sqrt(pi)) @ p @ np.diag(1 / np.sqrt(pi))
+    scaled = lambda x: x / np.sqrt(x.sum(1)[:, None] * x.sum(1)[None, :])
+    first = scaled((half + half.T) / 2)
+    q = first + np.eye(n)
+    q = q / q.sum(1, keepdims=True)
+    into, out = q.T @ q, q @ q.T
+    return nodes, pi, first, scaled(np.where((into != 0) & (out != 0), (into + out) / 2, 0))
+
+
+def test_window_operators(spark):
+    lines = spark.createDataFrame([(k, i, x) for k, t in (("t", "abacabadbaccab"), (None, "xyxyxzzzzz")) for i, x in enumerate(t)], "k string, i int, tpl string")
+    windows = graphs.line_windows(lines, ["k"], "tpl", ["i"], 5)
+    assert windows.count() == 10 + 6
+    rows = graphs.window_operators(windows, ["k"], ["i"]).collect()
+    for r in windows.collect():
+        nodes, pi, first, second = plain_operators(r.w)
+        got = {(x.src, x.dst): x for x in rows if x.k == r.k and x.i == r.i}
+        for i, a in enumerate(nodes):
+            for j, b in enumerate(nodes):
+                x = got.get((a, b))
+                assert (x.first if x else 0) == pytest.approx(first[i, j]) and (x.second if x else 0) == pytest.approx(second[i, j])
+                assert x is None or x.pi == pytest.approx(pi[i])
+
+
+def test_line_scores_average_covering_windows(spark):
+    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate("aaaaaabcdbcaaaaaaa")], "k string, i int, tpl string")
+    windows = graphs.window_graphs(graphs.line_windows(lines, ["k"], "tpl", ["i"], 4), 4).where("proper")
+    got = {r.n - 1: r.line_score for r in graphs.line_scores(windows, ["k"], lambda w, x: F.size(F.filter(w, lambda y: y == x)) / F.lit(4.0), 4).collect()}
+    t, want = "aaaaaabcdbcaaaaaaa", {}
+    for at in range(len(t) - 3):
+        w = t[at : at + 4]
+        if len(set(zip(w, w[1:]))) > 1:
+            for i, x in enumerate(w):
+                want.setdefault(at + i, []).append(w.count(x) / 4)
+    assert got == pytest.approx({i: sum(v) / len(v) for i, v in want.items()}) and 13 in got
+
+
+def test_numbered_in_ranges(spark):
+    r = np.random.default_rng(1)
+    rows = [(k, int(d), p) for k in ("a", None, "b") for d in r.permutation(40) for p in range(3)]
+    df = spark.createDataFrame(rows, "k string, d long, p int")
+    got = {(x.k, x.d, x.p): x.n for x in ordering.numbered(df, ["k"], ["d", "p"], step=7).collect()}
+    assert got == {(k, d, p): 3 * d + p + 1 for k, d, p in rows}
+    dealt = ordering.blocks(ordering.numbered(df, ["k"], ["d", "p"]), 4, size=50).collect()
+    assert sum(x._own for x in dealt) == len(rows) and len(dealt) == len(rows) + 3 * 2 * 4
+    assert not ordering.numbered(df.limit(0), ["k"], ["d", "p"]).collect()
+
+
+def test_templates_are_whole_lines(spark):
+    got = [r.t for r in spark.createDataFrame([("one two three ERROR disk full",), ("uno dos tres ok fine 12",), ('executed cmd "ls -l" in 5',), ("1 2 3 4",), ("aa:bb:cc:dd:ee",), ("",), (None,)], "m string").select(text.masked(F.col("m")).alias("t")).collect()]
+    assert got == ["one two three ERROR disk full", "uno dos tres ok fine <:NUM:>", "executed cmd <:CMD:> in <:NUM:>", "<:NUM:> <:NUM:> <:NUM:> <:NUM:>", "<:ID:>", "", None]
+
+
+def test_flatline(spark):
+    rows = series(spark, [5.0] * 30).unionByName(series(spark, list(range(30)), name="up"))
+    assert {r.name: (r.equal_steps, r.flat) for r in flatline(rows).collect()} == {"m": (21, True), "up": (0, False)}
+
+
+def test_trend(spark):
+    x = np.random.default_rng(2).uniform(1, 9, 60)
+    rows = smoothing.ewm(series(spark, x.tolist()), "real_value")
+    a = pd.Series(x).ewm(span=3).mean().to_numpy()
+    got = {r.step: r.value for r in trend(rows).collect()}
+    for f in range(30):
+        w = np.array([(60 + f) / (60 + f - k) for k in range(60)])[1:]
+        assert got[f] == pytest.approx(a[-1] * np.prod((a[1:] / a[:-1]) ** w) ** (f / w.sum()))
 
 
 def test_envelopes(spark):
