@@ -5,11 +5,13 @@ column of a written table. Features of the stored sound: the samples are resampl
 polyphase filter, cut into overlapped windows, and turned into log-mel energies; frames of
 sound are told from pauses by hysteresis (on above the upper threshold, off below the
 lower one). Frames are stored in tensors of ``FRAMES`` by ``MELS`` half floats, the last
-one of a sound filled up, each with its time span, in Arrow files in the shared folder.
+one of a sound filled up, each with its time span and beside a tensor of ``FRAMES`` marks that tell
+which frames are sound, in Arrow files in the shared folder. The written result names these files, once for
+all actions: what a lost or repeated task left behind is in no row of it and doesn't count.
 
 Rows: null text counts as empty; payloads are padded with zero bytes to a positive
 multiple of 64; null and repeated doc_ids are kept; other columns are ignored; an empty
-table gives no files and no rows. Equal payloads have equal features.
+table gives no files and no rows; long texts are whole sounds. Equal payloads have equal features.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, new_folder, task_file
+from ._shared import materialize, new_folder, open_fs, task_file
 from .tokens import slices
 
 RATE, UP, DOWN = 16_000, 1, 2
@@ -126,8 +128,8 @@ def segments(energy: np.ndarray, on: float = ON, off: float = OFF) -> np.ndarray
     return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
 
 
-def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float]]]:
-    """Tensors (n, FRAMES, MELS), their time spans in seconds, and the time spans of sound."""
+def features(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[float, float]]]:
+    """Tensors (n, FRAMES, MELS), marks (n, FRAMES) of sound, their time spans in seconds, and the time spans of sound."""
     rate, samples = from_wav(media)
     x = resample(np.frombuffer(samples, np.uint8).astype(np.float32) / 128 - 1)
     mel = log_mel(x, rate * UP // DOWN)
@@ -137,12 +139,31 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, fl
     full[: len(mel)] = mel
     first = np.arange(n) * FRAMES
     spans = np.stack([first * step, np.minimum(first + FRAMES, len(mel)) * step], axis=1)
-    sound = [(float(a * step), float(b * step)) for a, b in segments(mel.mean(axis=1))]
-    return full.reshape(n, FRAMES, MELS).astype(np.float16), spans, sound
+    marks, found = np.zeros(n * FRAMES, np.uint8), segments(mel.mean(axis=1)).tolist()
+    for a, b in found:
+        marks[a:b] = 1
+    return full.reshape(n, FRAMES, MELS).astype(np.float16), marks.reshape(n, FRAMES), spans, [(a * step, b * step) for a, b in found]
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))
-TENSORS = pa.schema([("doc_id", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", TENSOR)])
+TENSOR, MARKS = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS)), pa.fixed_shape_tensor(pa.uint8(), (FRAMES,))
+TENSORS = pa.schema([("doc_id", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", TENSOR), ("sound", MARKS)])
+
+
+def tensors_of(key: int | None, tensors: np.ndarray, marks: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+    """A sound's tensors as rows of ``TENSORS``."""
+    mel = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1), pa.float16()), FRAMES * MELS)
+    sound = pa.FixedSizeListArray.from_arrays(pa.array(marks.reshape(-1), pa.uint8()), FRAMES)
+    columns = [pa.array([key] * len(tensors), pa.int64()), pa.array(spans[:, 0]), pa.array(spans[:, 1])]
+    return pa.RecordBatch.from_arrays([*columns, pa.ExtensionArray.from_storage(TENSOR, mel), pa.ExtensionArray.from_storage(MARKS, sound)], schema=TENSORS)
+
+
+def read_tensors(uri: str) -> Iterator[pa.RecordBatch]:
+    """The rows of one tensor file that a result names, a batch for each sound."""
+    store, path = open_fs(uri)
+    with store.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        for i in range(reader.num_record_batches):
+            yield reader.get_batch(i)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,35 +185,34 @@ def _features(folder: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        try:
-            for batch in batches:
-                for part in slices(batch, 8_000_000, "media"):
-                    if out is None:
-                        store, path, uri = task_file(folder, ".arrow")
-                        sink = store.open_output_stream(path)
-                        out = pa.ipc.new_file(sink, TENSORS, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                    rows = []
-                    for key, n, media in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                        tensors, spans, sound = features(media)
-                        payload = from_wav(media)[1]
-                        values = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1), pa.float16()), FRAMES * MELS)
-                        out.write_batch(pa.RecordBatch.from_arrays([pa.array([key] * len(tensors), pa.int64()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(TENSOR, values)], schema=TENSORS))
-                        note = f"tensors={len(tensors)};seconds={spans[-1, 1]:.3f};sounds={len(sound)};sound_s={sum(b - a for a, b in sound):.3f};sha256={hashlib.sha256(tensors.tobytes()).hexdigest()}"
-                        rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), note, len(tensors), uri))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
-        finally:
-            if out is not None:
-                out.close()
-                sink.close()
+        for batch in batches:
+            for part in slices(batch, 8_000_000, "media"):
+                if out is None:
+                    store, path, uri = task_file(folder, ".arrow")
+                    sink = store.open_output_stream(path)
+                    out = pa.ipc.new_file(sink, TENSORS, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                rows = []
+                for key, n, media in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+                    tensors, marks, spans, sound = features(media)
+                    payload = from_wav(media)[1]
+                    out.write_batch(tensors_of(key, tensors, marks, spans))
+                    digest = hashlib.sha256(tensors.tobytes() + marks.tobytes()).hexdigest()
+                    note = f"tensors={len(tensors)};seconds={spans[-1, 1]:.3f};sounds={len(sound)};sound_s={sum(b - a for a, b in sound):.3f};sha256={digest}"
+                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), note, len(tensors), uri))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+        if out is not None:  # a task that fails leaves its file without an end
+            out.close()
+            sink.close()
 
     return run
 
 
 def audio_features(media: DataFrame, folder: str | None = None) -> DataFrame:
-    """Features of a table from ``media_table``; tensors are written to ``folder``.
+    """Features of a table from ``media_table``, as a written table; tensors are written to ``folder``.
 
     Returns a row for each sound with digests of the payload and of the stored form as read
     back, a summary of the features, and the Arrow file that holds its tensors.
     """
     folder = folder or new_folder(media.sparkSession, "tensors")
-    return media.mapInArrow(_features(folder), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors long, tensor_file string")
+    found = media.mapInArrow(_features(folder), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors long, tensor_file string")
+    return materialize(found, "features")

@@ -217,12 +217,45 @@ def test_audio(spark, docs, none):
         row = next(r for r in got if r.doc_id == key)
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (row.tail_crc32, row.media_bytes, row.media_sha256) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
-    store, path = open_fs(got[0].tensor_file)
-    table = pa.ipc.open_file(store.open_input_file(path)).read_all()
-    assert table.schema.field("log_mel").type == audio.TENSOR and table["log_mel"].chunk(0).to_numpy_ndarray().shape[1:] == (audio.FRAMES, audio.MELS)
+    by_key = {}
+    for file in {r.tensor_file for r in got}:
+        for batch in audio.read_tensors(file):
+            assert batch.schema.field("log_mel").type == audio.TENSOR and batch.schema.field("sound").type == audio.MARKS
+            by_key.setdefault(batch.column("doc_id")[0].as_py(), []).append(batch)
+    assert sum(map(len, by_key.values())) == len(TEXTS)
+    for r in got:
+        mel, sound = (by_key[r.doc_id][0].column(c).to_numpy_ndarray() for c in ("log_mel", "sound"))
+        assert mel.shape == (r.tensors, audio.FRAMES, audio.MELS) and sound.shape == (r.tensors, audio.FRAMES)
+        assert r.feature.endswith(hashlib.sha256(mel.tobytes() + sound.tobytes()).hexdigest())
+        ends = by_key[r.doc_id][0].column("end_s").to_pylist()
+        assert f"seconds={ends[-1]:.3f}" in r.feature and by_key[r.doc_id][0].column("start_s").to_pylist()[1:] == ends[:-1]
     assert not audio.audio_features(audio.media_table(none)).collect()
 
 
+def test_tensor_values():
+    """Log-mel energies, marks and spans by a plain computation of each window."""
+    r = np.random.default_rng(3)
+    loud = np.concatenate([np.full(9000, 128), r.integers(0, 256, 9000), np.full(9000, 128)]).astype(np.uint8)
+    tensors, marks, spans, sound = audio.features(audio.to_wav(loud.tobytes()))
+    x = audio.resample(loud.astype(np.float32) / 128 - 1)
+    rate, rows = audio.RATE * audio.UP // audio.DOWN, []
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio.MELS + 1) / 2595) - 1) for i in range(audio.MELS + 2)]
+    x = np.concatenate([x, np.zeros((audio.WINDOW - len(x)) % audio.HOP)])
+    for at in range(0, len(x) - audio.WINDOW + 1, audio.HOP):
+        power = np.abs(np.fft.fft(x[at : at + audio.WINDOW] * np.hanning(audio.WINDOW))[: audio.WINDOW // 2 + 1]) ** 2
+        f = np.arange(len(power)) * rate / audio.WINDOW
+        rows.append([np.log(1e-6 + sum(p * max(0, min((g - a) / (b - a), (c - g) / (c - b))) for p, g in zip(power, f))) for a, b, c in zip(edges, edges[1:], edges[2:])])
+    got = tensors.reshape(-1, audio.MELS)
+    assert np.allclose(got[: len(rows)], rows, atol=0.05) and np.allclose(got[len(rows) :], np.log(1e-6), atol=0.05)
+    energy, on, want = np.mean(rows, axis=1), False, []
+    for e in energy:
+        on = e > np.median(energy) + audio.ON or (on and e >= np.median(energy) + audio.OFF)
+        want.append(on)
+    assert marks.reshape(-1)[: len(rows)].tolist() == want and 0 < sum(want) < len(want)
+    assert len(sound) == 1 and spans[-1, 1] == pytest.approx(len(rows) * audio.HOP / rate)
+
+
 @pytest.mark.parametrize("n", [32, 255, 256, 257, 320, 384, 385, 1000])
 def test_log_mel_hears_every_sample(n):
     x = np.ones(n, np.float32)
@@ -310,6 +343,26 @@ def test_estimate():
     assert abs(got[0] - 2400 / 3600) < 0.12
 
 
+def test_estimate_keeps_links():
+    """None of 2,000 links at the threshold, of sets of several sizes, is kept from its exact comparison."""
+    r, lost = np.random.default_rng(9), 0
+    for n in (20, 100, 400, 3000):
+        a = r.integers(0, 2**64, (500, n), dtype=np.uint64)
+        both = int(np.ceil(n * 2 * 0.8 / 1.8))
+        b = np.concatenate([a[:, :both], r.integers(0, 2**64, (500, n - both), dtype=np.uint64)], axis=1)
+        left, right = (near_dup.registers([np.unique(x) for x in m]) for m in (a, b))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array([x.tobytes() for x in left]), pa.array([x.tobytes() for x in right]), pa.array([n] * 500), pa.array([n] * 500)], ["node", "pivot", "sketch", "pivot_sketch", "n", "pivot_n"])
+        lost += 500 - sum(x.num_rows for x in near_dup._likely(0.8)(iter([batch])))
+    assert lost == 0
+
+
+def test_near_duplicates_on_documents(spark):
+    """All links of the real table, against brute force."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = near_dup.near_duplicates(rows, 3, "0.85").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups([tuple(r) for r in rows.collect()], 3, Fraction("0.85"))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (200, 201), (201, 200), *((500, 500 + i) for i in range(1, 50))]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
