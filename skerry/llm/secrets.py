@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
 from .labelled import logistic
 from .tokens import slices
 
@@ -250,10 +251,14 @@ def labelled_findings(found: list[tuple[str, str, str]], least: int, seed: int =
 def fit_network(docs: DataFrame, recall: float = 0.98, sample_findings: int = SAMPLE_FINDINGS) -> Network:
     """A network trained on at most ``sample_findings`` unmarked findings of all documents and as many planted secrets.
 
-    Of the findings those with the least hashes are kept, so the sample doesn't hang on the order of rows.
+    Of the distinct findings those with the least hashes are kept, so the sample doesn't hang on the order of rows.
+    Their number tells which hashes can be among them; only these, a few times the sample, are sorted.
     """
     found = docs.select("text").mapInArrow(_findings, "left string, middle string, right string").distinct()
-    kept = found.orderBy(F.xxhash64("middle", "left", "right"), "left", "middle", "right").limit(sample_findings).toPandas()
+    found = materialize(found.withColumn("hash", F.xxhash64("middle", "left", "right")), "findings")
+    share = min(1.0, 4 * sample_findings / max(1, found.count()))
+    low = found.where(F.col("hash") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    kept = low.orderBy("hash", "left", "middle", "right").drop("hash").limit(sample_findings).toPandas()
     return Network().fit(*labelled_findings(list(kept.itertuples(index=False, name=None)), sample_findings // 4), recall)
 
 
