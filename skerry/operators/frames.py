@@ -51,6 +51,12 @@ def drop_all_null(framed: DataFrame) -> DataFrame:
     return framed.join(framed.groupBy(*SERIES).agg(F.count("real_value").alias("n")).where("n > 0").select(*SERIES), SERIES, "left_semi")
 
 
+def drop_targets_any_null(framed: DataFrame) -> DataFrame:
+    """Targets all of whose series have a value."""
+    empty = framed.groupBy(*SERIES).agg(F.count("real_value").alias("n")).where("n = 0").select("target_id").distinct()
+    return framed.join(empty, "target_id", "left_anti")
+
+
 def long_enough(points: DataFrame, least: int = 60) -> DataFrame:
     """Points of targets with at least ``least`` rows (repeated rows count)."""
     return points.join(points.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("target_id"), "target_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,6 @@ def ewm(rows: DataFrame, value: str, span: int = 3, order: str = "seq") -> DataF
     double, so the frame ends there and costs the same at every length of a series.
     """
     alpha = 2.0 / (span + 1)
-    import math
-
     depth = max(1, math.ceil(18 / -math.log10(1 - alpha)))
     frame = Window.partitionBy(*SERIES).orderBy(order).rowsBetween(-depth, 0)
     values = F.collect_list(value).over(frame)
@@ -55,7 +55,7 @@ def trailing(points: DataFrame, width: int) -> DataFrame:
     return points.withColumns({"n_before": F.count("real_value").over(frame), "mean_before": F.avg("real_value").over(frame), "std_before": F.stddev_pop("real_value").over(frame)})
 
 
-def band(points: DataFrame, width: int = 24, sigma: float = 3.0, least: float = 0.1) -> DataFrame:
+def band(points: DataFrame, width: int = 24, sigma: float | Column = 3.0, least: float = 0.1) -> DataFrame:
     """Band of ``sigma`` deviations around the trailing mean, and points outside it.
 
     Points below ``least`` or without a full window before them are never outside.

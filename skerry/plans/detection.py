@@ -479,3 +479,26 @@ def targets_not_fitted_anti_join(spark, sf_dir):
     fitted = p.where("inst_type = 'db'").select("target_id").distinct()
     framed = frames.interpolate(frames.on_spine(p)).join(fitted, "target_id", "left_anti")
     return framed.groupBy("target_id", F.split_part("target_id", F.lit("_"), F.lit(1)).alias("inst"), "name").agg(F.count("filled").alias("n"))
+
+
+@query(f"WITH {LOSS_SQL} SELECT target_id, name, round(sqrt(avg(loss * loss)), 6) AS rms, count(*) AS n FROM lo GROUP BY 1, 2")
+def loss_rms(spark, sf_dir):
+    """Root mean square of each series' losses."""
+    return losses(spark, sf_dir).groupBy(*KEYS).agg(F.round(F.sqrt(F.avg(F.col("loss") * F.col("loss"))), 6).alias("rms"), F.count("*").alias("n"))
+
+
+#: alarm levels that were configured; other targets take the defaults
+LEVELS, DEFAULT_LEVEL = [("was_0", 20.0, 40.0), ("db_1", 15.0, None)], (25.0, 50.0)
+
+
+@query(f"""WITH {ANOM_SQL}, lv AS (SELECT * FROM (VALUES ('was_0', 20.0::DOUBLE, 40.0::DOUBLE), ('db_1', 15.0, NULL)) v(target_id, critical, warning)),
+j AS (SELECT gr.target_id, gr.time, gr.normality_score, coalesce(lv.critical, 25) AS critical, coalesce(lv.warning, 50) AS warning FROM gr LEFT JOIN lv ON gr.target_id = lv.target_id)
+SELECT target_id, time, critical, warning, CASE WHEN normality_score <= critical THEN 'critical' WHEN normality_score <= warning THEN 'warning' ELSE 'normal' END AS level FROM j""")
+def alarm_level_lookup(spark, sf_dir):
+    """Each score's alarm level by its target's configuration, or by the defaults where a level is not configured."""
+    raw = scored(spark, sf_dir).groupBy("target_id", "time").agg(F.avg("score").alias("raw"))
+    levels = spark.createDataFrame(LEVELS, "target_id string, critical double, warning double")
+    rows = raw.withColumn("n", scoring.floored(F.col("raw"))).join(levels, "target_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(("critical", "warning"), DEFAULT_LEVEL)})
+    level = F.when(F.col("n") <= F.col("critical"), "critical").when(F.col("n") <= F.col("warning"), "warning").otherwise("normal")
+    return rows.select("target_id", "time", "critical", "warning", level.alias("level"))

@@ -82,6 +82,19 @@ def log_keyword_match(spark, sf_dir):
     return rows.where("keyword IS NOT NULL").select("target_id", "doc_id", "pos", "keyword")
 
 
+EXCLUDE = ["license", "warn"]
+OUT_SQL = "len([k FOR k IN [" + ", ".join(f"'{k}'" for k in EXCLUDE) + "] IF contains(lower(line), k)]) > 0"
+
+
+@query(f"""WITH {LOG_SQL}, fl AS (SELECT target_id, doc_id, pos, trim(msg, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM ll)
+SELECT target_id, doc_id, pos, line, CASE WHEN {OUT_SQL} THEN NULL ELSE nullif({KEY_SQL.replace('msg', 'line')}, '') END AS keyword FROM fl WHERE line <> ''""")
+def log_keyword_exclude(spark, sf_dir):
+    """Lines without white space around them, empty ones dropped; a line with an excluded word has no keyword."""
+    rows = lines(spark, sf_dir).withColumn("line", F.btrim("msg", F.lit(" \t\n\r"))).where("line <> ''")
+    excluded = text.keywords_in(F.col("line"), EXCLUDE).isNotNull()
+    return rows.select("target_id", "doc_id", "pos", "line", F.when(~excluded, text.keywords_in(F.col("line"), KEYWORDS)).alias("keyword"))
+
+
 RARE_SQL = SHAPED_SQL + """, ru AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS total, row_number() OVER (PARTITION BY target_id, tpl ORDER BY doc_id, pos) AS size FROM sh),
 ra AS (SELECT *, size = 1 AS created, CASE WHEN size = 1 THEN 1.0::DOUBLE / total ELSE size::DOUBLE / total END AS rate FROM ru), sp AS (SELECT *, created OR rate < 0.01 AS sparse FROM ra)"""
 
@@ -191,10 +204,14 @@ def log_next_template_topk(spark, sf_dir):
 
 @query()
 def log_alarm_message_json(spark, sf_dir):
-    """One message for each target with rare lines that hold a keyword, as JSON."""
-    rows = rarity(spark, sf_dir).withColumn("keyword", text.keywords_in(F.col("msg"), KEYWORDS)).where("sparse AND keyword IS NOT NULL")
+    return alarm_messages(rarity(spark, sf_dir).withColumn("keyword", text.keywords_in(F.col("msg"), KEYWORDS)).where("sparse AND keyword IS NOT NULL"))
+
+
+def alarm_messages(rows, most: int = 100):
+    """Rare lines that hold a keyword as JSON messages of each target, ``most`` lines in each, numbered from 0."""
     item = F.struct("doc_id", "pos", "keyword", F.round(100 * F.col("rate"), 4).alias("probability"))
-    return rows.groupBy("target_id").agg(F.to_json(F.struct(F.lit("log").alias("inst_type"), F.sort_array(F.collect_list(item)).alias("sparseLog"))).alias("message"))
+    parts = ordering.numbered(rows.select(*BY, *ORDER, "keyword", "rate"), BY, ORDER, "k").withColumn("part", F.floor((F.col("k") - 1) / most))
+    return parts.groupBy("target_id", "part").agg(F.to_json(F.struct(F.lit("log").alias("inst_type"), F.sort_array(F.collect_list(item)).alias("sparseLog"))).alias("message"))
 
 
 PRESETS = [("set0", False, r"\d+", "<N>"), ("set1", False, r"[aeiou]+", "<V>")]
@@ -215,8 +232,8 @@ def regex_preset_left_join(spark, sf_dir):
 
 @query()
 def template_miner_online(spark, sf_dir):
-    """Templates mined line after line within each document's stream, as the order of lines demands."""
-    return lines(spark, sf_dir).groupBy("target_id").applyInPandas(lambda rows: miner.mine(rows), "target_id string, doc_id long, pos long, template_id long, change string, cluster_size long, rate double, sparse boolean")
+    """Templates mined line after line, as the order of lines demands (so no SQL)."""
+    return miner.online_templates(lines(spark, sf_dir))
 
 
 EMB_SQL = "ce AS (SELECT label, i, avg(embedding[i]) AS c FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x GROUP BY 1, 2)"

@@ -78,6 +78,27 @@ def drop_all_null_metric(spark, sf_dir):
     return frames.drop_all_null(hidden).select("target_id", "name", "time", r("real_value"))
 
 
+@query(f"""WITH {SPINE_SQL}, x AS (SELECT *, CASE WHEN name = 'view' AND target_id = 'was_0' THEN NULL ELSE real_value END AS v FROM fr),
+b AS (SELECT DISTINCT target_id FROM (SELECT target_id, name FROM x GROUP BY 1, 2 HAVING count(v) = 0) y)
+SELECT target_id, name, time, round(v, 6) AS real_value FROM x WHERE target_id NOT IN (SELECT target_id FROM b)""")
+def drop_targets_any_null_metric(spark, sf_dir):
+    """Targets of which one metric has no value at all go away; one target's metric is hidden first."""
+    hidden = frames.on_spine(points(spark, sf_dir)).withColumn("real_value", F.when(~((F.col("name") == "view") & (F.col("target_id") == "was_0")), F.col("real_value")))
+    return frames.drop_targets_any_null(hidden).select("target_id", "name", "time", r("real_value"))
+
+
+SIGMAS = {"error": 2.0, "view": 1.5}
+
+
+@query(f"""WITH {METRIC_SQL}, bw AS (SELECT *, count(real_value) OVER f AS n, avg(real_value) OVER f AS mu, stddev_pop(real_value) OVER f AS sd FROM mp WINDOW f AS (PARTITION BY target_id, name ORDER BY time ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, CASE name WHEN 'error' THEN 2.0::DOUBLE WHEN 'view' THEN 1.5 ELSE 3 END AS k FROM bw WHERE n = 24)
+SELECT target_id, name, time, round(greatest(mu - k * sd, 0), 5) AS lower, round(mu + k * sd, 5) AS upper, (real_value > mu + k * sd OR real_value < greatest(mu - k * sd, 0)) AND real_value >= 0.1 AS anomaly FROM k""")
+def sigma_band_by_metric(spark, sf_dir):
+    """Bands whose width in deviations is a metric's own, three where none is configured."""
+    k = F.coalesce(*(F.when(F.col("name") == n, v) for n, v in SIGMAS.items()), F.lit(3.0))
+    return smoothing.band(points(spark, sf_dir), 24, k).select("target_id", "name", "time", r("lower", 5), r("upper", 5), "anomaly")
+
+
 @query(f"""WITH {METRIC_SQL}, n AS (SELECT target_id FROM mp GROUP BY 1 HAVING count(*) >= 1200)
 SELECT target_id, name, count(*) AS n FROM mp WHERE target_id IN (SELECT target_id FROM n) GROUP BY 1, 2""")
 def min_length_targets(spark, sf_dir):

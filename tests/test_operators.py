@@ -1,6 +1,7 @@
 """Hand-made cases with known results."""
 
 import datetime
+import json
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions import text
 from skerry.operators import frames, graphs, miner, models, ordering, scoring, smoothing, thresholds
 from skerry.plans.detection import trend
+from skerry.plans.logs import alarm_messages
 from skerry.plans.metrics import flatline
 from skerry.sources import relations, sinks
 
@@ -114,10 +116,22 @@ def test_segments(spark):
     assert sorted((r.first, r.last, r.length) for r in thresholds.segments(rows, "f", ["k"], "i").collect()) == [(0, 1, 2), (3, 3, 1)]
 
 
-def test_miner():
-    tree = miner.TemplateTree()
-    assert [tree.add(x)[1] for x in ("open file a", "open file b", "open file c", "bye")] == ["created", "changed", "none", "created"]
-    assert tree.templates[0] == ["open", "file", "<*>"]
+def test_miner(spark):
+    texts = ["open file a", "open file b", "bye", "open file c", "9 lives now", "7 lives left", ""]
+    lines = spark.createDataFrame([(t, i, 0, x) for t in ("t", "u") for i, x in enumerate(texts)], "target_id string, doc_id long, pos long, msg string")
+    got = {r.doc_id: r for r in miner.online_templates(lines, 0.4).where("target_id = 't'").collect()}
+    assert [got[i].change for i in range(7)] == ["created", "changed", "created", "none", "created", "changed", "created"]
+    assert [got[i].template_id for i in range(7)] == [1, 1, 3, 1, 5, 5, 7] and got[3].cluster_size == 3
+    assert got[3].rate == 0.75 and not got[3].sparse and got[5].sparse and got[6].rate == pytest.approx(1 / 7)
+    assert not miner.online_templates(lines.limit(0)).collect()
+
+
+def test_alarm_messages_are_bounded(spark):
+    rows = spark.createDataFrame([("t", i, 0, "error", 0.5) for i in range(250)] + [("u", 1, 0, "fail", 0.25)], "target_id string, doc_id long, pos long, keyword string, rate double")
+    got = {(r.target_id, r.part): json.loads(r.message) for r in alarm_messages(rows).collect()}
+    assert {k: len(v["sparseLog"]) for k, v in got.items()} == {("t", 0): 100, ("t", 1): 100, ("t", 2): 50, ("u", 0): 1}
+    assert [x["doc_id"] for k in range(3) for x in got["t", k]["sparseLog"]] == list(range(250))
+    assert got["u", 0] == {"inst_type": "log", "sparseLog": [{"doc_id": 1, "pos": 0, "keyword": "fail", "probability": 25.0}]}
 
 
 def test_graph(spark):
