@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, detection, logs, metrics, streams  # noqa: F401  (they register their queries)
+from . import assembly, detection, logs, metrics, serving, streams  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 

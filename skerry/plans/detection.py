@@ -49,7 +49,7 @@ def asof_score_lookup(spark, sf_dir):
 
 @query(f"""WITH {TABLE_SQL}, cd AS (SELECT target_id, name, loss, (100 - score) / 100 AS cdf FROM tb)
 SELECT n.target_id, n.name, n.time, round(n.loss, 7) AS loss, round(c.cdf, 5) AS cdf,
-  round(greatest(round_even((CASE WHEN n.loss > 100 THEN 50 ELSE 100 END) - coalesce(c.cdf, 1) / 2 * 100, 2), 5), 1) AS score
+  round(coalesce(greatest(round_even((CASE WHEN n.loss > 100 THEN 50 ELSE 100 END) - c.cdf / 2 * 100, 2), 5), 5), 1) AS score
 FROM nw n ASOF LEFT JOIN cd c ON n.target_id = c.target_id AND n.name = c.name AND n.loss < c.loss""")
 def asof_forward_cdf(spark, sf_dir):
     rows = losses(spark, sf_dir)
@@ -57,7 +57,7 @@ def asof_forward_cdf(spark, sf_dir):
     cdf = scoring.score_table(rows.where(F.col("time") < split), KEYS).select(*KEYS, "loss", ((100 - F.col("score")) / 100).alias("cdf"))
     found = scoring.asof_forward(rows.where(F.col("time") >= split), cdf, KEYS, "loss", "loss", "cdf")
     base = F.when(F.col("loss") > 100, 50).otherwise(100)
-    score = F.round(F.greatest(F.bround(base - F.coalesce("cdf", F.lit(1.0)) / 2 * 100, 2), F.lit(5.0)), 1)
+    score = F.round(F.greatest(F.bround(base - F.col("cdf") / 2 * 100, 2), F.lit(5.0)), 1)  # greatest skips null: the worst score where no larger loss is known
     return found.select(*KEYS, "time", r("loss", 7), r("cdf", 5), score.alias("score"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import frames, graphs, miner, models, ordering, scoring, smoothing, thresholds
+from skerry.operators import frames, graphs, miner, models, ordering, scoring, serving, smoothing, thresholds
 from skerry.plans.detection import trend
 from skerry.plans.logs import alarm_messages
 from skerry.plans.metrics import flatline
@@ -256,3 +256,31 @@ def test_models(spark):
     assert got == {"persistence": [3, 3, 3], "moving_average": [2, 2, 2], "linear": [4, 5, 6]}
     with pytest.raises(KeyError, match="E714"):
         models.score("missing", F.col("v"))
+
+
+def test_own_attention_stands_on_the_diagonal(spark):
+    rows = spark.createDataFrame([(0, True), (1, False), (2, True)], "i int, bad boolean")
+    row = serving.with_own(F.array(F.lit(0.1), F.lit(0.2)), F.lit(0.9), F.col("i"))
+    names = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    got = rows.select("i", row.alias("att"), serving.attention_map(names, row, F.col("bad")).alias("m")).orderBy("i").collect()
+    assert [g.att for g in got] == [[0.9, 0.1, 0.2], [0.1, 0.9, 0.2], [0.1, 0.2, 0.9]]
+    assert got[0].m == {"a": 0.9, "b": 0.1, "c": 0.2} and got[1].m is None
+
+
+def test_header_counts_lines_from_the_serving_minute_on(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 0.9), ("a", 2, 0.9), ("a", 3, 0.1), ("b", 1, 0.9), ("b", 2, 0.1), ("c", None, 0.9), ("a", 4, None)], "target_id string, m int, line_score double"
+    ).withColumn("time", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=F.col("m")))
+    got = {r.target_id: r.header for r in serving.header(rows, F.to_timestamp_ntz(F.lit("2024-01-01 00:02:00")), 0.5, 0).collect()}
+    assert (got["a"].total_count, got["a"].anomaly_count, got["a"].anomaly) == (3, 1, True)
+    assert got["b"] is None and got["c"] is None
+
+
+def test_small_serving_functions(spark):
+    rows = spark.createDataFrame([("view",), ("view_upper",), ("x_lower",), ("socket_count",), (None,)], "name string")
+    assert [r.name for r in serving.features(rows).collect()] == ["view"]
+    one = spark.range(1).select(serving.floor_to(F.lit(-1.29), 1), serving.floor_to(F.lit(1.29), 1), serving.nan_to_null(F.lit(float("nan"))), serving.nan_to_null(F.lit(2.0)), serving.weekday_bucket(F.lit("2024-01-07").cast("date"), "workingday"))
+    assert tuple(one.first()) == (-1.3, 1.2, None, 2.0, 5)
+    drawn = [sorted(r.id for r in serving.draw(spark.range(100).repartition(n), ["id"], 10, 3).collect()) for n in (1, 5)]
+    assert len(drawn[0]) == 10 and drawn[0] == drawn[1]
+    assert serving.draw(spark.range(3), ["id"], 10, 3).count() == 3 and serving.draw(spark.range(0), ["id"], 10, 3).count() == 0
