@@ -1,15 +1,17 @@
 """Near-duplicates by HyperMinHash sketches, confirmed on the full shingle sets.
 
 1. Every text becomes its set of word shingles (64-bit hashes of ``width`` words each).
-   Texts with equal sets are one class, found by a groupBy on a hash of the set.
+   Texts with equal sets are one class, found by a groupBy on a hash of the set; a second
+   hash tells sets apart that share the first, and these get classes of their own.
 2. A class's sketch has 256 buckets; each holds, in 16 bits, the leading zeros and the next
    ten bits of the least hash that falls there. Empty buckets borrow from another bucket by
    a fixed order. Bands of six registers are hashed; classes that share a band meet.
 3. In each bucket every class is held against the bucket's least class: first by the share
    of equal registers, corrected for registers that agree by chance, then on the full sets.
 4. Confirmed links give components. Buckets whose other classes are not all in one component
-   are then compared exactly, block against block of at most about ``block`` classes, so no
-   link in a bucket is lost, whatever its size, and only links are emitted.
+   are then compared exactly, block against block of at most about ``block`` classes and
+   ``room`` shingles, so no link in a bucket is lost, whatever its size, and only links are
+   emitted. Blocks hold sets of like size and meet only blocks whose sizes allow a link.
 
 No step emits all pairs of a group; hot bands and copies are reduced by partial aggregation
 and joined back by keys that adaptive execution can split.
@@ -27,6 +29,7 @@ but name none, and are kept where it has no doc_id at all; repeated doc_ids keep
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize
@@ -126,16 +129,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (seen - chance) / (1 - chance), used
 
 
-def _node(shingles: bytes) -> int:
-    """The number of the class with this shingle set."""
-    return xxhash.xxh3_64_intdigest(shingles) - (1 << 63)
+def _name(shingles: bytes) -> tuple[int, int]:
+    """Node and proof of the class with this shingle set: the halves of a 128-bit hash."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(shingles), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
 
 
-FEATURES = "doc_id long, n_shingles long, node long, sketch binary"
+FEATURES = "doc_id long, n_shingles long, node long, proof long, sketch binary"
 
 
 def _features(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -143,8 +147,9 @@ def _features(width: int):
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column("text").to_pylist()]
                 sketch = registers(sets)
-                node = [_node(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())], schema=schema)
+                name = [_name(s.tobytes()) if len(s) else (None, None) for s in sets]
+                node, proof = (pa.array([x[i] for x in name], pa.int64()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), node, proof, pa.array([r.tobytes() for r in sketch], pa.binary())], schema=schema)
 
     return run
 
@@ -177,7 +182,7 @@ def _sets(width: int):
         for batch in batches:
             for part in slices(batch):
                 found = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
-                own = [_node(s) == n for s, n in zip(found, part.column("node").to_pylist(), strict=True)]  # another row may have the same doc_id
+                own = [_name(s)[1] == p for s, p in zip(found, part.column("proof").to_pylist(), strict=True)]  # another row may have the same doc_id
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"]).filter(pa.array(own, pa.bool_()))
 
     return run
@@ -242,14 +247,58 @@ def _blocks(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8", block: int = 512) -> DataFrame:
+def classes_of(features: DataFrame) -> DataFrame:
+    """A row for each node: least doc_id, sketch, size, and its least and last proof."""
+    some = features.where("n_shingles > 0").groupBy("node")
+    return materialize(some.agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.min("proof").alias("proof"), F.max("proof").alias("last")), "classes")
+
+
+def told_apart(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and their classes, each class with a node of its own.
+
+    Nodes are 64 bits; of n classes some n * n / 2**65 share one (three of 10**10). Those
+    with another proof than the least one of their node are given another node.
+    """
+    classes = classes_of(features)
+    while not (shared := classes.where("proof <> last").select("node", F.col("proof").alias("own"))).isEmpty():
+        other = F.col("proof") != F.col("own")
+        rows = features.join(shared, "node", "left").withColumn("node", F.when(other, F.xxhash64("node", "proof")).otherwise(F.col("node")))
+        features = materialize(rows.select(features.columns), "features")
+        classes = classes_of(features)
+    return features, classes
+
+
+def in_blocks(classes: DataFrame, limit: Fraction, block: int, room: int) -> DataFrame:
+    """(band, node, root, n) of open buckets, dealt to each pair of blocks (l, i, m, j) that may hold a link.
+
+    A level holds the sizes within one ratio of 1 / ``limit``, so that a link joins one level or two neighbours.
+    """
+    ratio = max(math.log(1 / limit), 1e-3) * (1 + 1e-9)
+    rows = materialize(classes.withColumn("level", F.floor(F.log("n") / ratio).cast("int")), "open")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / room)).cast("int")
+    sizes = rows.groupBy("band", "level").agg(parts.alias("parts"))
+    for name, step in (("below", 1), ("above", -1)):
+        rows = rows.join(sizes.select("band", (F.col("level") + step).alias("level"), F.col("parts").alias(name)), ["band", "level"], "left")
+    rows = rows.join(sizes, ["band", "level"]).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    level, own = F.col("level"), F.col("own")
+
+    def pairs(parts: str, to_pair) -> Column:
+        return F.when(F.col(parts).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda x: F.struct(*(c.alias(n) for n, c in zip("limj", to_pair(x), strict=True)))))
+
+    same = pairs("parts", lambda x: (level, F.least(own, x), level, F.greatest(own, x)))
+    up = pairs("above", lambda x: (level, own, level + 1, x))
+    down = pairs("below", lambda x: (level - 1, x, level, own))
+    return rows.select("band", "node", "root", F.inline(F.flatten(F.array_compact(F.array(same, up, down)))))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8", block: int = 512, room: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the component's smallest doc_id), kept, for every document."""
     limit = Fraction(threshold)
     num, den = limit.numerator, limit.denominator
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = materialize(rows.mapInArrow(_features(width), FEATURES), "features")
+    features, classes = told_apart(features)
     some = features.where("n_shingles > 0")
-    classes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "classes")
 
     bands = classes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
     full = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
@@ -260,23 +309,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str =
 
     # full sets of the classes that meet another one: the shingles of one of their texts
     meets = members.where("size > 2").select("node").union(likely.select("node")).union(likely.select("pivot")).distinct()
-    chosen = classes.join(meets, "node").select("node", F.col("least").alias("doc_id"))
+    chosen = classes.join(meets, "node").select("node", "proof", F.col("least").alias("doc_id"))
     texts = rows.join(chosen, "doc_id")
-    sets = texts.select("node", "text").mapInArrow(_sets(width), "node long, shingles binary")
+    sets = texts.select("node", "proof", "text").mapInArrow(_sets(width), "node long, shingles binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
     links = materialize(likely.join(sets, "node").join(pivots, "pivot").select("node", "pivot", "shingles", "pivot_shingles").mapInArrow(_confirm(num, den), "a long, b long"), "links")
     roots = components(links)
 
     # buckets with classes beside the least one that are still apart: blocks, exactly
-    others = members.where("size > 2").join(roots, "node", "left").select("band", "node", "pivot", "size", F.coalesce("root", "node").alias("root"))
+    others = members.where("size > 2").join(roots, "node", "left").select("band", "node", "pivot", F.coalesce("root", "node").alias("root"))
     apart = others.where("node <> pivot").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    open_ = others.where("node <> pivot").join(apart, "band").withColumns({"parts": parts, "own": own})
-    dealt = open_.select("band", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("band", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    more = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_blocks(num, den), "a long, b long")
+    open_ = others.where("node <> pivot").join(apart, "band").join(classes.select("node", "n"), "node").select("band", "node", "root", "n")
+    dealt = in_blocks(open_, limit, block, room)
+    more = dealt.join(sets, "node").groupBy("band", "l", "i", "m", "j").applyInPandas(_blocks(num, den), "a long, b long")
     more = materialize(more.distinct(), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))

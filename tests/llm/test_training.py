@@ -327,6 +327,35 @@ def test_near_duplicates(spark, width, limit, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_small_blocks(spark):
+    """Blocks of few shingles, of sets of many sizes: every link of a bucket is still found."""
+    rows = near_copies()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, "0.7", 4, 150).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 3, Fraction("0.7"))
+
+
+def test_blocks_meet_where_sizes_allow_a_link(spark):
+    """Each two classes of one bucket that may be linked meet in some pair of blocks."""
+    limit, sizes = Fraction("0.8"), [*range(1, 60), 64, 80, 100, 125, 1000, 1250]
+    rows = spark.createDataFrame([(b, n, n, n) for b in (1, 2) for n in sizes], "band long, node long, root long, n long")
+    met = {}
+    for r in near_dup.in_blocks(rows, limit, 4, 200).collect():
+        met.setdefault((r.band, r.l, r.i, r.m, r.j), []).append(r.node)
+    for b in (1, 2):
+        together = {(x, y) for k, v in met.items() if k[0] == b for x in v for y in v}
+        assert together >= {(x, y) for x in sizes for y in sizes if min(x, y) >= limit * max(x, y)}
+        assert (1, 1000) not in together
+
+
+def test_classes_that_share_a_node_are_told_apart(spark):
+    rows = [(1, 3, 7, 10), (2, 3, 7, 10), (3, 4, 7, 11), (4, 5, 7, 12), (5, 3, 8, 10), (6, 0, None, None)]
+    rows = spark.createDataFrame([(*r, b"") for r in rows], near_dup.FEATURES)
+    features, classes = near_dup.told_apart(rows)
+    node = {r.doc_id: r.node for r in features.collect()}
+    assert node[1] == node[2] == 7 and node[5] == 8 and node[6] is None and len({node[i] for i in (1, 3, 4, 5)}) == 4
+    assert {r.node: (r.least, r.n) for r in classes.collect()} == {node[1]: (1, 3), node[3]: (3, 4), node[4]: (4, 5), 8: (5, 3)}
+
+
 def test_near_duplicates_odd_rows(docs, none):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
     assert got[6, 2] == (5, False) and got[5, 2] == (5, True) and got[2, 0] == (2, True) and got[None, 1] == (None, True)
