@@ -1,19 +1,22 @@
 """Exact top-k inner products by ball-tree branch and bound, shard by shard.
 
 Vectors become integers floor(scale * x). Candidates are dealt by a hash of their id into
-shards of about ``shard`` vectors, queries into blocks of about ``block``; each task builds
-a ball tree over one shard and answers one block. A node's upper bound for a query is its
+shards of about ``shard`` vectors and at most ``cells`` components, queries into blocks of
+about ``block``. A shard's ball tree is built once and written as a row with its vectors;
+each task takes one shard's row and answers one block. A node's upper bound for a query is its
 centre's product plus its radius times the query's length; nodes are taken in order of
 that bound until it falls below the kth score known so far.
 
-The kth score is shared: every query first searches one shard, and takes the kth score it
-finds there into all other shards, which then need only look for better ones. Each shard
-answers with at most k rows for a query, ranked at the end by a window over these rows.
+The kth score is shared: shards are searched in rounds, the first of one shard and each
+next one of three times all before, and every round starts from the kth scores of the
+rounds before it, so that later shards need only look for better ones. Each shard
+answers with at most k rows for a query, which a window ranks after every round.
 
 Rows: vectors that are null or hold null, NaN or infinite components take no part; vectors
 of other lengths count as filled up with zeros; rows with null ids take no part; a query
 never matches rows of its own id, so of repeated ids every other row is a candidate and
-each query row is answered once for its id's smallest vector; other columns are ignored.
+each query row is answered once for its id's smallest vector; rows with equal ids and scores
+are each ranked; other columns are ignored; an empty table gives no rows.
 Products are exact while they fit into 64 bits; larger ones are held at the limits.
 """
 
@@ -29,19 +32,24 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 ANSWER = "query_id long, vec_id long, score long"
+TREE = "shard int, width int, ids binary, vectors binary, places binary, centres binary, radii binary, spans binary, children binary"
 
 
 class BallTree:
     """Centres and radii of a binary tree over rows of integers."""
 
-    def __init__(self, vectors: np.ndarray, leaf: int = 64) -> None:
+    def __init__(self, places: np.ndarray, centres: np.ndarray, radii: np.ndarray, spans: np.ndarray, children: np.ndarray) -> None:
+        self.places, self.centres, self.radii, self.spans, self.children = places, centres, radii, spans, children
+
+    @classmethod
+    def over(cls, vectors: np.ndarray, leaf: int = 64) -> BallTree:
         x = vectors.astype(np.float64)
-        self.order = np.arange(len(x))
+        places = np.arange(len(x))
         centres, radii, spans, children = [], [], [], []
         todo = [(0, len(x), -1, 0)]
         while todo:
             lo, hi, parent, side = todo.pop()
-            own = self.order[lo:hi]
+            own = places[lo:hi]
             centre = x[own].mean(axis=0)
             far = np.sqrt(((x[own] - centre) ** 2).sum(axis=1))
             number = len(centres)
@@ -55,11 +63,21 @@ class BallTree:
                 a = x[own[far.argmax()]]
                 b = x[own[((x[own] - a) ** 2).sum(axis=1).argmax()]]
                 along = np.argsort(x[own] @ (b - a), kind="stable")
-                self.order[lo:hi] = own[along]
+                places[lo:hi] = own[along]
                 middle = (lo + hi) // 2
                 todo += [(lo, middle, number, 0), (middle, hi, number, 1)]
-        self.centres, self.radii = np.stack(centres), np.array(radii)
-        self.spans, self.children = spans, children
+        return cls(places, np.stack(centres), np.array(radii), np.array(spans), np.array(children))
+
+    def row(self) -> dict[str, bytes]:
+        """The tree's arrays as the columns of a table."""
+        return {c: getattr(self, c).tobytes() for c in ("places", "centres", "radii", "spans", "children")}
+
+    @classmethod
+    def of_row(cls, row: pd.Series) -> BallTree:
+        """The tree that :meth:`row` wrote."""
+        radii = np.frombuffer(row["radii"])
+        spans, children = (np.frombuffer(row[c], np.int64).reshape(-1, 2) for c in ("spans", "children"))
+        return cls(np.frombuffer(row["places"], np.int64), np.frombuffer(row["centres"]).reshape(len(radii), -1), radii, spans, children)
 
 
 def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -70,7 +88,7 @@ def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 def search(tree: BallTree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, known: np.ndarray, k: int):
     """(query_id, vec_id, score) of the best k candidates of each query that reach its known kth score."""
-    q = queries.astype(np.float64)
+    q, children, spans = queries.astype(np.float64), tree.children.tolist(), tree.spans.tolist()
     bounds = q @ tree.centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * tree.radii[None, :]
     bounds += 1e-6 * (1 + np.abs(bounds))
     for row in range(len(q)):
@@ -81,13 +99,13 @@ def search(tree: BallTree, vectors: np.ndarray, ids: np.ndarray, queries: np.nda
             worst, node = heappop(open_)
             if -worst < floor:
                 break
-            if tree.children[node][0] >= 0:
-                for child in tree.children[node]:
+            if children[node][0] >= 0:
+                for child in children[node]:
                     if bound[child] >= floor:
                         heappush(open_, (-bound[child], child))
                 continue
-            lo, hi = tree.spans[node]
-            own = tree.order[lo:hi]
+            lo, hi = spans[node]
+            own = tree.places[lo:hi]
             s, i = _scores(vectors[own], queries[row]), ids[own]
             keep = (i != query_ids[row]) & (s >= floor)
             if not keep.any():
@@ -101,25 +119,39 @@ def search(tree: BallTree, vectors: np.ndarray, ids: np.ndarray, queries: np.nda
         yield query_ids[row], best_i, best_s
 
 
-def _integers(rows: list[list[int]], width: int, wide: bool) -> np.ndarray:
-    out = np.zeros((len(rows), width), object if wide else np.int64)
+def _integers(rows: pd.Series, width: int) -> np.ndarray:
+    """Rows of integers, filled up with zeros."""
+    out = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
+def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard's vectors and ball tree as one row."""
+    rows = rows.sort_values("vec_id", kind="stable")
+    width = max(1, max(map(len, rows["v"])))
+    vectors = _integers(rows["v"], width)
+    row = {"shard": key[0], "width": width, "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "vectors": vectors.tobytes()}
+    return pd.DataFrame([row | BallTree.over(vectors).row()])
+
+
 def _answer(k: int):
-    def run(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-        if not len(candidates) or not len(queries):
+        if not len(shard) or not len(queries):
             return none
-        candidates, queries = candidates.sort_values("vec_id", kind="stable"), queries.sort_values("query_id", kind="stable")
-        rows = [*candidates["v"], *queries["v"]]
-        width = max(1, max(map(len, rows)))
-        wide = max((int(np.abs(np.asarray(r, dtype=np.float64)).max()) if len(r) else 0) for r in rows) >= 1 << 28
-        vectors, asked = _integers(list(candidates["v"]), width, wide), _integers(list(queries["v"]), width, wide)
+        row, tree = shard.iloc[0], BallTree.of_row(shard.iloc[0])
+        queries = queries.sort_values("query_id", kind="stable")
+        ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["width"])
+        width = max(row["width"], max(map(len, queries["v"])))
+        asked = _integers(queries["v"], width)
+        more = ((0, 0), (0, width - row["width"]))
+        vectors, tree.centres = np.pad(vectors, more), np.pad(tree.centres, more)
+        if max(np.abs(x.astype(np.float64)).max() for x in (vectors, asked)) >= 1 << 28:  # products beyond 64 bits
+            vectors, asked = vectors.astype(object), asked.astype(object)
         known = queries["known"].astype("float64").fillna(-np.inf).to_numpy()
-        found = [pd.DataFrame({"query_id": q, "vec_id": i, "score": s}) for q, i, s in search(BallTree(vectors), vectors, candidates["vec_id"].to_numpy(), asked, queries["query_id"].to_numpy(), known, k) if len(i)]
+        found = [pd.DataFrame({"query_id": q, "vec_id": i, "score": s}) for q, i, s in search(tree, vectors, ids, asked, queries["query_id"].to_numpy(), known, k) if len(i)]
         return pd.concat(found) if found else none
 
     return run
@@ -132,28 +164,31 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard: int = 8192, block: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard: int = 8192, block: int = 4096, cells: int = 1 << 22) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of all rows for each vec_id divisible by ``every``.
 
-    Candidates go to each query block's tasks and queries to each shard's, so with n rows
-    n * (n / every / block) and n / every * (n / shard) rows are dealt out; a task holds
-    one shard and one block.
+    Shards' rows go to each query block's tasks and queries to each shard's; a task holds
+    one shard and one block. Trees are built once.
     """
     rows = materialize(integer_vectors(vectors, scale), "vectors")
-    n = max(1, rows.count())
+    n, width = rows.agg(F.count("*"), F.greatest(F.max(F.size("v")), F.lit(1))).first()
+    shard, block = (max(1, min(most, cells // width)) for most in (shard, block))
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n // (every * block)))
     deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    candidates = rows.withColumn("shard", deal("vec_id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every_one = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
+    trees = materialize(rows.groupBy(deal("vec_id", shards).alias("shard")).applyInPandas(_grow, TREE), "trees")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    asked = asked.withColumns({"block": deal(F.col("query_id") + 1, blocks), "first": deal("query_id", shards)})
-
-    def answer(queries: DataFrame) -> DataFrame:
-        left = candidates.groupBy("shard", "block")
-        return left.cogroup(queries.select("shard", "block", "query_id", "v", "known").groupBy("shard", "block")).applyInPandas(_answer(k), ANSWER)
-
-    start = materialize(answer(asked.withColumns({"shard": F.col("first"), "known": F.lit(None).cast("long")})), "first")
-    kth = start.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("known"))
-    others = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("first")).join(kth, "query_id", "left")
-    rest = answer(others)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return start.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = materialize(asked.withColumn("block", deal(F.col("query_id") + 1, blocks)), "asked")
+
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = rows.sparkSession.createDataFrame([], f"{ANSWER}, rank int")
+    done = 0
+    while done < shards:
+        last = min(shards, max(1, 4 * done))
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("known"))
+        open_ = asked.join(kth, "query_id", "left").withColumn("shard", every_one(done, last))
+        near = trees.where(F.col("shard").between(done, last - 1)).withColumn("block", every_one(0, blocks))
+        found = near.groupBy("shard", "block").cogroup(open_.groupBy("shard", "block")).applyInPandas(_answer(k), ANSWER)
+        ranked = best.drop("rank").unionByName(found).withColumn("rank", F.row_number().over(order))
+        best, done = materialize(ranked.where(F.col("rank") <= k), "best"), last
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -664,6 +664,21 @@ def test_top_k(spark):
     assert not topk.exact_top_k(table.limit(0)).collect()
 
 
+def test_top_k_repeated_ids_lengths_and_large_values(spark):
+    """Repeated ids, ties, vectors of other lengths and products beyond 64 bits, over many rounds of small shards."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.integers(-3, 4, 3 + i % 3)]) for i in range(120)] + [(7, [1.0, 2.0, 3.0]), (100, [0.0]), (9, [2.0**70, 1.0]), (0, [9.0] * 7)]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, shard=9, cells=40).collect()
+    top = 2**63 - 1
+    ints = [(i, [max(-top - 1, min(top, int(1024 * x))) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 100):
+        mine = min(v for i, v in ints if i == q)
+        s = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(mine, v)))), i) for i, v in ints if i != q)[:5]
+        want += [(q, k, i, -x) for k, (x, i) in enumerate(s, 1)]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_oracle(spark, name):
     import glob
