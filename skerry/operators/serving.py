@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,17 @@ def unmined(rows: DataFrame, day: str, first: Column, last: Column) -> DataFrame
     return rows.where((F.col(day) < first) | (F.col(day) > last))
 
 
+def uniform(seed: int, *keys: str | Column, part: int = 0) -> Column:
+    """A number between 0 and 1 that seed and keys fix, so a task that runs again gets the same; ``part`` (0 to 3) tells several apart."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys).cast("binary")), 8 * part + 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def normal(seed: int, *keys: str | Column) -> Column:
+    """A draw of the standard normal distribution that seed and keys fix (from two uniform ones)."""
+    return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * math.pi * uniform(seed, *keys, part=1))
+
+
 def draw(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement (all, if fewer), by a hash of their keys, so a task that runs again draws the same ones.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import frames, models, smoothing
+from skerry.operators import frames, models, serving, smoothing
 from skerry.sources import relations, sinks
 from skerry.sources.relations import METRIC_SQL
 
@@ -96,10 +96,13 @@ def forecast_model_registry(spark, sf_dir):
     return steps.select(*KEYS, "model", (F.col("pos") + 1).alias("step"), F.round("value", 6).alias("predict_value"))
 
 
-@query()
+@query(f"""WITH {METRIC_SQL}, h AS (SELECT *, md5(concat_ws(':', '7', target_id, name, strftime(time, '%Y%m%d%H%M%S'))) AS d FROM mp),
+u AS (SELECT *, (CAST('0x' || substring(d, 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS a, (CAST('0x' || substring(d, 9, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS b, (CAST('0x' || substring(d, 17, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS c FROM h)
+SELECT target_id, name, time, CASE WHEN c < 0.2 THEN 'validation' ELSE 'train' END AS part, round(real_value, 6) AS real_value, round(real_value * (1 + 0.002 * sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 6) AS augmented FROM u""")
 def training_augmentation(spark, sf_dir):
-    """A seeded split and multiplicative noise, by a hash of each row, so that a repeated task gives the same rows."""
-    noise = F.pmod(F.xxhash64(*KEYS, "time"), F.lit(2001)) / 1000.0 - 1
-    share = F.pmod(F.xxhash64("time", *KEYS), F.lit(100))
-    rows = points(spark, sf_dir).withColumns({"part": F.when(share < 20, "validation").otherwise("train"), "augmented": F.col("real_value") * (1 + 0.002 * noise)})
+    """A seeded split (a fifth for validation) and values times 1 + 0.002 normal noise, both fixed by each row's keys."""
+    keys = (*KEYS, F.date_format("time", "yyyyMMddHHmmss"))
+    part = F.when(serving.uniform(7, *keys, part=2) < 0.2, "validation").otherwise("train")
+    noisy = F.col("real_value") * (1 + 0.002 * serving.normal(7, *keys))
+    rows = points(spark, sf_dir).withColumns({"part": part, "augmented": noisy})
     return rows.select(*KEYS, "time", "part", r("real_value"), r("augmented"))

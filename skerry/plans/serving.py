@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skerry.operators import serving
-from skerry.sources.relations import METRIC_SQL, table
+from skerry.sources import store
+from skerry.sources.relations import LOG_SQL, METRIC_SQL, log_lines, table
+from skerry.streaming import jobs
 
 from .detection import KEYS, SCORED_SQL, scored
 from .logs import BY, log_window_line_avg_score
@@ -97,3 +99,22 @@ def mining_period_update(spark, sf_dir):
 def training_sample(spark, sf_dir):
     """Rows drawn without replacement, as a training run takes them."""
     return serving.draw(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], 500, 7)
+
+
+@query(f"WITH {LOG_SQL} SELECT target_id, doc_id, pos, msg, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) AS _time FROM ll WHERE msg <> ''")
+def log_line_reshape(spark, sf_dir):
+    """Lines that are not empty, as sequences take them (a document is a minute)."""
+    time = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    return log_lines(table(spark, sf_dir, "documents")).where("msg <> ''").withColumn("_time", time)
+
+
+@query(f"""WITH {METRIC_SQL}, st AS (SELECT target_id, name, count(*) AS n, round(max(real_value), 6) AS top FROM mp GROUP BY 1, 2)
+SELECT * FROM st UNION ALL SELECT DISTINCT target_id, 'none', NULL, NULL FROM st""")
+def key_value_lookup(spark, sf_dir):
+    """Statistics written as values by key and read back for all keys asked, of which one for each target has no value."""
+    stats = points(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.max("real_value"), 6).alias("top"))
+    path = jobs.folder(spark, "values")
+    store.put(stats, path, KEYS)
+    asked = stats.select(*KEYS)
+    asked = asked.unionByName(asked.select("target_id", F.lit("none").alias("name")).distinct())
+    return store.get(asked, path, KEYS, "n long, top double")

@@ -35,3 +35,10 @@ def stream_carry_tail(spark, sf_dir):
     stream = jobs.event_stream(spark, sf_dir).select("event_type", "event_id", "ts", "value")
     rows = stream.groupBy("event_type").applyInPandasWithState(jobs.keep_tail, "event_type string, seen long, ready boolean, tail_sum double", jobs.TAIL_STATE, "update", "NoTimeout")
     return jobs.latest(jobs.run_once(rows, "update", "tail"), ["event_type"]).select("event_type", "seen", "ready", F.round("tail_sum", 3).alias("tail_sum"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1")
+def stream_progress_upsert(spark, sf_dir):
+    """Each user's last event, merged batch by batch into a table."""
+    stream = jobs.event_stream(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "event_type", "value")
+    return jobs.upserted(stream, ["user_id"], "at", "progress").drop("at")

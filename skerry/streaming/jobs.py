@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.sources import sinks
+
 TAIL_STATE = "seen long, tail array<double>"
 
 
@@ -81,6 +83,24 @@ def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.parquet(out).drop("part")
 
 
+def upserted(stream: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """A table with the row of the latest ``order`` of each key, after all that is there.
+
+    Each batch merges its changes into the version before it and writes a version of its own
+    number, so a batch that runs again after a failure gives the same table.
+    """
+    spark = stream.sparkSession
+    out, state = folder(spark, name), folder(spark, f"{name}-state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(batch.schema).parquet(f"{out}/version={number - 1}") if number else batch.limit(0)
+        sinks.upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.parquet(out)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+
+
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last batch's row of each key: what an updated table holds."""
     others = [c for c in rows.columns if c not in (*keys, "batch")]
