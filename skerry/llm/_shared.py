@@ -52,10 +52,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table as read, dealt over the cores if it comes in fewer partitions (a small table in one file)."""
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as read, dealt over as many partitions as ``spark.skerry.readPartitions`` says, if it is set.
+
+    For small tables of one file, which Spark reads in one task; unset, tables stay as they are split.
+    """
+    parts = df.sparkSession.conf.get("spark.skerry.readPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
