@@ -5,37 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import carried, numbered
+
+
+def _asof(rows: DataFrame, lookup: DataFrame, by: list[str], at: Column, found_at: Column, found_first: bool, result: str) -> DataFrame:
+    """Both sides in one numbered order within each key; the last lookup seen is carried on over its blocks."""
+    left = rows.withColumns({"_at": at, "_side": F.lit(int(found_first)), "_result": F.lit(None).cast("double")})
+    names = [c for c in left.columns if c not in by]
+    right = lookup.select(*by, found_at.alias("_at"), F.lit(int(not found_first)).alias("_side"), F.col(result).cast("double").alias("_result")).where("_at IS NOT NULL")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_left", F.col("_side") == int(found_first))
+    both = numbered(both, by, ["_at", "_side", "_result"], "_n", ties=True)
+    found = carried(both, by, "_result", result, "_n").where("_left")
+    return found.select(*by, *(n for n in names if n[0] != "_"), result)
+
 
 def asof_backward(rows: DataFrame, lookup: DataFrame, by: list[str], value: str, at: str, result: str) -> DataFrame:
     """The lookup row with the largest ``at`` not above ``value``; null where there is none.
 
-    Both sides are put in one order within each key and the last lookup seen is carried on,
-    so the cost is a sort, whatever the size of either side. Ties count as not above.
+    The cost is a sort of both sides in ranges, whatever the size of either and however the rows fall
+    to the keys. Ties count as not above; of equal lookups the one with the largest result counts.
     """
-    left = rows.withColumns({"_at": F.col(value), "_side": F.lit(1), "_result": F.lit(None).cast("double")})
-    names = [c for c in left.columns if c not in by]
-    right = lookup.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(result).cast("double").alias("_result"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn(result, F.last("_result", True).over(order)).where("_side = 1")
-    return found.select(*by, *(n for n in names if n[0] != "_"), result)
+    return _asof(rows, lookup, by, F.col(value), F.col(at), True, result)
 
 
 def asof_forward(rows: DataFrame, lookup: DataFrame, by: list[str], value: str, at: str, result: str) -> DataFrame:
-    """The lookup row with the smallest ``at`` above ``value``; null where there is none."""
-    left = rows.withColumns({"_at": F.col(value), "_side": F.lit(1), "_result": F.lit(None).cast("double")})
-    names = [c for c in left.columns if c not in by]
-    right = lookup.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(result).cast("double").alias("_result"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn(result, F.first("_result", True).over(order)).where("_side = 1")
-    return found.select(*by, *(n for n in names if n[0] != "_"), result)
+    """The lookup row with the smallest ``at`` above the number ``value``; null where there is none."""
+    return _asof(rows, lookup, by, -F.col(value), -F.col(at), False, result)
 
 
 def score_table(losses: DataFrame, by: list[str]) -> DataFrame:
     """loss and score (100 for the least loss down to 0 for the largest) of each key's distinct losses."""
-    order = Window.partitionBy(*by).orderBy("loss")
-    return losses.select(*by, "loss").distinct().withColumn("score", 100 - 100 * F.percent_rank().over(order))
+    rows = numbered(losses.select(*by, "loss").distinct(), by, ["loss"], "_n", "_total")
+    rank = F.coalesce(F.try_divide(F.col("_n") - 1, F.col("_total") - 1), F.lit(0.0))
+    return rows.select(*by, "loss", (100 - 100 * rank).alias("score"))
 
 
 def grade(score: Column) -> Column:
@@ -48,6 +50,12 @@ def floored(score: Column) -> Column:
     return F.when(score > 5, F.bround(score, 1)).otherwise(5.0)
 
 
+def forward_score(cdf: Column, is_anomaly: Column) -> Column:
+    """Half the cdf in percent below 50 for anomalies, below 100 for others, half-even rounded to one place; 5 at least, and where no larger loss is known."""
+    base = F.when(is_anomaly, 50.0).otherwise(100.0)
+    return F.when(cdf.isNull(), 5.0).otherwise(F.greatest(F.bround(base - cdf / 2 * 100, 1), F.lit(5.0)))
+
+
 def share(value: str, by: list[str]) -> Column:
     """Percent of the key's total; null where the total is 0."""
     return F.try_divide(100 * F.col(value), F.sum(value).over(Window.partitionBy(*by)))

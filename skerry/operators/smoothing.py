@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .frames import SERIES
 
 
-def ewm(rows: DataFrame, value: str, span: int = 3, order: str = "seq") -> DataFrame:
+def ewm(rows: DataFrame, value: str, span: int = 3, order: str = "seq", by: list[str] = SERIES) -> DataFrame:
     """Exponentially weighted mean with adjusted weights, over all earlier steps.
 
     Weights below 1e-18 of the newest one (60 steps back at a span of 3) cannot change a
@@ -18,7 +18,7 @@ def ewm(rows: DataFrame, value: str, span: int = 3, order: str = "seq") -> DataF
     """
     alpha = 2.0 / (span + 1)
     depth = max(1, math.ceil(18 / -math.log10(1 - alpha)))
-    frame = Window.partitionBy(*SERIES).orderBy(order).rowsBetween(-depth, 0)
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-depth, 0)
     values = F.collect_list(value).over(frame)
     n = F.size(values)
     weights = F.transform(F.sequence(F.lit(1), n), lambda i: F.pow(F.lit(1 - alpha), (n - i).cast("double")))

@@ -10,7 +10,7 @@ from skerry.operators import frames, models, serving, smoothing
 from skerry.sources import relations, sinks
 from skerry.sources.relations import METRIC_SQL
 
-from .logs import KEY_SQL, KEYWORDS, RARE_SQL, SHAPED_SQL, rarity, shaped
+from .logs import KEY_SQL, RARE_SQL, SHAPED_SQL, rarity, shaped
 from .metrics import BAND_SQL, points, r
 from .registry import query
 
@@ -75,7 +75,7 @@ SELECT 'sparse' AS kind, target_id, count(*) AS n FROM k WHERE d IN (1, 2) GROUP
 def log_detection_tables(spark, sf_dir):
     """Summaries of the tables into which detections are split."""
     rows = rarity(spark, sf_dir)
-    rows = rows.withColumn("detection_type", text.detection_type(text.keywords_in(F.col("msg"), KEYWORDS).isNotNull(), F.col("sparse")))
+    rows = rows.withColumn("detection_type", text.detection_type(F.col("keyword").isNotNull(), F.col("sparse")))
     tables = sinks.detection_tables(rows.select("target_id", "detection_type"))
     return tables["sparse_summary"].select(F.lit("sparse").alias("kind"), "target_id", "n").unionByName(tables["keyword_summary"].select(F.lit("keyword").alias("kind"), "target_id", "n"))
 

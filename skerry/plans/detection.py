@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skerry.operators import frames, scoring, smoothing, thresholds
+from skerry.operators import frames, kernels, scoring, smoothing, thresholds
+from skerry.operators.ordering import joined
 from skerry.sources.relations import METRIC_SQL
+from skerry.sources.written import written
 
 from .metrics import BASE_SQL, FILLED_SQL, baseline, points, r
 from .registry import query
@@ -30,15 +32,27 @@ gr AS (SELECT *, CASE WHEN raw > 5 THEN round_even(raw, 1) ELSE 5 END AS normali
 
 
 def losses(spark, sf_dir):
-    rows = smoothing.trailing(points(spark, sf_dir), 24).where("n_before = 24")
+    return losses_of(points(spark, sf_dir))
+
+
+def losses_of(p):
+    rows = smoothing.trailing(p, 24).where("n_before = 24")
     return rows.select(*KEYS, "inst_type", "time", "real_value", F.col("mean_before").alias("model_value"), F.round(F.abs(F.col("real_value") - F.col("mean_before")), 8).alias("loss"))
 
 
-def scored(spark, sf_dir):
+SPLIT = "2024-01-20 00:00:00"
+
+
+def known_scores(rows):
+    """The score table of the losses before a day."""
+    return scoring.score_table(rows.where(F.col("time") < F.to_timestamp_ntz(F.lit(SPLIT))), KEYS)
+
+
+def scored(spark, sf_dir, result: str = "score"):
     """Losses before a day make the score table; later ones are looked up in it."""
     rows = losses(spark, sf_dir)
-    split = F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))
-    return scoring.asof_backward(rows.where(F.col("time") >= split), scoring.score_table(rows.where(F.col("time") < split), KEYS), KEYS, "loss", "loss", "score")
+    table = known_scores(rows).withColumnRenamed("score", result)
+    return scoring.asof_backward(rows.where(F.col("time") >= F.to_timestamp_ntz(F.lit(SPLIT))), table, KEYS, "loss", "loss", result)
 
 
 @query(f"WITH {SCORED_SQL} SELECT target_id, name, time, round(loss, 7) AS loss, round(score, 4) AS score, CASE WHEN score IS NULL THEN 'E900' END AS error_code FROM sd")
@@ -47,18 +61,18 @@ def asof_score_lookup(spark, sf_dir):
     return rows.select(*KEYS, "time", r("loss", 7), r("score", 4), F.when(F.col("score").isNull(), "E900").alias("error_code"))
 
 
-@query(f"""WITH {TABLE_SQL}, cd AS (SELECT target_id, name, loss, (100 - score) / 100 AS cdf FROM tb)
-SELECT n.target_id, n.name, n.time, round(n.loss, 7) AS loss, round(c.cdf, 5) AS cdf,
-  round(coalesce(greatest(round_even((CASE WHEN n.loss > 100 THEN 50 ELSE 100 END) - c.cdf / 2 * 100, 2), 5), 5), 1) AS score
-FROM nw n ASOF LEFT JOIN cd c ON n.target_id = c.target_id AND n.name = c.name AND n.loss < c.loss""")
+@query(f"""WITH {SCORED_SQL}, cd AS (SELECT target_id, name, loss, (100 - score) / 100 AS cdf FROM tb),
+mt AS (SELECT target_id, time, avg(score) < 50 AS is_anomaly FROM sd GROUP BY 1, 2)
+SELECT n.target_id, n.name, n.time, round(n.loss, 7) AS loss, round(c.cdf, 5) AS cdf, coalesce(mt.is_anomaly, false) AS is_anomaly,
+  CASE WHEN c.cdf IS NULL THEN 5 ELSE greatest(round_even((CASE WHEN mt.is_anomaly THEN 50 ELSE 100 END) - c.cdf / 2 * 100, 1), 5) END AS score
+FROM nw n ASOF LEFT JOIN cd c ON n.target_id = c.target_id AND n.name = c.name AND n.loss < c.loss JOIN mt ON n.target_id = mt.target_id AND n.time = mt.time""")
 def asof_forward_cdf(spark, sf_dir):
-    rows = losses(spark, sf_dir)
-    split = F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))
-    cdf = scoring.score_table(rows.where(F.col("time") < split), KEYS).select(*KEYS, "loss", ((100 - F.col("score")) / 100).alias("cdf"))
-    found = scoring.asof_forward(rows.where(F.col("time") >= split), cdf, KEYS, "loss", "loss", "cdf")
-    base = F.when(F.col("loss") > 100, 50).otherwise(100)
-    score = F.round(F.greatest(F.bround(base - F.col("cdf") / 2 * 100, 2), F.lit(5.0)), 1)  # greatest skips null: the worst score where no larger loss is known
-    return found.select(*KEYS, "time", r("loss", 7), r("cdf", 5), score.alias("score"))
+    """Each metric's score from the next larger known loss: from 50 down where its target's mean score is below 50, else from 100."""
+    rows = scored(spark, sf_dir, "table_score")
+    bad = F.coalesce(F.avg("table_score").over(Window.partitionBy("target_id", "time")) < 50, F.lit(False))
+    cdf = known_scores(losses(spark, sf_dir)).select(*KEYS, "loss", ((100 - F.col("score")) / 100).alias("cdf"))
+    found = scoring.asof_forward(rows.withColumn("is_anomaly", bad), cdf, KEYS, "loss", "loss", "cdf")
+    return found.select(*KEYS, "time", r("loss", 7), r("cdf", 5), "is_anomaly", scoring.forward_score(F.col("cdf"), F.col("is_anomaly")).alias("score"))
 
 
 @query(f"WITH {ANOM_SQL} SELECT target_id, time, normality_score, CASE WHEN normality_score <= 30 THEN 2 WHEN normality_score <= 50 THEN 1 ELSE 0 END AS target_grade, normality_score < 50 AS is_anomaly FROM gr")
@@ -210,33 +224,38 @@ ga AS (SELECT *, first_value(score) OVER (PARTITION BY event_code, target_id ORD
 an AS (SELECT *, score > 60 AND first_score >= 60 AS anomaly, score > 60 AS above FROM ga)"""
 
 
-def one_sided(spark, sf_dir):
-    """Scores: the loss where the value is above the model's, else nearly nothing."""
-    return losses(spark, sf_dir).withColumn("score", F.when(F.col("real_value") > F.col("model_value"), F.col("loss")).otherwise(1e-7))
+def one_sided(rows):
+    """Scores of losses: the loss where the value is above the model's, else nearly nothing."""
+    return rows.withColumn("score", F.when(F.col("real_value") > F.col("model_value"), F.col("loss")).otherwise(1e-7))
 
 
-def event_rows(spark, sf_dir):
-    rows = one_sided(spark, sf_dir)
-    own = rows.join(F.broadcast(event_features(spark)), ["inst_type", "name"]).select("event_code", "target_id", "name", "time", "score")
-    return own.unionByName(rows.select(F.lit("ETC").alias("event_code"), "target_id", "name", "time", "score"))
+def event_rows(scores, *more):
+    """Scores of metrics by the events that watch them; ETC watches all."""
+    columns = ["target_id", "name", *more, "score"]
+    own = scores.join(F.broadcast(event_features(scores.sparkSession)), ["inst_type", "name"]).select("event_code", *columns)
+    return own.unionByName(scores.select(F.lit("ETC").alias("event_code"), *columns))
 
 
-def event_scores(spark, sf_dir, threshold: float = 60.0):
+def event_scores(rows, threshold: float = 60.0):
     """Mean score of each event; an event whose first step is below the threshold stays off."""
-    s = event_rows(spark, sf_dir).groupBy("event_code", "target_id", "time").agg(F.avg("score").alias("score"))
+    s = rows.groupBy("event_code", "target_id", "time").agg(F.avg("score").alias("score"))
     first = s.groupBy("event_code", "target_id").agg(F.min_by("score", "time").alias("first_score"))
     s = s.join(first, ["event_code", "target_id"])
     return s.withColumns({"above": F.col("score") > threshold, "anomaly": (F.col("score") > threshold) & (F.col("first_score") >= threshold)})
 
 
+def serving_scores(spark, sf_dir):
+    return event_scores(event_rows(one_sided(losses(spark, sf_dir)), "time"))
+
+
 @query(f"WITH {ONE_SIDED_SQL} SELECT event_code, target_id, time, round(score, 8) AS score FROM es")
 def event_score_avg(spark, sf_dir):
-    return event_scores(spark, sf_dir).select("event_code", "target_id", "time", r("score", 8))
+    return serving_scores(spark, sf_dir).select("event_code", "target_id", "time", r("score", 8))
 
 
 @query(f"WITH {ONE_SIDED_SQL} SELECT event_code, target_id, count(*) AS steps, count(*) FILTER (above) AS above, count(*) FILTER (anomaly) AS anomalies FROM an GROUP BY 1, 2")
 def event_first_minute_gate(spark, sf_dir):
-    return event_scores(spark, sf_dir).groupBy("event_code", "target_id").agg(F.count("*").alias("steps"), F.count_if("above").alias("above"), F.count_if("anomaly").alias("anomalies"))
+    return serving_scores(spark, sf_dir).groupBy("event_code", "target_id").agg(F.count("*").alias("steps"), F.count_if("above").alias("above"), F.count_if("anomaly").alias("anomalies"))
 
 
 PROB_SQL = ONE_SIDED_SQL + """, gd AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 999 AS at FROM range(1000) t(i)),
@@ -259,7 +278,7 @@ def event_probabilities(scores, threshold: float = 1.2):
 
 @query(f"WITH {PROB_SQL} SELECT event_code, target_id, time, event_prob FROM pb")
 def event_cdf_probability(spark, sf_dir):
-    return event_probabilities(event_scores(spark, sf_dir)).select("event_code", "target_id", "time", "event_prob")
+    return event_probabilities(serving_scores(spark, sf_dir)).select("event_code", "target_id", "time", "event_prob")
 
 
 MASK_SQL = f""", hit AS (SELECT DISTINCT a.target_id, e.name FROM an a JOIN ef e ON a.event_code = e.event_code WHERE a.anomaly),
@@ -268,16 +287,18 @@ mk AS (SELECT em.target_id, em.name, mean_score FROM em WHERE mean_score > 5 AND
 ETC_SQL = ONE_SIDED_SQL + MASK_SQL
 
 
-def etc_mask(spark, sf_dir, threshold: float = 5.0):
+def etc_mask(scores, events, threshold: float = 5.0):
     """Metrics of no predicted event whose mean score is above the threshold."""
-    hit = event_scores(spark, sf_dir).where("anomaly").join(F.broadcast(event_features(spark)), "event_code").select("target_id", "name").distinct()
-    means = one_sided(spark, sf_dir).groupBy("target_id", "name").agg(F.avg("score").alias("mean_score"))
+    features = event_features(scores.sparkSession).where("event_code <> 'ETC'")
+    hit = events.where("anomaly").join(F.broadcast(features), "event_code").select("target_id", "name").distinct()
+    means = scores.groupBy("target_id", "name").agg(F.avg("score").alias("mean_score"))
     return means.where(F.col("mean_score") > threshold).join(hit, ["target_id", "name"], "left_anti")
 
 
 @query(f"WITH {ETC_SQL} SELECT target_id, name, round(mean_score, 4) AS mean_score FROM mk")
 def event_etc_mask(spark, sf_dir):
-    return etc_mask(spark, sf_dir).select("target_id", "name", r("mean_score", 4))
+    scores = one_sided(losses(spark, sf_dir))
+    return etc_mask(scores, event_scores(event_rows(scores, "time"))).select("target_id", "name", r("mean_score", 4))
 
 
 TOP_SQL = ONE_SIDED_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id, time ORDER BY score DESC, name) AS rank FROM ev), tp AS (SELECT *, 100 * score / nullif(sum(score) OVER (PARTITION BY event_code, target_id, time), 0) AS contribution FROM rk WHERE rank <= 5)"
@@ -286,7 +307,7 @@ TOP_SQL = ONE_SIDED_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY ev
 @query(f"WITH {TOP_SQL} SELECT event_code, target_id, time, name, CAST(rank AS INTEGER) AS rank, round(contribution, 3) AS contribution FROM tp")
 def event_top5_contribution(spark, sf_dir):
     """The five largest contributors of each event and step with their share."""
-    return scoring.top_share(event_rows(spark, sf_dir), ["event_code", "target_id", "time"], "score", "name", 5).select("event_code", "target_id", "time", "name", "rank", r("contribution", 3))
+    return scoring.top_share(event_rows(one_sided(losses(spark, sf_dir)), "time"), ["event_code", "target_id", "time"], "score", "name", 5).select("event_code", "target_id", "time", "name", "rank", r("contribution", 3))
 
 
 P4_SQL = PROB_SQL + MASK_SQL + """, wa AS (SELECT ev.* FROM ev WHERE event_code <> 'ETC' OR EXISTS (SELECT 1 FROM mk WHERE mk.target_id = ev.target_id AND mk.name = ev.name)),
@@ -301,19 +322,34 @@ FROM on_ a LEFT JOIN ex ON a.event_code = ex.event_code AND a.target_id = ex.tar
 def event_forecast_p4(spark, sf_dir):
     """Event forecast: gate, probability and explanation of each event and step.
 
-    ETC is predicted and explained only by metrics of its mask: those of no predicted event that stand out themselves.
+    ETC is predicted and explained only by metrics of its mask: those of no predicted event that stand out
+    themselves. Events are read once: their losses are a written table.
     """
-    keys = ["event_code", "target_id", "time"]
-    mask = etc_mask(spark, sf_dir).select("target_id", "name")
-    rows, other = event_rows(spark, sf_dir), F.col("event_code") == "ETC"
+    scores = written(one_sided(losses(spark, sf_dir)), "losses")
+    rows = event_rows(scores, "time")
+    events = written(event_scores(rows), "events")
+    mask = written(etc_mask(scores, events).select("target_id", "name"), "mask")
+    explain = explained(rows, mask, "time", lambda share: F.floor(F.round(share, 6)).cast("string"))
+    found = event_probabilities(events).join(explain, ["event_code", "target_id", "time"], "left")
+    return predicted(found, mask).select("event_code", "target_id", F.col("time").alias("predict_time"), "anomaly", "event_prob", "explain")
+
+
+def explained(rows, mask, step: str, shown):
+    """The five largest contributors of each event and step as one text; ETC's only of its mask."""
+    other, keys = F.col("event_code") == "ETC", ["event_code", "target_id", step]
     watched = rows.where(~other).unionByName(rows.where(other).join(mask, ["target_id", "name"], "left_semi").select(*rows.columns))
     top = scoring.top_share(watched, keys, "score", "name", 5)
-    note = F.concat("name", F.lit(":"), F.floor(F.round("contribution", 6)).cast("string"))
-    explain = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", note.alias("note")))).alias("x")).withColumn("explain", F.array_join(F.transform("x", lambda s: s["note"]), ",")).drop("x")
+    note = F.concat("name", F.lit(":"), shown(F.col("contribution")))
+    notes = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", note.alias("note")))).alias("x"))
+    return notes.select(*keys, F.array_join(F.transform("x", lambda s: s["note"]), ",").alias("explain"))
+
+
+def predicted(found, mask):
+    """``anomaly`` and ``event_prob`` where ETC needs a metric of its target's mask."""
     targets = mask.select("target_id").distinct().withColumn("masked", F.lit(True))
-    found = event_probabilities(event_scores(spark, sf_dir)).join(explain, keys, "left").join(targets, "target_id", "left")
-    predicted = F.col("anomaly") & (~other | F.coalesce("masked", F.lit(False)))
-    return found.select("event_code", "target_id", F.col("time").alias("predict_time"), predicted.alias("anomaly"), F.when(predicted, F.col("event_prob")).otherwise(0.0).alias("event_prob"), "explain")
+    rows, other = found.join(targets, "target_id", "left"), F.col("event_code") == "ETC"
+    rows = rows.withColumn("anomaly", F.col("anomaly") & (~other | F.coalesce("masked", F.lit(False))))
+    return rows.withColumn("event_prob", F.when(F.col("anomaly"), F.col("event_prob")).otherwise(0.0)).drop("masked")
 
 
 KDE_SQL = METRIC_SQL + """, x AS (SELECT name, real_value / 50 AS v FROM mp), g AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 999 AS at FROM range(1000) t(i)),
@@ -321,13 +357,14 @@ kd AS (SELECT name, i, g.at, avg(exp(-0.5 * power((g.at - v) / 0.5, 2))) / (0.5
 
 
 def density(x, by: str, grid: int = 1000, bandwidth: float = 0.5):
-    """Gaussian kernel density of each key's ``v`` on a grid from 0 to 10: the grid goes to each row, sums are partial."""
-    rows = x.select(by, "v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")).withColumn("at", F.col("i") * 10.0 / (grid - 1))
-    return rows.groupBy(by, "i", "at").agg((F.avg(F.exp(-0.5 * F.pow((F.col("at") - F.col("v")) / bandwidth, F.lit(2)))) / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    """Gaussian kernel density of each key's ``v`` on a grid from 0 to 10 (null and NaN values left out)."""
+    sums = kernels.grid_sums(x.select(F.col(by).alias("key"), F.col("v").cast("double").alias("v")), 10.0, grid, bandwidth)
+    value = F.col("sum") / F.col("n") / (bandwidth * math.sqrt(2 * math.pi))
+    return sums.select(F.col("key").alias(by), "i", (F.col("i") * 10.0 / (grid - 1)).alias("at"), value.alias("density"))
 
 
 def above(densities, by: str, threshold: float):
-    """``cdf``: share of the density above a threshold up to each grid place, at most 0.95; 0 up to the threshold."""
+    """``cdf``: share of the density above a threshold (a number or column) up to each grid place, at most 0.95; 0 up to the threshold."""
     d, own = F.when(F.col("at") > threshold, F.col("density")).otherwise(0.0), Window.partitionBy(by)
     rows = densities.withColumn("d", d)
     cdf = F.try_divide(0.95 * F.sum("d").over(own.orderBy("i")), F.sum("d").over(own))
@@ -357,6 +394,128 @@ def event_threshold_half(spark, sf_dir):
     return rows.select("name", F.round((1000 - F.col("n")) * 0.01, 2).alias("threshold"))
 
 
+#: training scores of events: smoothed means of both sides' losses, in fifties, by the order of time
+TRAIN_SQL = LOSS_SQL + f""", {FEATURE_SQL},
+te AS (SELECT e.event_code, o.target_id, o.time, avg(o.loss / 50) AS v FROM lo o JOIN ef e ON o.inst_type = e.inst_type AND o.name = e.name GROUP BY 1, 2, 3
+  UNION ALL SELECT 'ETC', target_id, time, avg(loss / 50) FROM lo GROUP BY 2, 3),
+ti AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id ORDER BY time) AS i FROM te),
+ts AS (SELECT a.event_code, a.target_id, a.i, round(sum(b.v * power(0.5, a.i - b.i)) / sum(power(0.5, a.i - b.i)), 9) AS score FROM ti a JOIN ti b ON a.event_code = b.event_code AND a.target_id = b.target_id AND b.i BETWEEN a.i - 60 AND a.i GROUP BY 1, 2, 3),
+tk AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id ORDER BY score) AS k, count(*) OVER (PARTITION BY event_code, target_id) AS n FROM ts),
+tt AS (SELECT event_code, target_id, score AS t, n FROM tk WHERE k = floor(n * 0.98) + 1),
+tz AS (SELECT tt.event_code, tt.target_id, t, tt.n, count(*) FILTER (score > t) AS peaks, coalesce(avg(score - t) FILTER (score > t), 0) AS me FROM tk JOIN tt ON tk.event_code = tt.event_code AND tk.target_id = tt.target_id GROUP BY 1, 2, 3, 4),
+zz AS (SELECT event_code, target_id, CASE WHEN peaks > 0 THEN t - me * ln(0.005 * n / peaks) ELSE t END AS z FROM tz),
+zl AS (SELECT z.event_code, z.target_id, greatest(z.z, o.z) AS z FROM zz z JOIN zz o ON o.event_code = 'ETC' AND o.target_id = z.target_id),
+kg AS (SELECT CAST(i AS INTEGER) AS i, i * 10.0::DOUBLE / 999 AS at FROM range(1000) t(i)),
+kd AS (SELECT event_code, target_id, kg.i, kg.at, avg(exp(-0.5 * power((kg.at - score) / 0.5, 2))) AS d FROM ts, kg GROUP BY 1, 2, 3, 4),
+kc AS (SELECT kd.event_code, kd.target_id, kd.i, CASE WHEN kd.at > z THEN 0.95 * sum(CASE WHEN kd.at > z THEN d ELSE 0 END) OVER (PARTITION BY kd.event_code, kd.target_id ORDER BY kd.i) / nullif(sum(CASE WHEN kd.at > z THEN d ELSE 0 END) OVER (PARTITION BY kd.event_code, kd.target_id), 0) ELSE 0 END AS cdf
+  FROM kd JOIN zl ON kd.event_code = zl.event_code AND kd.target_id = zl.target_id),
+lv AS (SELECT event_code, target_id, round((1000 - count(*) FILTER (cdf > 0.5)) * 0.01::DOUBLE, 2) AS level FROM kc GROUP BY 1, 2)"""
+
+
+def training_scores(rows):
+    """Smoothed mean losses of each event and target, in order: what an event's levels are fitted to."""
+    scores = event_rows(rows.withColumn("score", F.col("loss") / 50), "time").groupBy("event_code", "target_id", "time").agg(F.avg("score").alias("v"))
+    smooth = smoothing.ewm(scores, "v", 3, "time", ["event_code", "target_id"])
+    return smooth.select("event_code", "target_id", F.round("ewm", 9).alias("score"))
+
+
+def event_levels(scores, tail):
+    """(event_code, target_id, level, steps): where each event's distribution above its threshold passes one half, and that distribution's 1000 steps.
+
+    ``tail`` gives each key's threshold ``z`` from (key, score); an event's threshold is not below that of ETC at its target.
+    """
+    keys = ["event_code", "target_id"]
+    ids = written(scores.select(*keys).distinct().withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), "keys")
+    rows = written(joined(scores, ids, keys).select("key", "score"), "training")
+    z = joined(tail(rows).select("key", "z"), ids, ["key"])
+    etc = z.where("event_code = 'ETC'").select("target_id", F.col("z").alias("least"))
+    z = joined(z, etc, ["target_id"], "left").select("key", F.greatest("z", "least").alias("z"))
+    cdf = above(joined(density(rows.withColumnRenamed("score", "v"), "key"), z, ["key"]), "key", F.col("z"))
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("i", "cdf"))), lambda s: s["cdf"])
+    level = F.round((1000 - F.count_if(F.col("cdf") > 0.5)) * 0.01, 2)
+    return joined(cdf.groupBy("key").agg(level.alias("level"), steps.alias("steps")), ids, ["key"]).drop("key")
+
+
+def exponential_tail(rows, level: float = 0.98, q: float = 0.005):
+    """Thresholds of exponential tails in closed form; with no peaks, the initial threshold."""
+    s = thresholds.initial_threshold(rows, ["key"], level)
+    z = thresholds.gpd_quantile(F.col("threshold"), F.lit(0.0), F.col("mean_excess"), F.col("n"), F.col("peaks"), q)
+    return s.select("key", F.when(F.col("peaks") > 0, z).otherwise(F.col("threshold")).alias("z"))
+
+
+@query(f"WITH {TRAIN_SQL} SELECT lv.event_code, lv.target_id, lv.level, round(z, 5) AS threshold FROM lv JOIN zl ON lv.event_code = zl.event_code AND lv.target_id = zl.target_id")
+def event_levels_exponential(spark, sf_dir):
+    """Each event's level and threshold, the larger of its own and ETC's, with exponential tails."""
+    rows = training_scores(losses(spark, sf_dir))
+    levels = event_levels(rows, exponential_tail)
+    own = exponential_tail(rows.withColumn("key", F.to_json(F.struct("event_code", "target_id"))).select("key", "score"))
+    own = own.select(F.from_json("key", "event_code string, target_id string").alias("k"), "z").select("k.*", "z")
+    etc = own.where("event_code = 'ETC'").select("target_id", F.col("z").alias("least"))
+    found = levels.join(own, ["event_code", "target_id"]).join(etc, "target_id")
+    return found.select("event_code", "target_id", "level", F.round(F.greatest("z", "least"), 5).alias("threshold"))
+
+
+@query()
+def event_levels_fitted(spark, sf_dir):
+    """Each event's level with fitted tails (numeric, so no SQL)."""
+    return event_levels(training_scores(losses(spark, sf_dir)), lambda rows: thresholds.pot(rows, "key", 0.98)).select("event_code", "target_id", "level")
+
+
+STITCH_SQL = TRAIN_SQL.replace(METRIC_SQL, FILLED_SQL, 1) + """, sc AS (SELECT target_id, name, avg(real_value) AS mean, CASE WHEN stddev_pop(real_value) = 0 THEN 1 ELSE stddev_pop(real_value) END AS std FROM mp GROUP BY 1, 2),
+al AS (SELECT target_id, name, seq, filled AS v FROM fi UNION ALL SELECT target_id, name, CAST(seq + 24 * k AS INTEGER), filled FROM fi, range(1, 3) t(k) WHERE seq >= 36 AND seq + 24 * k < 90),
+bk AS (SELECT al.target_id, al.name, al.seq - 30 AS seq, round_even(round(greatest((al.v - mean) / std * std + mean, 0), 6) * 100, 0) / 100 AS x FROM al JOIN sc ON al.target_id = sc.target_id AND al.name = sc.name WHERE al.seq >= 30),
+rm AS (SELECT *, avg(x) OVER (PARTITION BY target_id, name ORDER BY seq ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m FROM bk),
+ra AS (SELECT target_id, name, seq, CASE WHEN x > round(m, 8) THEN round(x - m, 8) / 50 ELSE 1e-7 END AS v FROM rm),
+re AS (SELECT a.target_id, a.name, a.seq - 30 AS step, round(sum(b.v * power(0.5, a.seq - b.seq)) / sum(power(0.5, a.seq - b.seq)), 9) AS score FROM ra a JOIN ra b ON a.target_id = b.target_id AND a.name = b.name AND b.seq <= a.seq WHERE a.seq >= 30 GROUP BY 1, 2, 3),
+hv AS (SELECT e.event_code, r.target_id, r.name, r.step, r.score FROM re r JOIN ef e ON split_part(r.target_id, '_', 1) = e.inst_type AND r.name = e.name UNION ALL SELECT 'ETC', target_id, name, step, score FROM re),
+hs AS (SELECT event_code, target_id, step, round(avg(score), 9) AS score FROM hv GROUP BY 1, 2, 3),
+ha AS (SELECT hs.*, lv.level, hs.score > level AND first_value(hs.score) OVER (PARTITION BY hs.event_code, hs.target_id ORDER BY step) >= level AS anomaly FROM hs JOIN lv ON hs.event_code = lv.event_code AND hs.target_id = lv.target_id),
+hp AS (SELECT ha.*, round(kc.cdf, 2) AS event_prob FROM ha JOIN kc ON ha.event_code = kc.event_code AND ha.target_id = kc.target_id AND kc.i = least(ceil(ha.score * 100), 999)),
+hh AS (SELECT DISTINCT a.target_id, e.name FROM ha a JOIN ef e ON a.event_code = e.event_code WHERE a.anomaly),
+hm AS (SELECT r.target_id, r.name FROM re r JOIN lv ON lv.event_code = 'ETC' AND lv.target_id = r.target_id WHERE NOT EXISTS (SELECT 1 FROM hh WHERE hh.target_id = r.target_id AND hh.name = r.name) GROUP BY r.target_id, r.name, lv.level HAVING avg(r.score) > lv.level),
+hw AS (SELECT hv.* FROM hv WHERE event_code <> 'ETC' OR EXISTS (SELECT 1 FROM hm WHERE hm.target_id = hv.target_id AND hm.name = hv.name)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY event_code, target_id, step ORDER BY score DESC, name) AS rank FROM hw),
+hc AS (SELECT *, score / nullif(sum(score) OVER (PARTITION BY event_code, target_id, step), 0) AS c FROM hr WHERE rank <= 5),
+hx AS (SELECT event_code, target_id, step, string_agg(name || ':' || printf('%.2f', round(c, 6)), ',' ORDER BY rank) AS explain FROM hc GROUP BY 1, 2, 3),
+hf AS (SELECT hp.*, anomaly AND (event_code <> 'ETC' OR EXISTS (SELECT 1 FROM hm WHERE hm.target_id = hp.target_id)) AS predicted FROM hp)"""
+
+
+def horizon_scores(p):
+    """One-sided smoothed scores of the 30 steps ahead: past and forecast are scaled, stitched, the last 60 put back in their unit, scored against what came before, and smoothed.
+
+    No trained network is at hand, so the forecast is the last 24 steps once more.
+    """
+    past = frames.interpolate(frames.on_spine(p)).select(*KEYS, "seq", F.col("filled").alias("v"))
+    ahead = past.where("seq >= 36").withColumn("seq", F.explode(F.array(F.col("seq") + 24, F.col("seq") + 48))).where("seq < 90")
+    scaled = past.unionByName(ahead).join(smoothing.scaler_fit(p), KEYS).withColumn("scaled", (F.col("v") - F.col("mean")) / F.col("std"))
+    back = F.rint(F.round(F.greatest(F.col("scaled") * F.col("std") + F.col("mean"), F.lit(0.0)), 6) * 100) / 100
+    rows = scaled.where("seq >= 30").select(*KEYS, (F.col("seq") - 30).alias("seq"), back.alias("x"))
+    before = F.avg("x").over(Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-24, -1))
+    rows = rows.withColumn("m", before).withColumn("v", F.when(F.col("x") > F.round("m", 8), F.round(F.col("x") - F.col("m"), 8) / 50).otherwise(1e-7))
+    smooth = smoothing.ewm(rows, "v").where("seq >= 30")
+    return smooth.select(*KEYS, F.split_part("target_id", F.lit("_"), F.lit(1)).alias("inst_type"), (F.col("seq") - 30).alias("step"), F.round("ewm", 9).alias("score"))
+
+
+@query(f"""WITH {STITCH_SQL} SELECT a.event_code, a.target_id, a.step, a.score, a.level, a.predicted AS anomaly, CASE WHEN a.predicted THEN a.event_prob ELSE 0 END AS event_prob, hx.explain
+FROM hf a LEFT JOIN hx ON a.event_code = hx.event_code AND a.target_id = hx.target_id AND a.step = hx.step""")
+def event_horizon_30(spark, sf_dir):
+    """Events over the 30 steps ahead, against levels fitted to the past: gate by the first step, probability, and contributors."""
+    p = written(points(spark, sf_dir), "points")
+    levels = written(event_levels(training_scores(losses_of(p)), exponential_tail), "levels")
+    scores = written(horizon_scores(p), "horizon")
+    rows = event_rows(scores, "step")
+    keys = ["event_code", "target_id"]
+    s = rows.groupBy(*keys, "step").agg(F.round(F.avg("score"), 9).alias("score")).join(levels, keys)
+    first = F.first("score").over(Window.partitionBy(*keys).orderBy("step"))
+    events = s.withColumn("anomaly", (F.col("score") > F.col("level")) & (first >= F.col("level")))
+    events = written(events.withColumn("event_prob", F.round(F.get("steps", F.least(F.ceil(F.col("score") * 100), F.lit(999)).cast("int")), 2)).drop("steps"), "events")
+    least = levels.where("event_code = 'ETC'").select("target_id", "level")
+    mask = written(etc_mask(scores, events, -1.0).join(least, "target_id").where("mean_score > level").select("target_id", "name"), "mask")
+    explain = explained(rows, mask, "step", lambda share: F.format_string("%.2f", F.round(share / 100, 6)))
+    found = predicted(events.join(explain, [*keys, "step"], "left"), mask)
+    return found.select(*keys, "step", "score", "level", "anomaly", "event_prob", "explain")
+
+
 POT_SQL = LOSS_SQL + """, so AS (SELECT target_id, loss AS score, row_number() OVER (PARTITION BY target_id ORDER BY loss) AS k, count(*) OVER (PARTITION BY target_id) AS n FROM lo),
 th AS (SELECT target_id, score AS threshold, n FROM so WHERE k = floor(n * 0.95) + 1),
 pk AS (SELECT th.target_id, th.threshold, th.n, count(*) FILTER (score > threshold) AS peaks, coalesce(avg(score - threshold) FILTER (score > threshold), 0) AS mean_excess FROM so JOIN th ON so.target_id = th.target_id GROUP BY 1, 2, 3)"""
@@ -467,6 +626,19 @@ def best_f1_threshold(spark, sf_dir):
     return best.select("target_id", F.col("cut").cast("long").alias("cut"), "f1")
 
 
+@query("WITH " + DET_SQL + """, lr AS (SELECT target_id, run, max(loss) AS top, count(*) AS len FROM ru WHERE label GROUP BY 1, 2), cu AS (SELECT DISTINCT target_id, loss AS cut FROM ru),
+hi AS (SELECT cu.target_id, cu.cut, coalesce(sum(lr.len) FILTER (lr.top >= cu.cut), 0) AS tp, coalesce(sum(lr.len), 0) AS labels FROM cu LEFT JOIN lr ON cu.target_id = lr.target_id GROUP BY 1, 2),
+fa AS (SELECT cu.target_id, cu.cut, count(ru.loss) AS fp FROM cu LEFT JOIN ru ON cu.target_id = ru.target_id AND NOT ru.label AND ru.loss >= cu.cut GROUP BY 1, 2),
+pc AS (SELECT hi.*, fa.fp, labels - tp AS fn, tp / (tp + fp + 1e-5) AS p, tp / (labels + 1e-5) AS c FROM hi JOIN fa ON hi.target_id = fa.target_id AND hi.cut = fa.cut),
+f AS (SELECT *, 2 * p * c / (p + c + 1e-5) AS f1 FROM pc)
+SELECT target_id, round(cut, 6) AS cut, CAST(tp AS BIGINT) AS tp, fp, CAST(fn AS BIGINT) AS fn, round(p, 5) AS precision, round(c, 5) AS recall, round(f1, 5) AS f1
+FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(f1, 9) DESC, cut) AS k FROM f) x WHERE k = 1""")
+def best_f1_all_cuts(spark, sf_dir):
+    """The best of all cuts by point-adjusted F1, found in one sweep."""
+    best = thresholds.best_cut(detections(spark, sf_dir), ["target_id"], "time", "loss")
+    return best.select("target_id", r("cut"), "tp", "fp", "fn", r("precision", 5), r("recall", 5), r("f1", 5))
+
+
 @query("WITH " + DET_SQL + ", nu AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY time) AS k FROM pr), sg AS (SELECT *, k - row_number() OVER (PARTITION BY target_id ORDER BY time) AS g FROM nu WHERE label) SELECT target_id, min(time) AS first, max(time) AS last, count(*) AS length FROM sg GROUP BY target_id, g")
 def anomaly_segments(spark, sf_dir):
     return thresholds.segments(detections(spark, sf_dir), "label", ["target_id"], "time")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions import text
 from skerry.operators import graphs, miner, ordering
 from skerry.sources.relations import LOG_SQL, log_lines, table
+from skerry.sources.written import written
 
 from .registry import query
 
@@ -23,6 +24,17 @@ def shaped(spark, sf_dir):
     return lines(spark, sf_dir).withColumn("tpl", text.masked(F.col("msg")))
 
 
+def templated(spark, sf_dir, **more):
+    """Lines with their templates and these' 64-bit ids ``t``, as a written table: documents are read and masked once."""
+    rows = shaped(spark, sf_dir).withColumns({"t": F.xxhash64("tpl"), "line": F.monotonically_increasing_id(), **more})
+    return written(rows.drop("msg"), "lines")
+
+
+def in_order(rows, *more):
+    """Each target's lines in order of documents and places, numbered by ``n``: template ids and ``more``, no texts."""
+    return ordering.numbered(rows.select(*BY, *ORDER, "line", "t", *more), BY, [*ORDER, "line"]).drop("line")
+
+
 SHAPED_SQL = LOG_SQL + f", sh AS (SELECT *, {text.masked_sql('msg')} AS tpl FROM ll)"
 
 
@@ -101,16 +113,16 @@ ra AS (SELECT *, size = 1 AS created, CASE WHEN size = 1 THEN 1.0::DOUBLE / tota
 
 def rarity(spark, sf_dir, rare_rate: float = 0.01):
     """Each line's template share so far in its target; new and rare templates are sparse."""
-    rows = ordering.numbered(shaped(spark, sf_dir), BY, ORDER, "total")
-    rows = ordering.numbered(rows, [*BY, "tpl"], ORDER, "size")
-    rows = rows.withColumns({"created": F.col("size") == 1, "rate": F.col("size") / F.col("total")})
+    rows = in_order(templated(spark, sf_dir, keyword=text.keywords_in(F.col("msg"), KEYWORDS)), "keyword").withColumn("one", F.lit(1))
+    rows = ordering.running(rows, [*BY, "t"], "one", "size")
+    rows = rows.withColumns({"created": F.col("size") == 1, "rate": F.col("size") / F.col("n")})
     return rows.withColumn("sparse", F.col("created") | (F.col("rate") < rare_rate))
 
 
 @query(f"WITH {RARE_SQL}, k AS (SELECT *, {KEY_SQL} <> '' AS kw FROM sp) SELECT target_id, CASE WHEN kw AND sparse THEN 1 WHEN sparse THEN 2 WHEN kw THEN 3 ELSE 0 END AS detection_type, count(*) AS n FROM k GROUP BY 1, 2")
 def log_detection_type(spark, sf_dir):
     rows = rarity(spark, sf_dir)
-    kind = text.detection_type(text.keywords_in(F.col("msg"), KEYWORDS).isNotNull(), F.col("sparse"))
+    kind = text.detection_type(F.col("keyword").isNotNull(), F.col("sparse"))
     return rows.groupBy("target_id", kind.alias("detection_type")).agg(F.count("*").alias("n"))
 
 
@@ -140,7 +152,13 @@ rn AS (SELECT *, weight / sum(weight) OVER (PARTITION BY target_id, src) AS p FR
 
 
 def edges(spark, sf_dir):
-    return graphs.transitions(shaped(spark, sf_dir), BY, "tpl", ORDER)
+    """Transitions between template ids, with the templates of both ends."""
+    rows = templated(spark, sf_dir)
+    texts = rows.select("t", "tpl").groupBy("t").agg(F.first("tpl").alias("tpl"))
+    found = graphs.transitions(in_order(rows), BY, "t")
+    for c in ("src", "dst"):
+        found = found.join(texts.select(F.col("t").alias(c), F.col("tpl").alias(f"{c}_text")), c).drop(c).withColumnRenamed(f"{c}_text", c)
+    return found.select(*BY, "src", "dst", "weight")
 
 
 @query(f"WITH {EDGE_SQL} SELECT target_id, src, dst, weight FROM ed")
@@ -158,12 +176,12 @@ gw AS (SELECT target_id, doc_id, pos, start, w, len(list_distinct(w)) AS nodes,
 
 
 def windows(spark, sf_dir):
-    return graphs.line_windows(shaped(spark, sf_dir), BY, "tpl", ORDER)
+    return graphs.line_windows(in_order(templated(spark, sf_dir)), BY, ORDER)
 
 
 @query(f"WITH {WIN_SQL} SELECT target_id, doc_id, pos, CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, edges > 1 AS proper FROM gw")
 def log_window_graphs(spark, sf_dir):
-    return graphs.window_graphs(windows(spark, sf_dir)).drop("start", "w")
+    return graphs.window_graphs(windows(spark, sf_dir)).drop("n")
 
 
 @query(f"""WITH {WIN_SQL}, nu AS (SELECT target_id, doc_id, pos, row_number() OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS n FROM sh),
@@ -176,22 +194,26 @@ def log_window_line_avg_score(spark, sf_dir):
 
     No trained network is at hand, so a node's score is its share of the window's lines.
     """
-    proper = graphs.window_graphs(windows(spark, sf_dir)).where("proper")
-    share = lambda w, x: F.size(F.filter(w, lambda y: y == x)) / F.lit(30.0)
-    scores = graphs.line_scores(proper, BY, share)
-    return ordering.numbered(lines(spark, sf_dir), BY, ORDER).join(scores, [*BY, "n"]).select("target_id", "doc_id", "pos", F.round("line_score", 7).alias("line_score"))
+    rows = in_order(templated(spark, sf_dir))
+    return graphs.line_scores(rows, BY, ORDER, graphs.own_shares).select("target_id", "doc_id", "pos", F.round("line_score", 7).alias("line_score"))
+
+
+def rounded(operator: str):
+    """The edges of an operator with weights of seven places."""
+    return F.transform(operator, lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.round(e["weight"], 7).alias("weight")))
 
 
 @query()
 def log_second_order_proximity(spark, sf_dir):
-    """Second-order proximity of each window's graph, taken of its first-order operator (numeric, so no SQL)."""
-    return graphs.window_operators(windows(spark, sf_dir), BY, ORDER).where("second <> 0").select("target_id", "doc_id", "pos", "src", "dst", F.round("second", 7).alias("proximity"))
+    """Second-order proximity of each window's graph, taken of its first-order operator, as one row (numeric, so no SQL)."""
+    return graphs.window_operators(windows(spark, sf_dir), 2).select("target_id", "doc_id", "pos", "nodes", rounded("operator").alias("proximity"))
 
 
 @query()
 def directed_laplacian_pagerank(spark, sf_dir):
-    """First-order operator of each window's graph, and the stationary share of each edge's source (numeric, so no SQL)."""
-    return graphs.window_operators(windows(spark, sf_dir), BY, ORDER).where("first <> 0").select("target_id", "doc_id", "pos", "src", "dst", F.round("first", 7).alias("weight"), F.round("pi", 7).alias("pi"))
+    """First-order operator of each window's graph, and the stationary shares of its nodes, as one row (numeric, so no SQL)."""
+    found = graphs.window_operators(windows(spark, sf_dir))
+    return found.select("target_id", "doc_id", "pos", "nodes", rounded("operator").alias("operator"), F.transform("pi", lambda x: F.round(x, 7)).alias("pi"))
 
 
 @query(f"""WITH {EDGE_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY target_id, src ORDER BY weight DESC, dst) AS k FROM ed)
@@ -204,7 +226,7 @@ def log_next_template_topk(spark, sf_dir):
 
 @query()
 def log_alarm_message_json(spark, sf_dir):
-    return alarm_messages(rarity(spark, sf_dir).withColumn("keyword", text.keywords_in(F.col("msg"), KEYWORDS)).where("sparse AND keyword IS NOT NULL"))
+    return alarm_messages(rarity(spark, sf_dir).where("sparse AND keyword IS NOT NULL"))
 
 
 def alarm_messages(rows, most: int = 100):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,20 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.sources import sinks
+from skerry.sources.written import folder
 
 TAIL_STATE = "seen long, tail array<double>"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; in local mode only, a missing setting gives a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="skerry-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str, batches: int = 3, again: str | None = None) -> DataFrame:
     """events as a stream of several batches in order of time, with a timestamp that can carry a watermark.
 

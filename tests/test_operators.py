@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -9,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import text
-from skerry.operators import frames, graphs, miner, models, ordering, scoring, serving, smoothing, thresholds
+from skerry.operators import frames, graphs, kernels, miner, models, ordering, scoring, serving, smoothing, thresholds
 from skerry.plans.detection import trend
 from skerry.plans.logs import alarm_messages
 from skerry.plans.metrics import flatline
-from skerry.sources import relations, sinks
+from skerry.sources import relations, sinks, store
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -134,9 +135,15 @@ def test_alarm_messages_are_bounded(spark):
     assert got["u", 0] == {"inst_type": "log", "sparseLog": [{"doc_id": 1, "pos": 0, "keyword": "fail", "probability": 25.0}]}
 
 
+def in_order(spark, rows, by, order):
+    """Lines (key, order, text) numbered, with template ids."""
+    df = spark.createDataFrame(rows, "k string, i int, tpl string").withColumn("t", F.xxhash64("tpl"))
+    return ordering.numbered(df, by, order)
+
+
 def test_graph(spark):
-    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate("abab")], "k string, i int, tpl string")
-    edges = graphs.transitions(lines, ["k"], "tpl", ["i"])
+    lines = in_order(spark, [("t", i, x) for i, x in enumerate("abab")], ["k"], ["i"])
+    edges = graphs.transitions(lines, ["k"], "tpl")
     assert {(r.src, r.dst): r.weight for r in edges.collect()} == {("a", "b"): 2, ("b", "a"): 1}
     p = graphs.row_normalized(edges, ["k"])
     assert {(r.src, r.dst): round(r.p, 4) for r in p.collect()} == {("a", "a"): 0.3333, ("a", "b"): 0.6667, ("b", "b"): 0.5, ("b", "a"): 0.5}
@@ -165,42 +172,176 @@ def plain_operators(w, alpha=0.1):
 
 
 def test_window_operators(spark):
-    lines = spark.createDataFrame([(k, i, x) for k, t in (("t", "abacabadbaccab"), (None, "xyxyxzzzzz")) for i, x in enumerate(t)], "k string, i int, tpl string")
-    windows = graphs.line_windows(lines, ["k"], "tpl", ["i"], 5)
+    rows = [(k, i, x) for k, t in (("t", "abacabadbaccab"), (None, "xyxyxzzzzz")) for i, x in enumerate(t)]
+    windows = graphs.line_windows(in_order(spark, rows, ["k"], ["i"]), ["k"], ["i"], width=5)
     assert windows.count() == 10 + 6
-    rows = graphs.window_operators(windows, ["k"], ["i"]).collect()
-    for r in windows.collect():
-        nodes, pi, first, second = plain_operators(r.w)
-        got = {(x.src, x.dst): x for x in rows if x.k == r.k and x.i == r.i}
-        for i, a in enumerate(nodes):
-            for j, b in enumerate(nodes):
-                x = got.get((a, b))
-                assert (x.first if x else 0) == pytest.approx(first[i, j]) and (x.second if x else 0) == pytest.approx(second[i, j])
-                assert x is None or x.pi == pytest.approx(pi[i])
+    first, second = ({(x.k, x.i): x for x in graphs.window_operators(windows, n).collect()} for n in (1, 2))
+    counts = {(x.k, x.i): (x.nodes, x.edges) for x in graphs.window_graphs(windows).collect()}
+    texts = {k: t for k, t in (("t", "abacabadbaccab"), (None, "xyxyxzzzzz"))}
+    hashes = {r.tpl: r.t for r in spark.createDataFrame([(c,) for c in "abcdxyz"], "tpl string").withColumn("t", F.xxhash64("tpl")).collect()}
+    assert set(first) == set(second) == {(k, i) for k, t in texts.items() for i in range(len(t) - 4)}
+    for k, i in first:
+        w = texts[k][i : i + 5]
+        nodes, pi, one, two = plain_operators(w)
+        for got, want in ((first[k, i], one), (second[k, i], two)):
+            assert got.nodes == [hashes[x] for x in nodes] and got.pi == pytest.approx(pi)
+            dense = np.zeros_like(want)
+            for e in got.operator:
+                dense[e.src, e.dst] = e.weight
+            assert dense == pytest.approx(want)
+        assert counts[k, i] == (len(nodes), len(set(zip(w, w[1:]))))
+
+
+def test_shapes_are_solved_once():
+    w = np.array([[5, 7, 5, 9], [1, 2, 1, 3], [4, 4, 4, 4]])
+    assert graphs.first_sights(w).tolist() == [[0, 1, 0, 3], [0, 1, 0, 3], [0, 0, 0, 0]]
+    assert graphs.edge_counts(graphs.first_sights(w)).tolist() == [3, 3, 1]
 
 
 def test_line_scores_average_covering_windows(spark):
-    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate("aaaaaabcdbcaaaaaaa")], "k string, i int, tpl string")
-    windows = graphs.window_graphs(graphs.line_windows(lines, ["k"], "tpl", ["i"], 4), 4).where("proper")
-    got = {r.n - 1: r.line_score for r in graphs.line_scores(windows, ["k"], lambda w, x: F.size(F.filter(w, lambda y: y == x)) / F.lit(4.0), 4).collect()}
     t, want = "aaaaaabcdbcaaaaaaa", {}
+    lines = in_order(spark, [("t", i, x) for i, x in enumerate(t)], ["k"], ["i"])
+    got = {r.i: r.line_score for r in graphs.line_scores(lines, ["k"], ["i"], graphs.own_shares, width=4).collect()}
     for at in range(len(t) - 3):
         w = t[at : at + 4]
         if len(set(zip(w, w[1:]))) > 1:
             for i, x in enumerate(w):
                 want.setdefault(at + i, []).append(w.count(x) / 4)
     assert got == pytest.approx({i: sum(v) / len(v) for i, v in want.items()}) and 13 in got
+    assert not graphs.line_scores(lines.where("n < 4"), ["k"], ["i"], graphs.own_shares, width=4).collect()
+
+
+def test_line_scores_over_block_borders(spark):
+    r = np.random.default_rng(4)
+    t = r.integers(0, 4, 20_000)
+    lines = ordering.numbered(spark.createDataFrame([("t", i, int(x)) for i, x in enumerate(t)], "k string, i int, t long"), ["k"], ["i"])
+    got = {r.i: r.line_score for r in graphs.line_scores(lines, ["k"], ["i"], graphs.own_shares).where("i BETWEEN 8100 AND 8300 OR i > 19950").collect()}
+    for i in (8100, 8191, 8192, 8220, 19960, 19999):
+        starts = [s for s in range(i - 29, i + 1) if 0 <= s <= len(t) - 30]
+        assert got[i] == pytest.approx(np.mean([(t[s : s + 30] == t[i]).mean() for s in starts]))
 
 
-def test_numbered_in_ranges(spark):
+def test_numbered(spark):
     r = np.random.default_rng(1)
     rows = [(k, int(d), p) for k in ("a", None, "b") for d in r.permutation(40) for p in range(3)]
     df = spark.createDataFrame(rows, "k string, d long, p int")
-    got = {(x.k, x.d, x.p): x.n for x in ordering.numbered(df, ["k"], ["d", "p"], step=7).collect()}
-    assert got == {(k, d, p): 3 * d + p + 1 for k, d, p in rows}
-    dealt = ordering.blocks(ordering.numbered(df, ["k"], ["d", "p"]), 4, size=50).collect()
-    assert sum(x._own for x in dealt) == len(rows) and len(dealt) == len(rows) + 3 * 2 * 4
-    assert not ordering.numbered(df.limit(0), ["k"], ["d", "p"]).collect()
+    got = {(x.k, x.d, x.p): (x.n, x.all) for x in ordering.numbered(df, ["k"], ["d", "p"], total="all").collect()}
+    assert got == {(k, d, p): (3 * d + p + 1, 120) for k, d, p in rows}
+    dealt = ordering.blocks(ordering.numbered(df, ["k"], ["d", "p"]), 4, size=50, behind=3).collect()
+    assert sum(x._own for x in dealt) == len(rows) and len(dealt) == len(rows) + 3 * 2 * (4 + 3)
+    assert not ordering.numbered(df.limit(0), ["k"], ["d", "p"], ties=True).collect()
+
+
+@pytest.mark.parametrize("ids", ["hashed", "one document", "one row"])
+def test_ranges_are_bounded_in_rows(spark, ids):
+    """Sparse ids, one document with all lines, or one row again and again: no range holds much more than its share."""
+    d, p = {"hashed": (F.xxhash64("id"), F.lit(0)), "one document": (F.lit(7), F.col("id")), "one row": (F.lit(7), F.lit(0))}[ids]
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), d.cast("long").alias("d"), p.cast("long").alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.numbered(df, ["k"], ["d", "p"], ties=True)
+        held = [spark.read.parquet(f).count() for f in got.inputFiles() if "/ordered-" in f]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held) == 20_000 and max(held) < 10_000
+    rows = got.orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 20_001)) and [(r.d, r.p) for r in rows] == sorted((r.d, r.p) for r in rows)
+
+
+def test_running_and_carried(spark):
+    r = np.random.default_rng(2)
+    x = [None if v > 0.3 else float(v) for v in r.random(500)]
+    df = spark.createDataFrame([(k, i + 1, v) for k in ("a", None) for i, v in enumerate(x)], "k string, n long, v double")
+    both = ordering.carried(ordering.running(df, ["k"], "v", "total", size=37), ["k"], "v", "last", size=37).collect()
+    s = pd.Series(x, dtype=float)
+    for k in ("a", None):
+        got = sorted((y for y in both if y.k == k), key=lambda y: y.n)
+        assert [y.total if y.total is not None else 0.0 for y in got] == pytest.approx(s.fillna(0).cumsum().tolist())
+        assert [y.last for y in got] == [None if math.isnan(v) else v for v in s.ffill()]
+
+
+def test_asof_with_a_hot_key(spark):
+    """A key with nine tenths of the rows, many of them equal, against a merge of sorted tables."""
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame({"k": ["hot"] * 9000 + ["other"] * 1000, "x": np.round(r.random(10_000), 3), "i": range(10_000)})
+    table = pd.DataFrame({"k": ["hot"] * 300 + ["other"] * 50, "loss": np.round(r.random(350), 3)}).drop_duplicates()
+    table["score"] = np.arange(len(table), dtype=float)
+    left, right = spark.createDataFrame(rows), spark.createDataFrame(table)
+    back = {y.i: y.score for y in scoring.asof_backward(left, right, ["k"], "x", "loss", "score").collect()}
+    ahead = {y.i: y.score for y in scoring.asof_forward(left, right, ["k"], "x", "loss", "score").collect()}
+    rows, table = rows.sort_values("x"), table.sort_values("loss")
+    for got, how in ((back, {}), (ahead, {"direction": "forward", "allow_exact_matches": False})):
+        want = pd.merge_asof(rows, table, left_on="x", right_on="loss", by="k", **how)
+        assert got == {i: None if math.isnan(v) else v for i, v in zip(want["i"], want["score"])}
+
+
+@pytest.mark.parametrize("level", [0.0, 0.5, 0.95, 0.999, 1 - 1e-9])
+def test_value_at_a_place(spark, level):
+    r = np.random.default_rng(6)
+    x = {"a": r.normal(size=5001), "b": np.round(r.random(4000), 1), "c": np.array([3.0]), None: np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, values in x.items() for v in values] + [("a", None)]
+    got = {y.k: (y.threshold, y.n) for y in thresholds.value_at(spark.createDataFrame(rows, "k string, score double").repartition(5), ["k"], level).collect()}
+    assert got == {k: (float(np.sort(v)[int(np.floor(len(v) * level))]), len(v)) for k, v in x.items()}
+
+
+def test_tails_by_partial_sums(spark):
+    """Fits whose sums are added over many tasks equal the ones over all excesses at once."""
+    r = np.random.default_rng(7)
+    x = {i: np.abs(2.0 / g * ((1 - r.random(n)) ** -g - 1)) for i, (g, n) in enumerate([(0.3, 3000), (-0.3, 3000), (0.05, 500), (0.8, 40), (-0.8, 60), (0.2, 2)])}
+    x[9] = np.array([1.5])
+    rows = spark.createDataFrame([(i, float(v)) for i, values in x.items() for v in values], "id long, y double").repartition(7)
+    got = {y.id: y for y in thresholds.fit_tails(rows).collect()}
+    for i, y in x.items():
+        gamma, sigma, _ = thresholds.fit_tail(np.sort(y))
+        level = lambda g, s: s * math.log(10) if abs(g) < 1e-8 else s / g * (0.1**-g - 1)
+        assert got[i].n == len(y) and level(got[i].gamma, got[i].sigma) == pytest.approx(level(gamma, sigma), rel=1e-6)
+
+
+def test_best_cut_equals_trying_every_cut(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in ("a", None, "none"):
+        y = np.repeat(r.random(60) < (0.3 if k != "none" else 0), r.integers(1, 6, 60))
+        x = np.round(r.random(len(y)) + 0.3 * y, 2)
+        rows += [(k, i, float(a), bool(b)) for i, (a, b) in enumerate(zip(x, y))]
+        runs = np.cumsum(np.diff(y, prepend=y[:1]) != 0)
+        tried = []
+        for cut in np.unique(x):
+            p = x >= cut
+            for run in np.unique(runs[y]):
+                if p[runs == run].any():
+                    p[runs == run] = True
+            tp, fp, fn = (p & y).sum(), (p & ~y).sum(), (~p & y).sum()
+            a, b = tp / (tp + fp + 1e-5), tp / (tp + fn + 1e-5)
+            tried.append((round(2 * a * b / (a + b + 1e-5), 9), -cut, tp, fp, fn))
+        want[k] = max(tried)
+    got = thresholds.best_cut(spark.createDataFrame(rows, "k string, i int, x double, label boolean"), ["k"], "i", "x").collect()
+    assert {g.k: (round(g.f1, 9), -g.cut, g.tp, g.fp, g.fn) for g in got} == want
+
+
+def test_grid_sums(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, float(v)) for k in ("a", None) for v in r.random(300) * 9] + [("a", None), ("b", float("nan"))]
+    got = kernels.grid_sums(spark.createDataFrame(rows, "key string, v double").repartition(6), 10.0, 50, 0.5, fan=3).collect()
+    at = np.linspace(0, 10, 50)
+    for k in ("a", None):
+        v = np.array([x for key, x in rows if key == k and x is not None])
+        own = sorted((g.i, g.n, g.sum) for g in got if g.key == k)
+        assert [g[2] for g in own] == pytest.approx(np.exp(-0.5 * ((at[:, None] - v) / 0.5) ** 2).sum(axis=1).tolist()) and {g[1] for g in own} == {300}
+    assert {g.key for g in got} == {"a", None}
+
+
+def test_forward_scores(spark):
+    rows = spark.createDataFrame([(0.555, False), (0.555, True), (None, False), (0.98, True)], "c double, a boolean")
+    assert [r.s for r in rows.select(scoring.forward_score(F.col("c"), F.col("a")).alias("s")).collect()] == [72.2, 22.2, 5.0, 5.0]
+
+
+def test_values_by_key_do_not_collide(spark, tmp_path):
+    rows = spark.createDataFrame([("a:b", "c", 1), ("a", "b:c", 2), (None, "x", 3), ("x", None, 4), ("null", "x", 5)], "k string, l string, v int")
+    store.put(rows, str(tmp_path / "values"), ["k", "l"])
+    asked = rows.select("k", "l").union(spark.createDataFrame([("a:b:c", None)], "k string, l string"))
+    got = {(r.k, r.l): r.v for r in store.get(asked, str(tmp_path / "values"), ["k", "l"], "v int").collect()}
+    assert got == {("a:b", "c"): 1, ("a", "b:c"): 2, (None, "x"): 3, ("x", None): 4, ("null", "x"): 5, ("a:b:c", None): None}
 
 
 def test_templates_are_whole_lines(spark):
