@@ -28,6 +28,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
-from .tokens import MEMO, default_tokenizer, encoder, read_tokenizer, slices
+from .tokens import default_tokenizer, encoder, read_tokenizer, slices
 
 SHARES, PER_TASK = 32, 8_000_000  # parts of B's ids; pairs of one part that a task is given
 ID_BITS, DOC_BITS = 20, 24  # a link is B's place, A's id and the document's place in its block, in 64 bits
-HELD = 64 << 20  # bytes of aligned stretches that a worker remembers before it starts anew; bounds its memory, not the result
+HELD = 256 << 20  # bytes of aligned stretches that a worker remembers at most; bounds its memory, not the result
 _AFTER_WHITE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
@@ -114,20 +115,39 @@ class Aligner:
         self.written = [b"%d%b" % (i, mark) for side, ends in ((self.raw_a, (b",", b"|")), (self.raw_b, (b",", b";"))) for i in range(len(side)) for mark in ends]
         self.blank = self.b.encode("x ")[len(self.b.encode("x")) :]  # a last space: an empty text would get no id
         self.memo: dict[str, tuple[bytes, bytes, int] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes, int] | None] = {}
         self.held = 0
 
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of side A for all stretches, one after another, and how many each has."""
+        ids = [e.ids for e in self.a.library.encode_batch([" " + s for s in new], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(new))
+
+    def _fitting(self, new: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which stretches both sides give back byte by byte."""
+        want = [(" " + s).encode() for s in new]
+        whole, ends = b"".join(want), np.cumsum([len(w) for w in want])
+        fits = np.ones(len(new), bool)
+        for ids, n, raw, size in ((a, n_a, self.raw_a, self.size_a), (b, n_b, self.raw_b, self.size_b)):
+            lengths = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(n))]
+            if (lengths[1:] == ends).all() and b"".join(map(raw.__getitem__, ids.tolist())) == whole:
+                continue
+            at = np.append(0, np.cumsum(n)).tolist()
+            fits &= [b"".join(map(raw.__getitem__, ids[x:y].tolist())) == w for w, x, y in zip(want, at, at[1:])]
+        return fits
+
     def _learn(self, new: list[str]) -> None:
         """(groups, links, ids of A) of each new stretch; None where a side does not give its bytes back."""
-        want = [(" " + s).encode() for s in new]
-        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.a.encode([" " + s for s in new])]
+        a, n_a = self._ids(new)
         ids_b = [ids if s else self.blank for s, ids in zip(new, self.b.encode(new), strict=True)]
-        fits = [b"".join(map(self.raw_a.__getitem__, a.tolist())) == w and b"".join(map(self.raw_b.__getitem__, b)) == w for a, b, w in zip(ids_a, ids_b, want, strict=True)]
-        self.memo.update((s, None) for s, f in zip(new, fits, strict=True) if not f)
-        kept = [(s, a, b) for s, a, b, f in zip(new, ids_a, ids_b, fits, strict=True) if f]
-        if not kept:
+        b, n_b = np.fromiter(chain.from_iterable(ids_b), np.int64), np.fromiter(map(len, ids_b), np.int64, len(new))
+        fits = self._fitting(new, a, n_a, b, n_b)
+        if not fits.all():
+            self.memo.update((s, None) for s, f in zip(new, fits.tolist(), strict=True) if not f)
+            new = [s for s, f in zip(new, fits.tolist(), strict=True) if f]
+            a, b, n_a, n_b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)], n_a[fits], n_b[fits]
+        if not new:
             return
-        a, b = np.concatenate([k[1] for k in kept]), np.concatenate([np.asarray(k[2], np.int64) for k in kept])
-        n_a, n_b = (np.array([len(k[i]) for k in kept]) for i in (1, 2))
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         at_a, at_b, common = align(a, b, end_a, end_b)
         links = (self.place[b[at_b]] << (ID_BITS + DOC_BITS) | a[at_a] << DOC_BITS).astype("<u8").tobytes()
@@ -139,30 +159,35 @@ class Aligner:
         token_ends = np.cumsum(n_a + n_b)
         groups = np.diff(np.searchsorted(common, end_a[np.cumsum(n_a) - 1], side="right"), prepend=0)
         link_ends = np.cumsum(n_a + n_b - groups) * 8
-        codes, t, at = order.tolist(), 0, 0
-        for (s, own, _), t_end, l_end in zip(kept, token_ends.tolist(), link_ends.tolist(), strict=True):
-            entry = (b"".join(map(self.written.__getitem__, codes[t:t_end]))[:-1], links[at:l_end], len(own))
-            self.memo[s] = entry
-            self.held += len(entry[0]) + len(entry[1]) + 300
+        codes, t, at = list(map(self.written.__getitem__, order.tolist())), 0, 0
+        for s, own, t_end, l_end in zip(new, n_a.tolist(), token_ends.tolist(), link_ends.tolist(), strict=True):
+            self.memo[s] = (b"".join(codes[t:t_end])[:-1], links[at:l_end], own)
             t, at = t_end, l_end
+        self.held += sum(map(len, codes)) + len(links) + 300 * len(new)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[bytes, bytes, int] | None]:
         """(groups, links, ids of A) of each text; None where there are no tokens."""
         cut = [stretches(t) if t else [] for t in texts]
-        new = dict.fromkeys(s for parts in cut for s in parts if s not in self.memo)
-        if self.held > HELD or len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            self.held, new = 0, dict.fromkeys(s for parts in cut for s in parts)
-        todo = list(new)
+        if self.held > HELD // 2:  # two generations: stretches that are met again move to the new one
+            self.old, self.memo, self.held = self.memo, {}, 0
+        memo, old = self.memo, self.old
+        todo = []
+        for s in set(chain.from_iterable(cut)).difference(memo):
+            if s in old:
+                memo[s] = entry = old[s]
+                self.held += 300 + (len(entry[0]) + len(entry[1]) if entry else 0)
+            else:
+                todo.append(s)
         for i in range(0, len(todo), 20_000):
             self._learn(todo[i : i + 20_000])
         out = []
         for parts in cut:
-            got = list(map(self.memo.__getitem__, parts))
+            got = list(map(memo.__getitem__, parts))
             if not got or None in got:
                 out.append(None)
             else:
-                out.append((b";".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])))
+                groups, links, own = zip(*got)
+                out.append((b";".join(groups), b"".join(links), sum(own)))
         return out
 
 
