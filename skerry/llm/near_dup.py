@@ -23,8 +23,8 @@ befalls a link at the threshold itself less than once in 10**5 and a closer one
 (measured in the tests: none of 2,000 links at the threshold).
 
 Rows: null, empty and blank texts have an empty set, are linked with nothing and kept; fewer
-words than ``width`` are one shingle; long texts are read whole; rows with null doc_id join the component of an equal set
-but name none, and are kept where it has no doc_id at all; repeated doc_ids keep their rows; other columns are ignored; an empty table gives no rows.
+words than ``width`` are one shingle; long texts are read whole; rows with null doc_id are linked as others are and join
+components but name none, and are kept where theirs has no doc_id at all; repeated doc_ids keep their rows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,11 +135,11 @@ def _name(shingles: bytes) -> tuple[int, int]:
     return low - (1 << 63), high - (1 << 63)
 
 
-FEATURES = "doc_id long, n_shingles long, node long, proof long, sketch binary"
+FEATURES = "doc_id long, n_shingles long, node long, proof long, name long, sketch binary"
 
 
 def _features(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("name", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -149,7 +149,7 @@ def _features(width: int):
                 sketch = registers(sets)
                 name = [_name(s.tobytes()) if len(s) else (None, None) for s in sets]
                 node, proof = (pa.array([x[i] for x in name], pa.int64()) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), node, proof, pa.array([r.tobytes() for r in sketch], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), node, proof, node, pa.array([r.tobytes() for r in sketch], pa.binary())], schema=schema)
 
     return run
 
@@ -188,6 +188,21 @@ def _sets(width: int):
     return run
 
 
+def _named_sets(width: int):
+    """The set of each text with both halves of the hash that names it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for batch in batches:
+            for part in slices(batch):
+                found = [s.tobytes() for s in map(shingles, part.column("text").to_pylist()) if len(s)]
+                names = [_name(s) for s in found]
+                halves = [pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*halves, pa.array(found, pa.binary())], names=["name", "proof", "shingles"])
+
+    return run
+
+
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,9 +263,9 @@ def _blocks(num: int, den: int):
 
 
 def classes_of(features: DataFrame) -> DataFrame:
-    """A row for each node: least doc_id, sketch, size, and its least and last proof."""
+    """A row for each node: least doc_id, sketch, size, its least and last proof, and the first half of the hash that names its set."""
     some = features.where("n_shingles > 0").groupBy("node")
-    return materialize(some.agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.min("proof").alias("proof"), F.max("proof").alias("last")), "classes")
+    return materialize(some.agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.min("proof").alias("proof"), F.max("proof").alias("last"), F.min("name").alias("name")), "classes")
 
 
 def told_apart(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,11 +322,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str =
     left, right = classes.select("node", "sketch", "n"), classes.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.col("n").alias("pivot_n"))
     likely = materialize(pairs.join(left, "node").join(right, "pivot").mapInArrow(_likely(float(limit)), "node long, pivot long"), "likely")
 
-    # full sets of the classes that meet another one: the shingles of one of their texts
+    # full sets of the classes that meet another one: the shingles of one of their texts, found by its doc_id, or by its set's name where no row has one
     meets = members.where("size > 2").select("node").union(likely.select("node")).union(likely.select("pivot")).distinct()
-    chosen = classes.join(meets, "node").select("node", "proof", F.col("least").alias("doc_id"))
-    texts = rows.join(chosen, "doc_id")
+    chosen = classes.join(meets, "node").select("node", "proof", "name", F.col("least").alias("doc_id"))
+    texts = rows.join(chosen.drop("name"), "doc_id")
     sets = texts.select("node", "proof", "text").mapInArrow(_sets(width), "node long, shingles binary")
+    nameless = rows.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(_named_sets(width), "name long, proof long, shingles binary")
+    sets = sets.unionByName(nameless.join(chosen.where("doc_id IS NULL").drop("doc_id"), ["name", "proof"]).select("node", "shingles"))
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
     links = materialize(likely.join(sets, "node").join(pivots, "pivot").select("node", "pivot", "shingles", "pivot_shingles").mapInArrow(_confirm(num, den), "a long, b long"), "links")

@@ -7,9 +7,15 @@ shared Kneser-Ney distribution of the shorter context, whose orders count distin
 in both classes; a context that a class doesn't know leaves all to the shared one. So an
 inflected or rare expression is judged by the letter sequences that it shares with known
 ones. The classes' discounts have the ratio of their sizes (``DISCOUNT`` in the smaller one), so that an
-expression as frequent in both loses the same share in both. A document's score is the
-difference of its two log-likelihoods over all its words, each as often as it stands there,
-divided by its number of letters and word ends, and put through a logistic curve fitted to the labelled rows.
+expression as frequent in both loses the same share in both.
+
+The words of a text are compared one by one, each by the ratio of its two likelihoods (``MOST`` at most, as a
+logarithm), and the text's score is the logarithm of the mean of these ratios over its words: the
+likelihood that a word at some place of it, none preferred, is the toxic model's, against that of ordinary words
+alone, normalised by the number of places. So a single expression stands out of a long text, where a mean of
+logarithms would drown it. Both log-likelihoods by letter are given beside it. The score goes through a
+logistic curve fitted to the labelled rows, whose middle lies at the cut with the fewest wrong rows among them, a missed
+toxic one counted as ``MISSED``.
 
 Counts come from every labelled row (never held-out ones): the documents that have a word
 are counted by a partially aggregated groupBy, and letter sequences from the counted words.
@@ -17,7 +23,7 @@ Sequences, contexts and continuations are tables that grow with the corpus; so a
 log-probabilities of all sequences of all documents' distinct words, counted or not, which are joined with
 these words. The values of the ``CACHE`` words that most documents have go to the tasks, so that
 documents send only their other words to a join: a cache, which changes no result, as
-log-probabilities are added up in whole units of 2**-30.
+log-probabilities and ratios are added up in whole units of 2**-30 and 2**-24.
 
 Rows: null and empty texts have no letters and get the curve's value at 0; null doc_ids
 are held out; repeated doc_ids are all scored, equal texts alike; long texts are read whole; without labels of both classes every
@@ -32,6 +38,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +49,8 @@ from .tokens import slices
 
 ORDER, DISCOUNT, SHARED_DISCOUNT = 5, 3.0, 0.75
 UNIT = 1 << 30  # whole units of a log-probability
+MOST, RATIO_UNIT = 8.0, 1 << 24  # the largest logarithm of a word's ratio that counts, and whole units of ratios
+MISSED = 3.0
 CACHE, CACHED_LETTERS = 200_000, 64
 _WORD = re.compile(r"\w+")
 
@@ -187,17 +196,18 @@ def _spell(order: int):
 
 
 def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> DataFrame:
-    """(word, docs, toxic, plain): both log-likelihoods of each distinct word, and how many documents have it."""
+    """(word, docs, toxic, plain, ratio): both log-likelihoods of each distinct word, their ratio, and how many documents have it."""
     counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
     words = counted.groupBy("word").agg(F.sum("plain").alias("docs")).withColumn("id", F.monotonically_increasing_id())
     words = materialize(words, "vocabulary")
     spelt = words.select("id", "word").mapInArrow(_spell(order), "id long, gram string")
     scores = materialize(models.scores(spelt.select("gram").distinct()), "scores")
     values = spelt.join(scores, "gram").groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    return materialize(words.join(values, "id").select("word", "docs", "toxic", "plain"), "values")
+    ratio = F.exp(F.least((F.col("toxic") - F.col("plain")) / F.lit(float(UNIT)), F.lit(MOST)))
+    return materialize(words.join(values, "id").select("word", "docs", "toxic", "plain", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
 
 
-def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int]]:
+def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int, int]]:
     """At most ``most`` of the words that most documents have, with their values."""
     step = F.floor(F.log2("docs") * 4)
     short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
@@ -209,11 +219,11 @@ def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int]]:
         cut = r.step
     if cut is None:
         return {}
-    return {w: (t, p) for w, t, p in short.where(F.col("step") >= cut).select("word", "toxic", "plain").toPandas().itertuples(index=False, name=None)}
+    return {w: v for w, *v in short.where(F.col("step") >= cut).select("word", "toxic", "plain", "ratio").toPandas().itertuples(index=False, name=None)}
 
 
 def _partly(cached):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("toxic", pa.int64()), ("plain", pa.int64()), ("letters", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("toxic", pa.int64()), ("plain", pa.int64()), ("ratio", pa.int64()), ("letters", pa.int64()), ("words", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = cached.value
@@ -222,7 +232,7 @@ def _partly(cached):
                 rows = []
                 for text in part.column("text").to_pylist():
                     words = Counter(words_of(text))
-                    toxic = plain = letters = 0
+                    toxic = plain = ratio = letters = 0
                     rest = []
                     for w, n in words.items():
                         letters += n * (len(w) + 1)
@@ -232,7 +242,8 @@ def _partly(cached):
                         else:
                             toxic += n * v[0]
                             plain += n * v[1]
-                    rows.append((toxic, plain, letters, rest, [words[w] for w in rest]))
+                            ratio += n * v[2]
+                    rows.append((toxic, plain, ratio, letters, words.total(), rest, [words[w] for w in rest]))
                 columns = [pa.array(c, schema.field(i + 2).type) for i, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *columns], schema=schema)
 
@@ -244,20 +255,23 @@ def _key(text):
 
 
 def text_differences(docs: DataFrame, models: ClassModels, order: int = ORDER, cache: int = CACHE) -> DataFrame:
-    """(doc_id, key, toxic, plain, difference) of every document: both log-likelihoods and their difference, each by letter.
+    """(doc_id, key, toxic, plain, difference) of every document: both log-likelihoods by letter, and the logarithm of the mean ratio of its words.
 
     ``key`` is the text's digest.
     """
     values = word_values(docs, models, order)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_cached(values, cache))
-    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, toxic long, plain long, letters long, rest array<string>, times array<bigint>")
+    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, toxic long, plain long, ratio long, letters long, words long, rest array<string>, times array<bigint>")
     partly = materialize(partly.withColumn("row", F.monotonically_increasing_id()), "partly")
     other = partly.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), "x.times")
-    other = other.join(values.drop("docs"), "word").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in ("toxic", "plain")))
-    each = {c: F.when(F.col("letters") > 0, (F.col(c) + F.coalesce(f"other_{c}", F.lit(0))) / F.lit(float(UNIT)) / F.col("letters")).otherwise(0.0) for c in ("toxic", "plain")}
-    whole = partly.drop("rest", "times").join(other, "row", "left").select("doc_id", "key", *(v.alias(c) for c, v in each.items()))
-    return whole.withColumn("difference", F.col("toxic") - F.col("plain"))
+    sums = ("toxic", "plain", "ratio")
+    other = other.join(values.drop("docs"), "word").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in sums))
+    toxic, plain, ratio = (F.col(c) + F.coalesce(f"other_{c}", F.lit(0)) for c in sums)
+    by_letter = lambda c: F.when(F.col("letters") > 0, c / F.lit(float(UNIT)) / F.col("letters")).otherwise(0.0)
+    difference = F.when(F.col("words") > 0, F.log(F.greatest(ratio, F.lit(1)) / F.lit(float(RATIO_UNIT)) / F.col("words"))).otherwise(0.0)
+    whole = partly.drop("rest", "times").join(other, "row", "left")
+    return whole.select("doc_id", "key", by_letter(toxic).alias("toxic"), by_letter(plain).alias("plain"), difference.alias("difference"))
 
 
 class ToxicityModel:
@@ -280,6 +294,14 @@ class ToxicityModel:
         return docs.join(rejected, _key(docs["text"]) == F.col("_rejected"), "left_anti")
 
 
+def best_middle(x: np.ndarray, positive: np.ndarray, total: np.ndarray, missed: float = MISSED) -> float:
+    """The cut between ascending places with the fewest wrong rows, positive ones below it weighed by ``missed``; the lowest of equals."""
+    wrong = missed * np.append(0, np.cumsum(positive)) + np.append(np.cumsum((total - positive)[::-1])[::-1], 0)
+    at = int(wrong.argmin())
+    between = np.concatenate([x[:1] - 1, (x[:-1] + x[1:]) / 2, x[-1:] + 1])
+    return float(between[at])
+
+
 def count_sequences(docs: DataFrame, y: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, toxic, plain): the letter sequences of all labelled rows that are not held out, by the documents that have their words."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out()).join(y, "doc_id")
@@ -303,7 +325,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> tupl
     if len(bins):
         total, positive = bins["n"].to_numpy(float), bins["y"].to_numpy(float)
         if 0 < positive.sum() < total.sum():
-            model.slope, model.offset = logistic(bins["x"].to_numpy(float), positive, total)
+            x = bins["x"].to_numpy(float)
+            model.slope, model.offset = logistic(x, positive, total)
+            if model.slope > 0:
+                model.offset = -model.slope * best_middle(x, positive, total)
         else:
             model.offset = 700.0 if positive.sum() else -700.0
     else:

@@ -349,7 +349,7 @@ def test_blocks_meet_where_sizes_allow_a_link(spark):
 
 def test_classes_that_share_a_node_are_told_apart(spark):
     rows = [(1, 3, 7, 10), (2, 3, 7, 10), (3, 4, 7, 11), (4, 5, 7, 12), (5, 3, 8, 10), (6, 0, None, None)]
-    rows = spark.createDataFrame([(*r, b"") for r in rows], near_dup.FEATURES)
+    rows = spark.createDataFrame([(*r, r[2], b"") for r in rows], near_dup.FEATURES)
     features, classes = near_dup.told_apart(rows)
     node = {r.doc_id: r.node for r in features.collect()}
     assert node[1] == node[2] == 7 and node[5] == 8 and node[6] is None and len({node[i] for i in (1, 3, 4, 5)}) == 4
@@ -385,6 +385,15 @@ def test_estimate_keeps_links():
     assert lost == 0
 
 
+def test_rows_without_id_link_others(spark):
+    """Two texts that only a third one without an id links are one component; so are rows that all lack one."""
+    words = [f"w{i}" for i in range(240)]
+    text = lambda at: " ".join(words[at : at + 200])
+    rows = spark.createDataFrame([(1, text(0)), (None, text(9)), (2, text(18)), (None, "x " + text(30)[:300]), (None, "x " + text(30)[:300])], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, 3, "0.85").collect()), key=str)
+    assert got == [(1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (None, None, True)]
+
+
 def test_near_duplicates_on_documents(spark):
     """All links of the real table, against brute force."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -510,7 +519,19 @@ def test_likelihoods_are_the_plain_ones(spark):
             memo |= {g: score(g) for g in grams if g not in memo}
             for c, name in enumerate(("toxic", "plain")):
                 assert r[name] == pytest.approx(sum(np.log(memo[g][c]) for g in grams) / max(1, len(grams)), abs=1e-7)
-            assert r.difference == pytest.approx(r.toxic - r.plain)
+            ratios = [min(np.exp(toxicity.MOST), np.exp(sum(np.log(memo[g][1]) - np.log(memo[g][0]) for g in toxicity.sequences(w)) * -1)) for w in toxicity.words_of(dict(rows.collect())[r.doc_id])]
+            assert r.difference == pytest.approx(np.log(np.mean(ratios)) if ratios else 0, abs=1e-6)
+
+
+def test_toxicity_of_single_expressions(spark):
+    """One expression in a long text is found: recall and false positives among held-out rows of a table with few labels."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(8), spark.read.parquet(f"{sf}/labels.parquet")
+    _, held = accuracy(toxicity.score_toxicity(d, labels).collect(), labels, "toxic")
+    y, score = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+    assert (score[y == 1] > np.quantile(score[y == 0], 0.99)).mean() >= 0.85
+    flagged = np.array([h[0] for h in held])
+    assert flagged[y == 1].mean() >= 0.85 and flagged[y == 0].mean() <= 0.01
 
 
 SECRETS = [
