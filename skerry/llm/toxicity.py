@@ -13,7 +13,7 @@ The words of a text are compared one by one, each by the ratio of its two likeli
 logarithm), and the text's score is the logarithm of the mean of these ratios over its words: the
 likelihood that a word at some place of it, none preferred, is the toxic model's, against that of ordinary words
 alone, normalised by the number of places. So a single expression stands out of a long text, where a mean of
-logarithms would drown it. Both log-likelihoods by letter are given beside it. The score goes through a
+logarithms would drown it. The score goes through a
 logistic curve fitted to the labelled rows, whose middle lies at the cut with the fewest wrong rows among them, a missed
 toxic one counted as ``MISSED``.
 
@@ -196,7 +196,7 @@ def _spell(order: int):
 
 
 def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> DataFrame:
-    """(word, docs, toxic, plain, ratio): both log-likelihoods of each distinct word, their ratio, and how many documents have it."""
+    """(word, docs, ratio): the ratio of each distinct word's two likelihoods in whole units, and how many documents have it."""
     counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
     words = counted.groupBy("word").agg(F.sum("plain").alias("docs")).withColumn("id", F.monotonically_increasing_id())
     words = materialize(words, "vocabulary")
@@ -204,10 +204,10 @@ def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> Dat
     scores = materialize(models.scores(spelt.select("gram").distinct()), "scores")
     values = spelt.join(scores, "gram").groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
     ratio = F.exp(F.least((F.col("toxic") - F.col("plain")) / F.lit(float(UNIT)), F.lit(MOST)))
-    return materialize(words.join(values, "id").select("word", "docs", "toxic", "plain", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
+    return materialize(words.join(values, "id").select("word", "docs", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
 
 
-def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int, int]]:
+def _cached(values: DataFrame, most: int) -> dict[str, int]:
     """At most ``most`` of the words that most documents have, with their values."""
     step = F.floor(F.log2("docs") * 4)
     short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
@@ -219,11 +219,11 @@ def _cached(values: DataFrame, most: int) -> dict[str, tuple[int, int, int]]:
         cut = r.step
     if cut is None:
         return {}
-    return {w: v for w, *v in short.where(F.col("step") >= cut).select("word", "toxic", "plain", "ratio").toPandas().itertuples(index=False, name=None)}
+    return dict(short.where(F.col("step") >= cut).select("word", "ratio").toPandas().itertuples(index=False, name=None))
 
 
 def _partly(cached):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("toxic", pa.int64()), ("plain", pa.int64()), ("ratio", pa.int64()), ("letters", pa.int64()), ("words", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("ratio", pa.int64()), ("words", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = cached.value
@@ -232,18 +232,14 @@ def _partly(cached):
                 rows = []
                 for text in part.column("text").to_pylist():
                     words = Counter(words_of(text))
-                    toxic = plain = ratio = letters = 0
-                    rest = []
+                    ratio, rest = 0, []
                     for w, n in words.items():
-                        letters += n * (len(w) + 1)
                         v = values.get(w)
                         if v is None:
                             rest.append(w)
                         else:
-                            toxic += n * v[0]
-                            plain += n * v[1]
-                            ratio += n * v[2]
-                    rows.append((toxic, plain, ratio, letters, words.total(), rest, [words[w] for w in rest]))
+                            ratio += n * v
+                    rows.append((ratio, words.total(), rest, [words[w] for w in rest]))
                 columns = [pa.array(c, schema.field(i + 2).type) for i, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *columns], schema=schema)
 
@@ -255,23 +251,20 @@ def _key(text):
 
 
 def text_differences(docs: DataFrame, models: ClassModels, order: int = ORDER, cache: int = CACHE) -> DataFrame:
-    """(doc_id, key, toxic, plain, difference) of every document: both log-likelihoods by letter, and the logarithm of the mean ratio of its words.
+    """(doc_id, key, difference) of every document: the logarithm of the mean ratio of its words.
 
     ``key`` is the text's digest.
     """
     values = word_values(docs, models, order)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_cached(values, cache))
-    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, toxic long, plain long, ratio long, letters long, words long, rest array<string>, times array<bigint>")
+    partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, ratio long, words long, rest array<string>, times array<bigint>")
     partly = materialize(partly.withColumn("row", F.monotonically_increasing_id()), "partly")
     other = partly.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), "x.times")
-    sums = ("toxic", "plain", "ratio")
-    other = other.join(values.drop("docs"), "word").groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"other_{c}") for c in sums))
-    toxic, plain, ratio = (F.col(c) + F.coalesce(f"other_{c}", F.lit(0)) for c in sums)
-    by_letter = lambda c: F.when(F.col("letters") > 0, c / F.lit(float(UNIT)) / F.col("letters")).otherwise(0.0)
-    difference = F.when(F.col("words") > 0, F.log(F.greatest(ratio, F.lit(1)) / F.lit(float(RATIO_UNIT)) / F.col("words"))).otherwise(0.0)
+    other = other.join(values.drop("docs"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("ratio")).alias("other"))
+    mean = F.greatest(F.col("ratio") + F.coalesce("other", F.lit(0)), F.lit(1)) / F.lit(float(RATIO_UNIT)) / F.col("words")
     whole = partly.drop("rest", "times").join(other, "row", "left")
-    return whole.select("doc_id", "key", by_letter(toxic).alias("toxic"), by_letter(plain).alias("plain"), difference.alias("difference"))
+    return whole.select("doc_id", "key", F.when(F.col("words") > 0, F.log(mean)).otherwise(0.0).alias("difference"))
 
 
 class ToxicityModel:
