@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.operators import serving
 from skerry.sources import store
 from skerry.sources.relations import LOG_SQL, METRIC_SQL, log_lines, table
-from skerry.streaming import jobs
+from skerry.sources.written import folder
 
 from .detection import KEYS, SCORED_SQL, scored
 from .logs import BY, log_window_line_avg_score
@@ -114,7 +114,7 @@ SELECT * FROM st UNION ALL SELECT DISTINCT target_id, 'none', NULL, NULL FROM st
 def key_value_lookup(spark, sf_dir):
     """Statistics written as values by key and read back for all keys asked, of which one for each target has no value."""
     stats = points(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.max("real_value"), 6).alias("top"))
-    path = jobs.folder(spark, "values")
+    path = folder(spark, "values")
     store.put(stats, path, KEYS)
     asked = stats.select(*KEYS)
     asked = asked.unionByName(asked.select("target_id", F.lit("none").alias("name")).distinct())
