@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text
 from skerry.operators import frames, models, serving, smoothing
-from skerry.sources import relations, sinks
+from skerry.sources import envelopes, relations, sinks
 from skerry.sources.relations import METRIC_SQL
+from skerry.sources.written import folder
 
 from .logs import KEY_SQL, RARE_SQL, SHAPED_SQL, rarity, shaped
 from .metrics import BAND_SQL, points, r
@@ -20,12 +21,28 @@ KEYS = ["target_id", "name"]
 @query(f"WITH {METRIC_SQL} SELECT target_id, inst_type, name, time, round(real_value, 6) AS real_value, CAST(NULL AS VARCHAR) AS error_code FROM mp")
 def request_envelope_parse(spark, sf_dir):
     """Points as requests in JSON (a header and an untyped body) and read back from them."""
-    p = points(spark, sf_dir).withColumn("day", F.to_date("time"))  # a request holds a day of one target
+    return relations.parse_envelopes(requests(points(spark, sf_dir))).select("target_id", "inst_type", "name", "time", r("real_value"), "error_code")
+
+
+def requests(p):
+    """Requests in JSON, each with a day of one target's points."""
+    p = p.withColumn("day", F.to_date("time"))  # a request holds a day of one target
     cell = F.create_map(F.lit("time"), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.col("name"), F.format_string("%.17g", "real_value"))
     bodies = p.groupBy("target_id", "inst_type", "day").agg(F.collect_list(cell).alias("body"))
     header = F.struct(F.lit("1").alias("sys_id"), "target_id", "inst_type")
-    raw = bodies.select(F.to_json(F.struct(F.lit("module").alias("id1"), F.lit("2024-01-30 00:00:00").alias("standard_datetime"), header.alias("header"), "body")).alias("value"))
-    return relations.parse_envelopes(raw).select("target_id", "inst_type", "name", "time", r("real_value"), "error_code")
+    return bodies.select(F.to_json(F.struct(F.lit("module").alias("id1"), F.lit("2024-01-30 00:00:00").alias("standard_datetime"), header.alias("header"), "body")).alias("value"), "day")
+
+
+@query(f"WITH {METRIC_SQL} SELECT target_id, inst_type, name, time, round(real_value, 6) AS real_value, CAST(NULL AS VARCHAR) AS error_code FROM mp")
+def request_envelope_stream(spark, sf_dir):
+    """The same requests in a folder for each day, read as a stream by the data source."""
+    spark.dataSource.register(envelopes.Envelopes)
+    root, out = folder(spark, "requests"), folder(spark, "requests-read")
+    requests(points(spark, sf_dir)).write.partitionBy("day").text(root)
+    stream = spark.readStream.format("envelopes").load(root)
+    stream.writeStream.format("parquet").option("checkpointLocation", folder(spark, "requests-state")).trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.schema(envelopes.SCHEMA).parquet(out)
+    return rows.select("target_id", "inst_type", "name", "time", r("real_value"), "error_code")
 
 
 @query(f"""WITH {BAND_SQL}, an AS (SELECT target_id, name, time, CASE WHEN real_value > upper THEN 'upper' ELSE 'lower' END AS side FROM bd WHERE (real_value > upper OR real_value < lower) AND real_value >= 0.1)
@@ -40,6 +57,21 @@ def baseline_result_assembly(spark, sf_dir):
     return out.select(*KEYS, "time", "predict_value", "predict_lower", "predict_upper", F.coalesce("side", F.lit("")).alias("anomaly_side"))
 
 
+@query(f"""WITH {BAND_SQL}, an AS (SELECT *, real_value - CASE WHEN real_value > upper THEN upper ELSE lower END AS deviation FROM bd WHERE (real_value > upper OR real_value < lower) AND real_value >= 0.1)
+SELECT b.target_id, b.name, b.time, round(b.real_value, 6) AS real_value, round(b.mu, 6) AS dbsln_value, round(b.lower, 6) AS dbsln_lower, round(b.upper, 6) AS dbsln_upper,
+  an.target_id IS NOT NULL AS is_anomaly, CASE WHEN an.target_id IS NOT NULL THEN round(b.mu, 6) END AS avg, CASE WHEN an.target_id IS NOT NULL THEN round((b.upper - b.mu) / 2, 6) END AS std,
+  round(an.deviation, 6) AS deviation, CASE WHEN an.target_id IS NOT NULL THEN round((b.real_value - b.mu) / nullif((b.upper - b.mu) / 2, 0), 4) END AS zscore
+FROM bd b LEFT JOIN an ON b.target_id = an.target_id AND b.name = an.name AND b.time = an.time""")
+def baseline_result_columns(spark, sf_dir):
+    """Each point with its band, and where it is outside the columns of its anomaly; the band is two deviations wide on either side."""
+    rows = smoothing.band(points(spark, sf_dir), 24, 2.0)
+    std = (F.col("upper") - F.col("mean_before")) / 2
+    away = F.col("real_value") - F.when(F.col("real_value") > F.col("upper"), F.col("upper")).otherwise(F.col("lower"))
+    only = lambda c: F.when(F.col("anomaly"), c)
+    return rows.select(*KEYS, "time", r("real_value"), F.round("mean_before", 6).alias("dbsln_value"), F.round("lower", 6).alias("dbsln_lower"), F.round("upper", 6).alias("dbsln_upper"), F.col("anomaly").alias("is_anomaly"),
+        only(F.round("mean_before", 6)).alias("avg"), only(F.round(std, 6)).alias("std"), only(F.round(away, 6)).alias("deviation"), only(F.round(F.try_divide(F.col("real_value") - F.col("mean_before"), std), 4)).alias("zscore"))
+
+
 @query(f"""WITH {BAND_SQL}, fl AS (SELECT target_id, name, time, ((real_value > upper OR real_value < lower) AND real_value >= 0.1)::INTEGER AS f FROM bd),
 w AS (SELECT *, avg(f) OVER x AS ratio, count(f) OVER x AS n FROM fl WINDOW x AS (PARTITION BY target_id, name ORDER BY time ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT target_id, name, count(*) AS windows, count(*) FILTER (ratio < 0.06) AS kept FROM w WHERE n = 60 GROUP BY 1, 2""")

@@ -674,3 +674,25 @@ def alarm_level_lookup(spark, sf_dir):
     rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(("critical", "warning"), DEFAULT_LEVEL)})
     level = F.when(F.col("n") <= F.col("critical"), "critical").when(F.col("n") <= F.col("warning"), "warning").otherwise("normal")
     return rows.select("target_id", "time", "critical", "warning", level.alias("level"))
+
+
+#: alarm levels of a system's alarm types as ranges of a count of anomalous steps; the default row takes all others (fixed values)
+ALARM_LEVELS, ALARM_DEFAULT = [("1", "was", "1,2", "3,4", "5,9"), ("1", "db", "2,4", "5,7", "8,9")], ("1,3", "4,5", "6,7")
+
+
+@query(f"""WITH {ANOM_SQL}, al AS (SELECT * FROM (VALUES ('1', 'was', '1,2', '3,4', '5,9'), ('1', 'db', '2,4', '5,7', '8,9')) v(sys_id, alarm_type, attention_level, warning_level, critical_level)),
+dy AS (SELECT '1' AS sys_id, inst_type, target_id, CAST(time AS DATE) AS day, count(*) FILTER (normality_score < 50) AS n FROM gr GROUP BY 2, 3, 4),
+jn AS (SELECT dy.*, coalesce(attention_level, '1,3') AS attention_level, coalesce(warning_level, '4,5') AS warning_level, coalesce(critical_level, '6,7') AS critical_level FROM dy LEFT JOIN al ON dy.sys_id = al.sys_id AND dy.inst_type = al.alarm_type)
+SELECT sys_id, inst_type, target_id, day, n, attention_level, warning_level, critical_level,
+  CASE WHEN n >= CAST(split_part(critical_level, ',', 1) AS INTEGER) THEN 'critical' WHEN n >= CAST(split_part(warning_level, ',', 1) AS INTEGER) THEN 'warning' WHEN n >= CAST(split_part(attention_level, ',', 1) AS INTEGER) THEN 'attention' END AS level FROM jn""")
+def alarm_levels_by_system(spark, sf_dir):
+    """Each target's day by the number of its anomalous steps: three levels by system and alarm type, or those of the default row."""
+    raw = scored(spark, sf_dir).groupBy("inst_type", "target_id", "time").agg(F.avg("score").alias("raw"))
+    bad = F.count_if(scoring.floored(F.col("raw")) < 50).alias("n")
+    days = raw.groupBy(F.lit("1").alias("sys_id"), "inst_type", "target_id", F.to_date("time").alias("day")).agg(bad)
+    names = ["attention_level", "warning_level", "critical_level"]
+    levels = spark.createDataFrame(ALARM_LEVELS, "sys_id string, inst_type string, " + ", ".join(f"{n} string" for n in names))
+    rows = days.join(levels, ["sys_id", "inst_type"], "left").withColumns({n: F.coalesce(n, F.lit(v)) for n, v in zip(names, ALARM_DEFAULT)})
+    first = lambda c: F.split_part(F.col(c), F.lit(","), F.lit(1)).cast("int")
+    level = F.when(F.col("n") >= first("critical_level"), "critical").when(F.col("n") >= first("warning_level"), "warning").when(F.col("n") >= first("attention_level"), "attention")
+    return rows.select("sys_id", "inst_type", "target_id", "day", "n", *names, level.alias("level"))

@@ -224,6 +224,29 @@ def log_next_template_topk(spark, sf_dir):
     return ranked.groupBy("target_id").agg(F.sum("weight").alias("lines"), F.coalesce(F.sum(F.when(F.col("k") > 5, F.col("weight"))), F.lit(0)).alias("anomalies"))
 
 
+@query(f"""WITH {SHAPED_SQL}, mid AS (SELECT (min(doc_id) + max(doc_id)) // 2 AS m FROM documents), pl AS (SELECT target_id, doc_id, tpl AS dst, lag(tpl) OVER (PARTITION BY target_id ORDER BY doc_id, pos) AS src FROM sh),
+te AS (SELECT target_id, src, dst, count(*) AS weight FROM pl, mid WHERE doc_id < m AND src IS NOT NULL GROUP BY 1, 2, 3), tk AS (SELECT *, row_number() OVER (PARTITION BY target_id, src ORDER BY weight DESC, dst) AS k FROM te),
+fc AS (SELECT target_id, tpl, count(*) AS n FROM sh, mid WHERE doc_id < m GROUP BY 1, 2), fq AS (SELECT target_id, tpl FROM (SELECT *, sum(n) OVER (PARTITION BY target_id) AS total FROM fc) x WHERE n >= 0.01 * total)
+SELECT pl.target_id, count(*) AS lines, count(*) FILTER (tk.k IS NULL OR tk.k > 5) AS unexpected, count(*) FILTER ((tk.k IS NULL OR tk.k > 5) AND fq.tpl IS NULL) AS anomalies
+FROM pl JOIN mid ON pl.doc_id >= m LEFT JOIN tk ON pl.target_id = tk.target_id AND pl.src = tk.src AND pl.dst = tk.dst LEFT JOIN fq ON pl.target_id = fq.target_id AND pl.dst = fq.tpl WHERE pl.src IS NOT NULL GROUP BY 1""")
+def log_next_template_served(spark, sf_dir):
+    """Lines from the serving minute on whose template is neither among the five that followed the line before most often until then, nor frequent until then."""
+    middle = table(spark, sf_dir, "documents").agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0]
+    rows = templated(spark, sf_dir)
+    texts = rows.groupBy("t").agg(F.first("tpl").alias("tpl"))
+    near = ordering.blocks(in_order(rows), 0, behind=1)
+    steps = near.withColumn("src", F.lag("t").over(Window.partitionBy(*BY, "_block").orderBy("n"))).where("_own").select(*BY, "doc_id", "src", F.col("t").alias("dst"))
+    steps = written(steps, "steps")
+    early = F.col("doc_id") < F.lit(middle)
+    known = steps.where(early & F.col("src").isNotNull()).groupBy(*BY, "src", "dst").agg(F.count("*").alias("weight")).join(texts.withColumnRenamed("t", "dst"), "dst")
+    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy(*BY, "src").orderBy(F.col("weight").desc(), "tpl"))).where("k <= 5").select(*BY, "src", "dst", F.lit(True).alias("expected"))
+    counts = steps.where(early).groupBy(*BY, "dst").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(Window.partitionBy(*BY)))
+    frequent = counts.where("c >= 0.01 * total").select(*BY, "dst", F.lit(True).alias("frequent"))
+    served = steps.where(~early & F.col("src").isNotNull()).join(ranked, [*BY, "src", "dst"], "left").join(frequent, [*BY, "dst"], "left")
+    odd = F.col("expected").isNull()
+    return served.groupBy(*BY).agg(F.count("*").alias("lines"), F.count_if(odd).alias("unexpected"), F.count_if(odd & F.col("frequent").isNull()).alias("anomalies"))
+
+
 @query()
 def log_alarm_message_json(spark, sf_dir):
     return alarm_messages(rarity(spark, sf_dir).where("sparse AND keyword IS NOT NULL"))

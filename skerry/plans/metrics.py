@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import frames, smoothing
-from skerry.sources.relations import METRIC_SQL, metric_points, table
+from skerry.sources.relations import METRIC_SQL, kind_of, metric_points, table
 
 from .registry import query
 
@@ -327,3 +327,20 @@ def training_mode_by_days(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(days.alias("days"))
     d = F.col("days")
     return rows.withColumn("mode", F.when(d < 2, -1).when(d < 7, 0).when(d < 14, 1).when(d < 56, 2).otherwise(3))
+
+
+@query(f"""WITH {METRIC_SQL}, ev AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, CASE user_id % 3 WHEN 0 THEN 'was' WHEN 1 THEN 'db' ELSE 'os' END || '_' || CAST(user_id % 3 AS VARCHAR) AS target_id FROM events),
+ba AS (SELECT target_id, event_type AS name, isodow(ts) - 1 AS weekday, strftime(ts, '%H:%M') AS minute, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM ev WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3, 4),
+sv AS (SELECT target_id, event_type AS name, date_trunc('minute', ts) AS time, count(*) AS seen FROM ev WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3)
+SELECT sv.target_id, sv.name, sv.time, sv.seen, ba.n, round(ba.cents / (100.0::DOUBLE * ba.n), 4) AS baseline FROM sv LEFT JOIN ba ON sv.target_id = ba.target_id AND sv.name = ba.name AND isodow(sv.time) - 1 = ba.weekday AND strftime(sv.time, '%H:%M') = ba.minute""")
+def baseline_by_minute_and_weekday(spark, sf_dir):
+    """Served minutes with the baseline of their weekday and minute of the day, null where there is none."""
+    rows = table(spark, sf_dir, "events")
+    own = F.concat_ws("_", kind_of(F.col("user_id")), (F.col("user_id") % 3).cast("string")).alias("target_id")
+    rows = rows.select(own, F.col("event_type").alias("name"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("time"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    keyed = rows.withColumns({"weekday": F.weekday("time"), "minute": F.date_format("time", "HH:mm")})
+    split = F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))
+    known = keyed.where(F.col("time") < split).groupBy("target_id", "name", "weekday", "minute").agg(F.count("*").alias("n"), (F.sum("cents") / (100.0 * F.count("*"))).alias("baseline"))
+    served = keyed.where(F.col("time") >= split).groupBy("target_id", "name", "time", "weekday", "minute").agg(F.count("*").alias("seen"))
+    found = served.join(known, ["target_id", "name", "weekday", "minute"], "left")
+    return found.select("target_id", "name", "time", "seen", "n", F.round("baseline", 4).alias("baseline"))

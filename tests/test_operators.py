@@ -14,7 +14,8 @@ from skerry.operators import frames, graphs, kernels, miner, models, ordering, s
 from skerry.plans.detection import trend
 from skerry.plans.logs import alarm_messages
 from skerry.plans.metrics import flatline
-from skerry.sources import relations, sinks, store
+from skerry.sources import envelopes, relations, sinks, store, tables
+from skerry.streaming import jobs
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -425,3 +426,72 @@ def test_small_serving_functions(spark):
     drawn = [sorted(r.id for r in serving.draw(spark.range(100).repartition(n), ["id"], 10, 3).collect()) for n in (1, 5)]
     assert len(drawn[0]) == 10 and drawn[0] == drawn[1]
     assert serving.draw(spark.range(3), ["id"], 10, 3).count() == 3 and serving.draw(spark.range(0), ["id"], 10, 3).count() == 0
+
+
+def test_bucketed_upserts_replay(spark, tmp_path):
+    """A batch that runs again changes nothing, and buckets that it doesn't touch aren't rewritten."""
+    schema = "k string, at int, v string"
+    table = tables.Bucketed(str(tmp_path / "t"), ["k"], "at", buckets=4)
+    first = spark.createDataFrame([(f"k{i}", 1, "old") for i in range(20)], schema)
+    second = spark.createDataFrame([("k3", 2, "new"), ("k3", 1, "late"), ("x", 1, "add")], schema)
+    table.merge(first, 0)
+    table.merge(second, 1)
+    want = sorted(tuple(r) for r in table.read(spark, first.schema).collect())
+    assert want == sorted([(f"k{i}", 1, "old") for i in range(20) if i != 3] + [("k3", 2, "new"), ("x", 1, "add")])
+    assert set(table.manifest.read(spark, 1).values()) == {0, 1}
+    table.merge(second, 1)
+    table.merge(second.limit(0), 2)
+    assert sorted(tuple(r) for r in table.read(spark, first.schema).collect()) == want
+    assert not tables.Bucketed(str(tmp_path / "none"), ["k"], "at").read(spark, first.schema).collect()
+
+
+def test_sinks_take_a_batch_together(spark, tmp_path):
+    """A failure between two sinks leaves nothing to read; the batch run again is there once in both."""
+    broken = []
+
+    def second(batch):
+        if broken:
+            raise RuntimeError("between the sinks")
+        return batch.groupBy().count()
+
+    both = tables.Together(str(tmp_path / "s"), {"rows": lambda b: b, "counts": second})
+    both.write(spark.range(3), 0)
+    broken.append(True)
+    with pytest.raises(RuntimeError, match="between"):
+        both.write(spark.range(5), 1)
+    read = lambda: (both.read(spark, "rows", "id long").count(), sorted(r["count"] for r in both.read(spark, "counts", "count long").collect()))
+    assert read() == (3, [3])
+    broken.clear()
+    both.write(spark.range(5), 1)
+    both.write(spark.range(5), 1)
+    assert read() == (8, [3, 5])
+
+
+def test_rolling_buffer_over_restarts(spark):
+    rows = spark.createDataFrame([("t", "m", T0 + datetime.timedelta(hours=i), float(i)) for i in range(9)], "target_id string, name string, time timestamp_ntz, real_value double")
+    got = jobs.rolled(jobs.Feed(rows, "time", again="2 HOURS"), 4).collect()
+    hour = lambda r: (r.time.replace(tzinfo=None) - T0).seconds // 3600
+    assert sorted((hour(r), r.n, r.mean) for r in got if r.error_code is None) == [(i, min(i + 1, 4), sum(range(max(0, i - 3), i + 1)) / min(i + 1, 4)) for i in range(9)]
+    assert sorted((hour(r), r.batch) for r in got if r.error_code) == [(1, 1), (2, 1), (4, 2), (5, 2)]
+
+
+def test_envelopes_as_a_source(spark, tmp_path):
+    """Minutes of requests in a folder: a stream that stops after each gives the batch's rows, malformed ones as error rows."""
+    spark.dataSource.register(envelopes.Envelopes)
+    root, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    stream = None
+    for minute in range(3):
+        at = f"2024-01-01 00:0{minute}:00"
+        metric = {"id1": "x", "standard_datetime": at, "header": {"sys_id": "1", "target_id": "t", "inst_type": "was"}, "body": [{"time": at, "cpu": str(minute), "mem": "bad"}]}
+        log = {"id1": "y", "standard_datetime": at, "header": {"sys_id": "1", "target_id": "l", "inst_type": "log"}, "body": [{"time": at, "path": "/a", "line": 4, "log": "one \u00e9"}]}
+        (root / f"minute={minute:03}").mkdir(parents=True)
+        (root / f"minute={minute:03}" / "part.json").write_text("\n".join([json.dumps(metric), json.dumps(log), "not json", '{"id1": "z", "body": 5}', ""]), encoding="utf-8")
+        stream = spark.readStream.format("envelopes").load(root.as_uri())
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        assert spark.read.parquet(out).count() == 5 * (minute + 1)
+    batch = spark.read.format("envelopes").load(root.as_uri())
+    rows = sorted(map(tuple, batch.collect()), key=str)
+    assert rows == sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
+    found = {(r.name, r.real_value, r.message, r.line, r.error_code) for r in batch.where("minute = 'minute=002'").collect()}
+    assert found == {("cpu", 2.0, None, None, None), ("mem", None, None, None, "E703"), ("/a", None, "one é", 4, None), (None, None, None, None, "E703")}
+    assert not spark.read.format("envelopes").load((tmp_path / "none").as_uri()).collect()
