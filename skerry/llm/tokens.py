@@ -7,6 +7,7 @@ pattern, and only pieces that a worker has not met are given to the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -54,6 +55,20 @@ def _near_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _is_plain(content: str) -> bool:
+    """Whether a piece's ids are those that the model alone gives to its bytes' letters."""
+    made = json.loads(content)
+    first = made.get("pre_tokenizer") or {}
+    return made.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and all(t["special"] for t in made.get("added_tokens") or [])
+
+
 class Cutter:
     """Cuts a text into the pattern's pieces; the pieces joined are the text."""
 
@@ -80,8 +95,18 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.cut, self.memo = Cutter(), {}
+        self.model, self.letters = self.library.model if _is_plain(content) else None, _byte_letters()
 
     def _learn(self, pieces: list[str]) -> None:
+        if self.model is not None:  # half the time of the way through the library's normalizer, cutter and offsets
+            for at in range(0, len(pieces), 20_000):
+                part, flat, ends = pieces[at : at + 20_000], [], []
+                for piece in part:
+                    flat += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                    ends.append(4 * len(flat))
+                raw = np.array(flat, dtype="<u4").tobytes()
+                self.memo.update((piece, raw[a:b]) for piece, a, b in zip(part, [0, *ends], ends))
+            return
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -97,11 +122,11 @@ class Encoder:
         """One entry for each text; null and empty texts have no ids."""
         cut = [self.cut(t) if t else [] for t in texts]
         memo = self.memo
-        new = dict.fromkeys(p for pieces in cut for p in pieces if p not in memo)
+        new = set().union(*cut).difference(memo)
         if new:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
-                new = dict.fromkeys(p for pieces in cut for p in pieces)
+                new = set().union(*cut)
             self._learn(list(new))
         return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
 

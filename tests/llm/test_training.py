@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import json
 import re
 import zlib
 from fractions import Fraction
@@ -57,6 +58,19 @@ def test_encoder_special_strings(library, own):
     assert np.frombuffer(own.encode(["a<|endoftext|>b"])[0], "<u4").tolist() == library("a<|endoftext|>b")
 
 
+def test_pieces_by_the_model_alone(own):
+    """A plain byte-level vocabulary's pieces go to its model, others' through the whole library, with the same ids."""
+    content = tokens.read_tokenizer(tokens.default_tokenizer())
+    plain, through = tokens.Encoder(content), tokens.Encoder(content)
+    assert plain.model is not None
+    through.model = None
+    texts = ["".join(map(chr, range(c, c + 64))) for c in range(0, 0x800, 64)] + ["<|endoftext|> \u20ac \U0001f600\n\n  x", "", None]
+    assert plain.encode(texts) == through.encode(texts)
+    made = json.loads(content)
+    for changed in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}}):
+        assert tokens.Encoder(json.dumps(made | changed)).model is None
+
+
 def test_encoder_forgets_and_stays_right(library, own, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 3)
     text = "one two three four five"
