@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,8 @@ def structure(text: str, words: Counter) -> np.ndarray:
     ]).clip(0, 1)
 
 
-def featurize(text: str | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text; ``places`` remembers words' places."""
+def measures(text: str | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's word places, distinct and ascending, and its structure; ``places`` remembers words' places."""
     words = Counter(_WORD.findall(text or ""))
     for w in words:
         if w not in places:
@@ -68,13 +68,36 @@ def featurize(text: str | None, places: dict[str, int]) -> tuple[np.ndarray, np.
             places[w] = zlib.crc32(w.lower().encode()) & ((1 << WORD_BITS) - 1)
     own = np.fromiter({places.get(w, zlib.crc32(w.lower().encode()) & ((1 << WORD_BITS) - 1)) for w in words}, np.int64)
     own.sort()
-    form, base = structure(text or "", words), 1 << WORD_BITS
+    return own, structure(text or "", words)
+
+
+def features(own: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a text's measures."""
+    base = 1 << WORD_BITS
     steps = base + STATISTICS + np.arange(STATISTICS) * STEPS + np.minimum(STEPS - 1, (form * STEPS).astype(np.int64))
     numbers = np.concatenate([own, base + np.arange(STATISTICS), steps])
     values = np.concatenate([np.full(len(own), 1 / np.sqrt(max(1, len(own)))), form, np.full(STATISTICS, 0.5)])
     return numbers, values.astype(np.float32)
 
 
+def featurize(text: str | None, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a text; ``places`` remembers words' places."""
+    return features(*measures(text, places))
+
+
+class Sample(Sequence):
+    """Features of the sample's rows, made when asked for from two bytes a word and the structure, which is all that the driver holds."""
+
+    def __init__(self, own: pa.ChunkedArray, form: pa.ChunkedArray) -> None:
+        self.own, self.form = own, form
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return features(np.frombuffer(self.own[i].as_buffer(), np.uint16).astype(np.int64), np.frombuffer(self.form[i].as_buffer(), np.float64))
+
+
 class Machine:
     """Weights of a factorisation machine."""
 
@@ -94,7 +117,7 @@ class Machine:
         squares = np.add.reduceat(v * v, starts, axis=0)
         return self.bias + np.add.reduceat(self.linear[at] * x, starts) + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, ridge: float = 1e-5, seed: int = 7) -> Machine:
+    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, ridge: float = 1e-5, seed: int = 7) -> Machine:
         """Logistic loss by AdaGrad over shuffled batches."""
         order, share = np.random.default_rng(seed), min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
@@ -120,12 +143,12 @@ class Machine:
         return self
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places: dict[str, int] = {}
     for batch in batches:
         for part in slices(batch):
-            got = [featurize(t, places) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([b.tolist() for _, b in got], pa.list_(pa.float32()))], names=["doc_id", "y", "at", "x"])
+            got = [measures(t, places) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([a.astype(np.uint16).tobytes() for a, _ in got], pa.binary()), pa.array([b.tobytes() for _, b in got], pa.binary())], names=["doc_id", "y", "own", "form"])
 
 
 def _score(machine):
@@ -159,11 +182,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mac
     y = training_labels(labels, "quality")
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.mapInArrow(_sparse, "doc_id long, y int, at array<int>, x array<float>").orderBy("doc_id").toPandas()
-    if not len(got):
+    got = rows.mapInArrow(_measured, "doc_id long, y int, own binary, form binary").orderBy("doc_id").toArrow()
+    if not got.num_rows:
         return None
-    features = [(np.asarray(a, np.int64), np.asarray(x, np.float32)) for a, x in zip(got["at"], got["x"], strict=True)]
-    return Machine().fit(features, got["y"].to_numpy(np.float32))
+    return Machine().fit(Sample(got["own"], got["form"]), got["y"].to_numpy().astype(np.float32))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

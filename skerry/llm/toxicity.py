@@ -207,8 +207,8 @@ def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> Dat
     return materialize(words.join(values, "id").select("word", "docs", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
 
 
-def _cached(values: DataFrame, most: int) -> dict[str, int]:
-    """At most ``most`` of the words that most documents have, with their values."""
+def _cached(values: DataFrame, most: int) -> pa.Table:
+    """(word, ratio): at most ``most`` of the words that most documents have, with their values."""
     step = F.floor(F.log2("docs") * 4)
     short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
     cut, left = None, most
@@ -217,16 +217,14 @@ def _cached(values: DataFrame, most: int) -> dict[str, int]:
         if left < 0:
             break
         cut = r.step
-    if cut is None:
-        return {}
-    return dict(short.where(F.col("step") >= cut).select("word", "ratio").toPandas().itertuples(index=False, name=None))
+    return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word", "ratio").toArrow()
 
 
 def _partly(cached):
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("ratio", pa.int64()), ("words", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = cached.value
+        values = dict(zip(*(cached.value[c].to_pylist() for c in ("word", "ratio")), strict=True))
         for batch in batches:
             for part in slices(batch):
                 rows = []

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -439,6 +440,32 @@ def test_quality(spark, docs, none):
     assert quality.of_quality(docs, labels).columns == docs.columns
 
 
+def test_quality_sample_is_small_on_the_driver(spark, monkeypatch):
+    """When fitting begins, Python holds less than four bytes a feature; rows have the features of their texts."""
+    sf, held, before = "/root/testdata/sf0.01", {}, 0
+
+    def fit(self, rows, y):
+        held["bytes"] = tracemalloc.get_traced_memory()[0] - before
+        held["rows"] = [rows[i] for i in range(len(rows))]
+        return self
+
+    monkeypatch.setattr(quality.Machine, "fit", fit)
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine_bytes = sum(a.nbytes for a in (quality.Machine().linear, quality.Machine().factors))
+    quality.fit_quality(d, labels)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    quality.fit_quality(d, labels)
+    tracemalloc.stop()
+    assert held["bytes"] - machine_bytes < 4 * sum(len(a) for a, _ in held["rows"]) + 300_000
+    known = {r.doc_id for r in quality.training_labels(labels, "quality").collect()}
+    texts = [r.text for r in d.where("text IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").collect() if r.doc_id in known]
+    assert len(texts) == len(held["rows"]) > 100
+    for text, (at, x) in zip(texts, held["rows"], strict=True):
+        a, b = quality.featurize(text, {})
+        assert (at == a).all() and (x == b).all()
+
+
 def test_machine_identity():
     m = quality.Machine(size=30, rank=4)
     m.linear[:] = np.arange(30) / 10
