@@ -693,6 +693,21 @@ def test_bpe_blocks(spark, tiktoken_encode, monkeypatch):
     assert {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs).collect()} == {i: tiktoken_encode(t) for i, t in texts}
 
 
+def test_bpe_cached_pieces(spark, tiktoken_encode, monkeypatch):
+    """A block folds only pieces that the cache lacks; any cache gives the same ids."""
+    texts = [(i, " ".join(["ababab aaaaaaa", f"xqzzyx{i}q", "ünïcödé" * (i % 3)])) for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {i: tiktoken_encode(t or "") for i, t in texts}
+    for cache in (0, 3, 10_000):
+        assert {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, cache=cache).collect()} == want
+    known = bpe.frequent_pieces(docs, bpe.Vocabulary(), 3)
+    assert known["ids"].to_pylist() == [tiktoken_encode(w) for w in known["word"].to_pylist()] and known.num_rows == 3
+    sent = type("Sent", (), {"value": known})
+    pieces = docs.select("doc_id", bpe.Vocabulary().pieces(F.coalesce("text", F.lit(""))).alias("pieces")).toArrow().to_batches()
+    for b in bpe._opened(sent)(iter(pieces)):
+        assert not set(b.column("words")[0].as_py()) & set(known["word"].to_pylist()) and sum(k >= 0 for k in b.column("known")[0].as_py()) == 3
+
+
 def test_displacement_finds_all():
     keys = [i * i + 1 for i in range(3000)]
     shift, slots = bpe.displaced(keys)
