@@ -15,6 +15,8 @@ literal array and joins them.
 
 A block is what one task has read, up to BLOCK_PIECES pieces (or one batch of rows); numbering
 its distinct pieces and laying their ids out by document are Arrow calls, so nothing is shuffled.
+Between these two calls a block goes through Spark in short rows, its distinct pieces first and then its
+documents, so that Spark holds the ids of some thousand pieces at once and not those of a block.
 Pieces that many blocks have are folded once and not in each of them: the CACHE most frequent pieces of about
 CACHE_ROWS documents are folded first and sent to the tasks with their ids. The cache saves work and
 changes no result: every piece of every document is looked up in it, and what it lacks is folded in its block.
@@ -27,6 +29,7 @@ repeated doc_ids are kept; other columns are ignored; an empty table gives no ro
 from __future__ import annotations
 
 import base64
+import copy
 import json
 from collections.abc import Iterator
 
@@ -37,14 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import task_count
-
-NONE = 2**31 - 1  # no token
+NONE = -1  # no token; a small number, as Java has one object for all that are equal
 NO_RANK = 1 << 16  # no pair
 EDGE = (1 << 16) - 1  # stands before and after a piece's ids; in no pair
 PLACE, RANK = 16, 46  # first bits of an element's place and rank
 BLOCK_PIECES = 4_000_000  # pieces held at once by a task, some 100 MB
+ROW_PIECES, WORD_ROWS = 250_000, 16_384  # pieces of documents, and distinct pieces, in a row between Python and Spark: a megabyte or less
 CACHE, CACHE_ROWS = 400_000, 16_000  # pieces sent with their ids, some 12 MB, and the documents that they are from
+CACHE_PART = 20_000  # of them folded by a task
 
 #: Fixed value: the pattern of the public byte-level vocabularies, with Unicode white space as they have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
@@ -195,6 +198,25 @@ class Vocabulary:
         """Ids of one piece that is not empty: one token, or the fold."""
         return _let(self.whole(word), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(self.fold(word)))
 
+    def encode_words(self, words: Column) -> Column:
+        """Ids of each of an array's pieces; each table stands once in the expression, however often it is looked into.
+
+        A literal that stands there again is another copy of its boxed numbers in every task.
+        """
+
+        def bound(own: Vocabulary, names: tuple[str, ...]) -> Column:
+            if not names:
+                return F.transform(words, own.encode_word)
+
+            def within(table: Column) -> Column:
+                inner = copy.copy(own)
+                setattr(inner, names[0], table)
+                return bound(inner, names[1:])
+
+            return _let(getattr(own, names[0]), within)
+
+        return bound(self, ("offsets", "slots", "single", "hexes", "word_shift", "word_ids"))
+
     def fold(self, word: Column) -> Column:
         """Ids of one piece by its merges."""
         edge = lambda place: F.array(F.lit((NO_RANK << RANK) + (place << PLACE) + EDGE))
@@ -267,31 +289,64 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and ids of a block's documents, from the ids of its distinct pieces."""
+    """doc_id and ids of documents, from rows in order: the ids of a block's distinct pieces, then its documents."""
+    held, encoded, lengths = [], None, None
     for b in batches:
         for i in range(b.num_rows):
-            doc_ids, counts, places, encoded = (b.column(c)[i].values for c in ("doc_ids", "counts", "places", "encoded"))
-            lengths = encoded.value_lengths().to_numpy(zero_copy_only=False)
+            doc_ids, counts, places, more = (b.column(c)[i].values for c in ("doc_ids", "counts", "places", "encoded"))
+            if len(more):
+                if encoded is not None:  # the first of the next block
+                    held, encoded, lengths = [], None, None
+                held.append(more)
+            if not len(doc_ids):
+                continue
+            if encoded is None:
+                encoded = pa.concat_arrays(held) if held else more
+                held, lengths = [], encoded.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(counts.to_numpy())])
-            at = 0
-            while at < len(doc_ids):  # some documents at a time
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_PIECES // 16, "right")) - 1)
+            for at, to in _runs(ends):
                 part = places.slice(ends[at], ends[to] - ends[at])
                 starts = np.concatenate([[0], np.cumsum(lengths[part.to_numpy()])])[ends[at : to + 1] - ends[at]]
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), encoded.take(part).flatten())], ["doc_id", "ids"])
-                at = to
+
+
+def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents from and to, some ROW_PIECES pieces at a time (or one document), from where their pieces end."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + ROW_PIECES, "right")) - 1)
+        yield at, to
+        at = to
+
+
+_ROW = pa.schema([("doc_ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("counts", "places", "known")), ("words", pa.list_(pa.string()))])
+
+
+def _rows(block: pa.RecordBatch, known: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A block in short rows: its distinct pieces, WORD_ROWS at a time and only those as text that the cache lacks; then its documents."""
+    doc_ids, counts, places, words = (block.column(c)[0].values for c in ("doc_ids", "counts", "places", "words"))
+    none, no_ids, no_words = pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.string())
+
+    def row(doc_ids, counts, places, known, words) -> pa.RecordBatch:
+        columns = [_one(pa.int64(), doc_ids), _one(pa.int32(), counts), _one(pa.int32(), places), _one(pa.int32(), known), _one(pa.string(), words)]
+        return pa.RecordBatch.from_arrays(columns, schema=_ROW)
+
+    for at in range(0, len(words), WORD_ROWS):
+        part = known.slice(at, WORD_ROWS)
+        yield row(no_ids, none, none, part, words.slice(at, WORD_ROWS).filter(pc.less(part, 0)))
+    ends = np.concatenate([[0], np.cumsum(counts.to_numpy())])
+    for at, to in _runs(ends):
+        yield row(doc_ids.slice(at, to - at), counts.slice(at, to - at), places.slice(ends[at], ends[to] - ends[at]), none, no_words)
 
 
 def _opened(sent):
-    """Blocks whose words are only those that the cache lacks; ``known`` has each piece's place in the cache, or -1."""
+    """Blocks in short rows whose words are only those that the cache lacks; ``known`` has each distinct piece's place in the cache, or -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = sent.value["word"].combine_chunks()
         for b in _blocks(batches):
-            words = b.column("words")[0].values
-            known = pc.fill_null(pc.index_in(words, value_set=cached), -1)
-            columns = [_one(pa.int32(), known), _one(pa.string(), words.filter(pc.less(known, 0)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["doc_ids", "counts", "places", "known", "words"])
+            known = pc.fill_null(pc.index_in(b.column("words")[0].values, value_set=cached), -1)
+            yield from pa.Table.from_batches(_rows(b, known), schema=_ROW).combine_chunks().to_batches()
 
     return run
 
@@ -306,7 +361,7 @@ def _closed(sent):
             for i in range(b.num_rows):
                 known, folded = b.column("known")[i].values.to_numpy(), b.column("encoded")[i].values.cast(kind)
                 at = np.where(known < 0, len(cached) + np.cumsum(known < 0) - 1, known)
-                encoded = pa.concat_arrays([cached, folded]).take(pa.array(at))
+                encoded = pa.concat_arrays([cached, folded]).take(pa.array(at)) if len(at) else folded
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("doc_ids", "counts", "places")), _one(kind, encoded)], ["doc_ids", "counts", "places", "encoded"])
 
     return lambda batches: _laid_out(whole(batches))
@@ -317,7 +372,8 @@ def frequent_pieces(docs: DataFrame, own: Vocabulary, most: int = CACHE, rows: i
     n = docs.count()
     words = docs.sample(min(1.0, rows / max(1, n)), seed=7).select(F.explode(own.pieces(F.coalesce("text", F.lit("")))).alias("word"))
     words = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
-    return words.repartition(task_count(docs.sparkSession)).select("word", own.encode_word(F.col("word")).alias("ids")).toArrow()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-most // CACHE_PART))  # each task gets the tables anew
+    return words.repartition(parts).select("word", F.get(own.encode_words(F.array("word")), F.lit(0)).alias("ids")).toArrow()
 
 
 def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str = PATTERN, cache: int = CACHE) -> DataFrame:
@@ -326,7 +382,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str = P
     sent = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, own, cache))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.pieces(F.coalesce("text", F.lit(""))).alias("pieces"))
     blocks = rows.mapInArrow(_opened(sent), "doc_ids array<bigint>, counts array<int>, places array<int>, known array<int>, words array<string>")
-    encoded = blocks.select("doc_ids", "counts", "places", "known", F.transform("words", own.encode_word).alias("encoded"))
+    encoded = blocks.select("doc_ids", "counts", "places", "known", own.encode_words(F.col("words")).alias("encoded"))
     return encoded.mapInArrow(_closed(sent), "doc_id long, ids array<int>").withColumn("decoded", own.decode(F.col("ids")))
 
 

@@ -708,6 +708,29 @@ def test_bpe_cached_pieces(spark, tiktoken_encode, monkeypatch):
         assert not set(b.column("words")[0].as_py()) & set(known["word"].to_pylist()) and sum(k >= 0 for k in b.column("known")[0].as_py()) == 3
 
 
+def test_bpe_short_rows(spark, monkeypatch):
+    """Between Python and Spark no row holds a block, and no table stands twice in the expression: both fill an executor's memory."""
+    texts = {i: [f"w{i % 5}", " xy", f" z{i}", " xy"] * (i % 4) for i in range(40)}
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids], pa.list_(pa.string()))], ["doc_id", "pieces"]) for ids in (range(4, 25), [0, 8], range(25, 40), [4])]
+    sent = type("Sent", (), {"value": pa.table({"word": [" xy", "w1"], "ids": pa.array([[ord(c) for c in w] for w in (" xy", "w1")], pa.list_(pa.int32()))})})
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 1)
+    monkeypatch.setattr(bpe, "ROW_PIECES", 20)
+    monkeypatch.setattr(bpe, "WORD_ROWS", 6)
+    coded = []
+    for b in bpe._opened(sent)(iter(batches)):
+        words = b.column("words").to_pylist()
+        assert max(len(w) for w in words) <= 6 and max(len(p) for p in b.column("places").to_pylist()) <= 20 and not {" xy", "w1"} & set(sum(words, []))
+        coded.append(pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([[[ord(c) for c in w] for w in row] for row in words], pa.list_(pa.list_(pa.int32())))], ["doc_ids", "counts", "places", "known", "encoded"]))
+    assert len(coded) == 3  # the batch without pieces waits for the next
+    got = [(r["doc_id"], "".join(map(chr, r["ids"]))) for r in pa.Table.from_batches(bpe._closed(sent)(iter(coded))).to_pylist()]
+    assert got == [(i, "".join(texts[i])) for i in [*range(4, 25), 0, 8, *range(25, 40), 4]]
+    own, tables = bpe.Vocabulary(), ("offsets", "slots", "single", "hexes", "word_shift", "word_ids")
+    for t in tables:
+        setattr(own, t, F.col(f"the_{t}"))
+    made = str(own.encode_words(F.col("words")))
+    assert [made.count(f"the_{t}") for t in tables] == [1] * 6
+
+
 def test_displacement_finds_all():
     keys = [i * i + 1 for i in range(3000)]
     shift, slots = bpe.displaced(keys)
