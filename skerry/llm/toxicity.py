@@ -21,9 +21,9 @@ Counts come from every labelled row (never held-out ones): the documents that ha
 are counted by a partially aggregated groupBy, and letter sequences from the counted words.
 Sequences, contexts and continuations are tables that grow with the corpus; so are the
 log-probabilities of all sequences of all documents' distinct words, counted or not, which are joined with
-these words. The values of the ``CACHE`` words that most documents have go to the tasks, so that
-documents send only their other words to a join: a cache, which changes no result, as
-log-probabilities and ratios are added up in whole units of 2**-30 and 2**-24.
+these words. The values of the ``CACHE`` sequences that most words have, and later of the ``CACHE`` words that most documents
+have, go to the tasks, so that words send only their other sequences, and documents only their other words, to a join:
+caches, which change no result, as log-probabilities and ratios are added up in whole units of 2**-30 and 2**-24.
 
 Rows: null and empty texts have no letters and get the curve's value at 0; null doc_ids
 are held out; repeated doc_ids are all scored, equal texts alike; long texts are read whole; without labels of both classes every
@@ -176,48 +176,63 @@ class ClassModels:
         return rows.select("gram", "toxic", "plain")
 
 
-def _spell(order: int):
-    schema = pa.schema([("id", pa.int64()), ("gram", pa.string())])
+def _valued(sent, order: int):
+    """Each word's sum of the differences of its sequences that were sent; the others in ``rest``, null without any."""
+    schema = pa.schema([("word", pa.string()), ("docs", pa.int64()), ("difference", pa.int64()), ("rest", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = dict(zip(*(sent.value[c].to_pylist() for c in ("gram", "difference")), strict=True))
         for batch in batches:
-            ids, grams = [], []
-            for key, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
+            sums, rest = [], []
+            for word in batch.column("word").to_pylist():
                 own = sequences(word, order)
-                ids += [key] * len(own)
-                grams += own
-                if len(ids) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], schema=schema)
-                    ids, grams = [], []
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], schema=schema)
+                found = [values.get(g) for g in own]
+                if None in found:
+                    rest.append([g for g, v in zip(own, found, strict=True) if v is None])
+                    sums.append(sum(v for v in found if v is not None))
+                else:
+                    rest.append(None)
+                    sums.append(sum(found))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("docs"), pa.array(sums, pa.int64()), pa.array(rest, pa.list_(pa.string()))], schema=schema)
 
     return run
 
 
-def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER) -> DataFrame:
-    """(word, docs, ratio): the ratio of each distinct word's two likelihoods in whole units, and how many documents have it."""
-    counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
-    words = counted.groupBy("word").agg(F.sum("plain").alias("docs")).withColumn("id", F.monotonically_increasing_id())
-    words = materialize(words, "vocabulary")
-    spelt = words.select("id", "word").mapInArrow(_spell(order), "id long, gram string")
-    scores = materialize(models.scores(spelt.select("gram").distinct()), "scores")
-    values = spelt.join(scores, "gram").groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    ratio = F.exp(F.least((F.col("toxic") - F.col("plain")) / F.lit(float(UNIT)), F.lit(MOST)))
-    return materialize(words.join(values, "id").select("word", "docs", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
-
-
-def _cached(values: DataFrame, most: int) -> pa.Table:
-    """(word, ratio): at most ``most`` of the words that most documents have, with their values."""
-    step = F.floor(F.log2("docs") * 4)
-    short = values.where(F.length("word") <= CACHED_LETTERS).withColumn("step", step)
+def _frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """At most ``most`` of the rows with the largest counts, cut between steps of the count's logarithm."""
+    stepped = rows.withColumn("step", F.floor(F.log2(count) * 4))
     cut, left = None, most
-    for r in short.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():
+    for r in stepped.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():
         left -= r.n
         if left < 0:
             break
         cut = r.step
-    return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word", "ratio").toArrow()
+    return stepped.where(F.lit(False) if cut is None else F.col("step") >= cut).drop("step")
+
+
+def word_values(docs: DataFrame, models: ClassModels, order: int = ORDER, cache: int = CACHE) -> DataFrame:
+    """(word, docs, ratio): the ratio of each distinct word's two likelihoods in whole units, and how many documents have it.
+
+    The ``cache`` sequences that most words have go to the tasks with their values; only words with others are joined.
+    """
+    counted = docs.where(F.col("text").isNotNull()).select("text", F.lit(0).alias("y")).mapInArrow(_count_words, "word string, toxic long, plain long")
+    words = materialize(counted.groupBy("word").agg(F.sum("plain").alias("docs")), "vocabulary")
+    spelt = words.select("word", F.lit(0).alias("toxic"), F.lit(1).alias("plain")).mapInArrow(_count_sequences(order), "gram string, toxic long, plain long")
+    grams = materialize(spelt.groupBy("gram").agg(F.sum("plain").alias("n")), "spelt")
+    scores = models.scores(grams.select("gram")).select("gram", (F.col("toxic") - F.col("plain")).alias("difference"))
+    scores = materialize(scores.join(grams, "gram"), "scores")
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(scores, "n", cache).select("gram", "difference").toArrow())
+    valued = materialize(words.mapInArrow(_valued(sent, order), "word string, docs long, difference long, rest array<string>"), "valued")
+    other = valued.select("word", F.explode("rest").alias("gram")).join(scores.drop("n").withColumnRenamed("difference", "more"), "gram").groupBy("word").agg(F.sum("more").alias("more"))
+    joined = valued.where(F.col("rest").isNotNull()).join(other, "word").select("word", "docs", (F.col("difference") + F.col("more")).alias("difference"))
+    values = valued.where(F.col("rest").isNull()).select("word", "docs", "difference").unionByName(joined)
+    ratio = F.exp(F.least(F.col("difference") / F.lit(float(UNIT)), F.lit(MOST)))
+    return materialize(values.select("word", "docs", F.round(ratio * RATIO_UNIT).cast("long").alias("ratio")), "values")
+
+
+def _cached(values: DataFrame, most: int) -> pa.Table:
+    """(word, ratio): at most ``most`` of the words that most documents have, with their values."""
+    return _frequent(values.where(F.length("word") <= CACHED_LETTERS), "docs", most).select("word", "ratio").toArrow()
 
 
 def _partly(cached):
@@ -253,7 +268,7 @@ def text_differences(docs: DataFrame, models: ClassModels, order: int = ORDER, c
 
     ``key`` is the text's digest.
     """
-    values = word_values(docs, models, order)
+    values = word_values(docs, models, order, cache)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_cached(values, cache))
     partly = rows.mapInArrow(_partly(sent), "doc_id long, key string, ratio long, words long, rest array<string>, times array<bigint>")

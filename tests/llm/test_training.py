@@ -562,6 +562,19 @@ def test_likelihoods_are_the_plain_ones(spark):
             assert r.difference == pytest.approx(np.log(np.mean(ratios)) if ratios else 0, abs=1e-6)
 
 
+def test_toxicity_sequences_in_tasks(spark):
+    """Words send only sequences that no task has; any cache of sequences gives the same values."""
+    sent = type("Sent", (), {"value": pa.table({"gram": ["^a", "^ab", "^ab$"], "difference": [5, -2, 1 << 40]})})
+    words = pa.RecordBatch.from_arrays([pa.array(["ab", "abc", "é"]), pa.array([3, 1, 2])], ["word", "docs"])
+    got = pa.Table.from_batches(toxicity._valued(sent, 5)(iter([words]))).to_pylist()
+    assert [tuple(r.values()) for r in got] == [("ab", 3, 3 + (1 << 40), None), ("abc", 1, 3, ["^abc", "^abc$"]), ("é", 2, 0, ["^é", "^é$"])]
+    d, labels = toxic_corpus(spark, 24)
+    models = toxicity.ClassModels(toxicity.count_sequences(d, toxicity.training_labels(labels, "toxic")))
+    rows = d.limit(6).unionByName(spark.createDataFrame([(1000, "zurk zurkan qqq ŷŷ"), (1001, None)], SCHEMA))
+    whole, some, none = (sorted(map(tuple, toxicity.word_values(rows, models, cache=c).collect())) for c in (toxicity.CACHE, 40, 0))
+    assert whole == some == none and {w for w, _, _ in whole} == {w for r in rows.collect() for w in toxicity.words_of(r.text)}
+
+
 def test_toxicity_of_single_expressions(spark):
     """One expression in a long text is found: recall and false positives among held-out rows of a table with few labels."""
     sf = "/root/testdata/sf0.1"
