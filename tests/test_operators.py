@@ -461,6 +461,40 @@ def test_templates_are_whole_lines(spark):
     assert got == ["one two three ERROR disk full", "uno dos tres ok fine <:NUM:>", "executed cmd <:CMD:> in <:NUM:>", "<:NUM:> <:NUM:> <:NUM:> <:NUM:>", "<:ID:>", "", None]
 
 
+def test_masks_of_lines_of_any_length(spark):
+    """Java takes a call for each round of a repeated group that is not possessive, and such lines filled the stack; the driver's own calls, as a task's would end the JVM."""
+    pattern = spark._jvm.java.util.regex.Pattern
+    odd = {"ABCD " * 50000: "<:SEQ:>", "1234 " * 50000 + "x": "<:SEQ:> x", "1234 " * 50000 + "12345": "<:SEQ:> <:NUM:>", ":".join(["ab"] * 50000): "<:ID:>", ":".join(["ab"] * 50000) + "z": "<:ID:>:abz", "abcdef " * 50000: "<:SEQ:>"}
+    for line, want in odd.items():
+        for p, n in text.FAST_MASKS:
+            line = pattern.compile(p).matcher(line).replaceAll(f"<:{n}:>")
+        assert line == want
+
+
+def test_masks_of_runs_at_borders(spark):
+    fours, ids = text.MASKS[3][0], text.MASKS[0][0]
+    draw = np.random.default_rng(11)
+    for plain, (fast, _), parts in ((fours, text.FAST_MASKS[3], ["ABCD", "1234", "ABCDEF01", "ABC", "z"]), (ids, text.FAST_MASKS[0], ["ab", "cd1", "12", "abcdef", "a", "abg"])):
+        gaps = [" " if plain == fours else ":"] * 6 + ["", "  ", "-", "\n"]
+        made = ["".join(draw.choice(parts) + draw.choice(gaps) for _ in range(draw.integers(1, 14))) for _ in range(2000)]
+        both = spark.createDataFrame([(m,) for m in made], "m string").select("m", F.regexp_replace("m", plain, "<>").alias("a"), F.regexp_replace("m", fast, "<>").alias("b"))
+        assert both.where("a <> m").count() > 100 and both.where("a <> b").count() == 0
+
+
+def documents(spark, tmp_path, rows):
+    """A folder with (doc_id, text) as the documents of one target."""
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'t' AS source", "length(text) AS n_chars")
+    table.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_window_operators_of_whole_lines(spark, tmp_path):
+    """Lines that differ behind their first 300 characters are different nodes."""
+    sf = documents(spark, tmp_path, [(i, "x" * 400 + "ab"[i % 2]) for i in range(31)])
+    got = logs.directed_laplacian_pagerank(spark, sf).collect()
+    assert len(got) == 2 and all(len(set(r.nodes)) == 2 and len(r.pi) == 2 for r in got)
+
+
 def test_flatline(spark):
     rows = series(spark, [5.0] * 30).unionByName(series(spark, list(range(30)), name="up"))
     assert {r.name: (r.equal_steps, r.flat) for r in flatline(rows).collect()} == {"m": (21, True), "up": (0, False)}
