@@ -495,6 +495,13 @@ def test_window_operators_of_whole_lines(spark, tmp_path):
     assert len(got) == 2 and all(len(set(r.nodes)) == 2 and len(r.pi) == 2 for r in got)
 
 
+def test_alarm_messages_of_whole_lines(spark, tmp_path):
+    """A keyword may stand behind a line's first 300 characters, and lines that differ there have different templates."""
+    sf = documents(spark, tmp_path, [(1, "y" * 350 + " fatal one"), (2, "y" * 350 + " error two")])
+    items = [x for r in logs.log_alarm_message_json(spark, sf).collect() for x in json.loads(r.message)["sparseLog"]]
+    assert [(x["doc_id"], x["keyword"], x["probability"]) for x in items] == [(1, "fatal", 100.0), (2, "error", 50.0)]
+
+
 def test_flatline(spark):
     rows = series(spark, [5.0] * 30).unionByName(series(spark, list(range(30)), name="up"))
     assert {r.name: (r.equal_steps, r.flat) for r in flatline(rows).collect()} == {"m": (21, True), "up": (0, False)}
