@@ -5,6 +5,7 @@ import json
 import math
 import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,6 +18,7 @@ from skerry.plans import serving as served
 from skerry.plans.detection import trend
 from skerry.plans.logs import alarm_messages
 from skerry.plans.metrics import flatline
+from skerry.plans.registry import ORACLE
 from skerry.sources import envelopes, relations, sinks, store, tables
 from skerry.streaming import jobs
 
@@ -502,6 +504,16 @@ def test_alarm_messages_of_whole_lines(spark, tmp_path):
     assert [(x["doc_id"], x["keyword"], x["probability"]) for x in items] == [(1, "fatal", 100.0), (2, "error", 50.0)]
 
 
+def test_templates_of_whole_lines_are_counted(spark, tmp_path):
+    sf = documents(spark, tmp_path, [(i, "z" * 400 + " end " * (i % 2) + f"{i}") for i in range(6)])
+    got = {(r.template, r.occurrences, r.ratio) for r in logs.log_template_batch(spark, sf).collect()}
+    # digits right behind a letter are no number
+    assert got == {("z" * 400 + " end <:NUM:>", 3, 0.5), *(("z" * 400 + f"{i}", 1, round(1 / 6, 8)) for i in (0, 2, 4))}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    assert {(r[1], r[2], r[3]) for r in con.sql(ORACLE["log_template_batch"]).fetchall()} == got
+
+
 def test_flatline(spark):
     rows = series(spark, [5.0] * 30).unionByName(series(spark, list(range(30)), name="up"))
     assert {r.name: (r.equal_steps, r.flat) for r in flatline(rows).collect()} == {"m": (21, True), "up": (0, False)}
