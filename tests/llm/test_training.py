@@ -467,6 +467,45 @@ def test_quality_sample_is_small_on_the_driver(spark, monkeypatch):
         assert (at == a).all() and (x == b).all()
 
 
+def test_quality_rows_are_measured_once(spark, monkeypatch, tmp_path):
+    """Labelled rows are measured once and come in the order of doc_id; null texts and ids take no part, repeated ids once."""
+    seen, own, held = tmp_path / "seen", quality._measured, {}
+
+    def measured(batches):
+        for batch in own(batches):
+            with open(seen, "a") as f:
+                f.writelines(f"{i}\n" for i in batch.column("doc_id").to_pylist())
+            yield batch
+
+    monkeypatch.setattr(quality, "_measured", measured)
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, y: held.update(rows=[rows[i] for i in range(len(rows))], y=y.tolist()) or self)
+    rows = [(i, None if i % 7 == 0 else f"text {i} of its own" * (i % 5)) for i in range(60, 0, -1)] * 2 + [(None, "no id")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    quality.fit_quality(spark.createDataFrame(rows, SCHEMA).repartition(6), labels)
+    known = {r.doc_id: r.y for r in quality.training_labels(labels, "quality").collect()}
+    want = [i for i in range(1, 61) if i % 7 and i in known]
+    assert len(want) > 20 and sorted(map(int, seen.read_text().split())) == want
+    assert held["y"] == [known[i] for i in want]
+    for i, (at, x) in zip(want, held["rows"], strict=True):
+        a, b = quality.featurize(dict(rows[:60])[i], {})
+        assert (at == a).all() and (x == b).all()
+
+
+def test_quality_measures_are_the_plain_ones():
+    """Numbers of signs are what their patterns find, and places are those of distinct words, in texts of any script."""
+    plain = [re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]", r"[a-zß-öø-ÿ]", r"[0-9]", r"[^\w\s]", r"([^\w\s])\1|[|$%&#*]")]
+    near = ["word", "Word", "ÀÉ", "ß", "12", "_", "||", "|||", "$$$", "--", "-", "!", "!!", "?!", " ", "\n", "\x1c", "\x85", "\xa0", "\xad", "\0", "#*#", "a.b", "ª²", "µ", "××÷"]
+    r = random.Random(7)
+    texts = ["".join(r.choices(near + ["ſ", "٣", "…", "……", "\u3000", "\u200b", "漢字", "。。", "𝔘", "Ǆ", "ΑΣ", "İ"] * (i % 2), k=i % 23)) for i in range(3000)] + [chr(i) * 3 for i in range(0x250)]
+    for text in texts:
+        assert quality.signs(text) == tuple(len(p.findall(text)) for p in plain)
+        words = re.findall(r"\S+", text)
+        own, form = quality.measures(text)
+        assert own.tolist() == sorted({zlib.crc32(w.lower().encode()) & 0xFFFF for w in words})
+        assert form[6] == (max(map(words.count, words)) / len(words) if words else 0)
+    assert quality.measures(None)[0].tolist() == [] and (quality.measures(None)[1] == quality.measures("")[1]).all()
+
+
 def test_machine_identity():
     m = quality.Machine(size=30, rank=4)
     m.linear[:] = np.arange(30) / 10
