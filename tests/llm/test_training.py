@@ -866,6 +866,47 @@ def test_top_k_repeated_ids_lengths_and_large_values(spark):
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want)
 
 
+def plain_search(vectors, ids, queries, query_ids, known, k):
+    """The best k of all products, held at 64 bits, that reach the known score."""
+    out = []
+    for q, i, least in zip(queries.tolist(), query_ids.tolist(), known.tolist(), strict=True):
+        scores = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))) for v in vectors.tolist()]
+        out.append((i, sorted((-s, j) for s, j in zip(scores, ids.tolist(), strict=True) if j != i and s >= least)[:k]))
+    return out
+
+
+@pytest.mark.parametrize("largest", [2, 700, 1 << 27, 1 << 33])
+def test_search_is_the_plain_one(largest):
+    """Ties, equal vectors, repeated ids, known scores, exact floats, 64 bits and products beyond them on both sides; also when candidates are cut often."""
+    r = np.random.default_rng(largest)
+    for n, width, leaf, k in ((1, 1, 64, 3), (150, 3, 7, 4), (200, 5, 64, 10), (90, 2, 1, 1)):
+        vectors, queries = (r.integers(-largest, largest + 1, (m, width)) for m in (n, 12))
+        vectors[: n // 3] = vectors[0]
+        ids, query_ids = r.integers(0, n, n), np.arange(12) * 3
+        known = np.where(r.random(12) < 0.5, -np.inf, 0.0)
+        tree = topk.BallTree.over(vectors, leaf)
+        if largest >= 1 << 28:
+            vectors, queries = vectors.astype(object), queries.astype(object)
+        for held in (1, 1 << 14):
+            got = topk.search(tree, vectors, ids, queries, query_ids, known, k, held)
+            assert [(q, sorted((-int(s), int(i)) for i, s in zip(i, s, strict=True))) for q, i, s in got] == plain_search(vectors, ids, queries, query_ids, known, k)
+
+
+def test_search_multiplies_queries_together(monkeypatch):
+    """All queries that look into a leaf in a round are one product, and leaves out of reach are none."""
+    calls, own = [], topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda v, q: calls.append(len(v) * len(q)) or own(v, q))
+    r = np.random.default_rng(2)
+    centres = r.integers(-1000, 1000, (16, 8))
+    vectors = np.repeat(centres, 64, axis=0) + r.integers(-5, 6, (1024, 8))
+    tree, ids = topk.BallTree.over(vectors), np.arange(1024)
+    found = list(topk.search(tree, vectors, ids, vectors[::4], ids[::4], np.full(256, -np.inf), 5))
+    leaves = int((tree.children[:, 0] < 0).sum())
+    assert len(found) == 256 and leaves >= 16
+    assert len(calls) <= 3 * leaves + 16  # rounds of 1, 3 and 12 leaves; a large product is cut
+    assert sum(calls) < 1024 * 256 / 2
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_oracle(spark, name):
     import glob
